@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
     "spark.ui.showConsoleProgress": "false",
+    # call-site capture costs a JVM round trip per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
