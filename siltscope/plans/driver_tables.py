@@ -267,3 +267,80 @@ commit_files AS (
   SELECT DISTINCT 'r' || CAST(l_orderkey % 11 AS VARCHAR) AS repo_id, CAST(l_orderkey AS VARCHAR) AS sha,
          'p' || CAST(l_partkey % 400 AS VARCHAR) || '.ts' AS path, CASE WHEN l_linenumber = 1 THEN 'A' ELSE 'M' END AS change_kind
   FROM lineitem)"""
+
+
+# --- customers as repository roots ------------------------------------------------------------------
+
+ROOT_FILES = (
+    ("package.json", '{"name": "app", "license": "MIT", "dependencies": {"express": "^3.0.0", "request": "^2.88.0", "lodash": "^4.0.0", "@scope/kit": "1.0.0"}, "devDependencies": {"eslint": "^7.0.0", "vitest": "^1.0.0", "lodash": "^3.0.0"}}'),
+    ("package.json", '{"name": "site", "dependencies": {"react": "^18.2.0", "moment": "2.0.0", "zod": "^3.0.0"}, "devDependencies": {"typescript": "^5.0.0", "jest": "^27.0.0"}}'),
+    ("package.json", "not json"),
+    ("requirements.txt", "flask==2.0\npytest>=7\nruff\n# note"),
+    ("pyproject.toml", "[project]\nname = 'x'\nrequests = {version = '1'}\npytest = {version = '7'}"),
+    ("Dockerfile", "FROM base"),
+    (".github/workflows/ci.yml", "run: npm run lint\nrun: npm test"),
+    (".gitlab-ci.yml", "script: trivy fs ."),
+    ("LICENSE", "MIT"),
+    ("README.md", "# readme"),
+    ("CHANGELOG.md", "1.0"),
+    ("CONTRIBUTING.md", "be kind"),
+    ("CODE_OF_CONDUCT.md", "be kind"),
+    (".env.example", "PORT=1"),
+    (".env", "PORT=1"),
+    ("package-lock.json", "{}"),
+    ("pnpm-workspace.yaml", "packages"),
+    ("yarn.lock", ""),
+    (".gitignore", "dist"),
+    ("prisma/schema.prisma", "model"),
+    ("prisma/migrations/1.sql", "create"),
+    ("src/app.ts", "app.use('/api/items', router);\nconst db = prisma.item;"),
+    ("src/server.ts", "app.get('/health', (req, res) => res.json({ status: 'ok' }));\nprocess.on('SIGTERM', stop);"),
+    ("src/types.ts", "export interface A {}"),
+    ("src/log.ts", "import pino from 'pino';\nconst requestId = 1;\nSentry.init();"),
+    ("src/items.test.ts", "test('a', () => {});"),
+    ("src/ui/Button.tsx", "import React from 'react';"),
+    ("src/styles/a.css", "a {}"),
+    ("node_modules/x/index.js", "module.exports = 1;"),
+    ("src/routes/items.ts", "router.get('/a', function(req, res) { res.json({ a: 1 }); res.json({ b: 1 }); res.json({ c: req.body }); });"),
+    ("src/mock.ts", "const useMockData = true;\nconsole.log(1);\nconsole.log(2);\nconsole.log(3);\nconsole.log(4);\nconsole.log(5);\nconsole.log(6);"),
+)
+
+
+def root_files(spark: SparkSession, sf: str) -> DataFrame:
+    """files(repo_id, path, content): one root-level file per customer, 97 repositories."""
+    c = table(spark, sf, "customer").select("c_custkey")
+    i = F.col("c_custkey") % len(ROOT_FILES)
+    return c.select(
+        F.concat(F.lit("x"), (F.col("c_custkey") % 97).cast("string")).alias("repo_id"),
+        _pick(tuple(p for p, _ in ROOT_FILES), i).alias("path"),
+        _pick(tuple(t for _, t in ROOT_FILES), i).alias("content"),
+    ).distinct()
+
+
+ROOTS = f"""root_files AS (SELECT DISTINCT 'x' || CAST(c_custkey % 97 AS VARCHAR) AS repo_id, {_sql_pick([p for p, _ in ROOT_FILES], f'c_custkey % {len(ROOT_FILES)}')} AS path,
+  {_sql_pick([t for _, t in ROOT_FILES], f'c_custkey % {len(ROOT_FILES)}')} AS content FROM customer)"""
+
+
+# --- parts and suppliers as declared dependencies ---------------------------------------------------------
+
+PACKAGES = (
+    "react", "express", "lodash", "request", "moment", "zod", "typescript", "eslint", "@types/node", "@radix-ui/react-tabs", "vite", "jest", "axios",
+    "next", "vue", "prettier", "chalk", "gulp", "left-pad", "@scope/kit", "pino", "webpack", "express-validator",
+)
+
+
+def deps(spark: SparkSession, sf: str) -> DataFrame:
+    """deps(repo_id, manifest_path, kind, name, version) from part: repositories share the code corpus' names."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    k = F.col("p_partkey")
+    return p.select(
+        F.concat(F.lit("repo"), (k % 38).cast("string")).alias("repo_id"),
+        F.lit("package.json").alias("manifest_path"),
+        F.when(k % 5 == 0, "dev").otherwise("prod").alias("kind"),
+        _pick(PACKAGES, k % len(PACKAGES)).alias("name"),
+        F.concat(F.lit("^"), (F.col("p_size") % 19).cast("string"), F.lit(".0.0")).alias("version"),
+    ).groupBy("repo_id", "manifest_path", "kind", "name").agg(F.max("version").alias("version"))
+
+
+DEPS = f"""deps AS (SELECT repo_id, kind, name, max(version) AS version FROM (SELECT 'repo' || CAST(p_partkey % 38 AS VARCHAR) AS repo_id, CASE WHEN p_partkey % 5 = 0 THEN 'dev' ELSE 'prod' END AS kind,
+  {_sql_pick(PACKAGES, f'p_partkey % {len(PACKAGES)}')} AS name, '^' || CAST(p_size % 19 AS VARCHAR) || '.0.0' AS version FROM part) GROUP BY 1, 2, 3)"""
