@@ -42,3 +42,18 @@ def local_spark(cpus: int | None = None, shuffle_partitions: int = 8, memory: st
             "spark.ui.enabled": "false",
         },
     )
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for checkpoints and snapshots.
+
+    Uses the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
+    local tests, a temporary folder is taken.
+    """
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
