@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltscope.functions import numbers as nm
 from siltscope.functions import text as tx
+from siltscope.operators.ordered import keep_in_order
 
 # fixed values
 WEIGHTS = {"type": 0.6, "line": 0.3, "description": 0.1}
@@ -17,14 +17,13 @@ THRESHOLDS = (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95)
 
 
 def match_score(weights: dict = WEIGHTS, tolerance: int = 2) -> Column:
-    """Score of a (truth, prediction) pair with columns t_* and p_*.
+    """Score of a (truth, prediction) pair with the columns of _features() as t_* and p_*.
 
     Type: equal 1, one a dash-prefix of the other 0.7, half of the smaller word set shared 0.4, a first
     word found in the other 0.2.  Line: falls off linearly within the tolerance; both zero counts full.
     Description: Jaccard similarity of the words.
     """
-    a, b = tx.canonical_type("p_type"), tx.canonical_type("t_type")
-    wa, wb = F.array_distinct(F.split(a, "-")), F.array_distinct(F.split(b, "-"))
+    a, b, wa, wb = F.col("p_canon"), F.col("t_canon"), F.col("p_words"), F.col("t_words")
     overlap = F.size(F.array_intersect(wa, wb))
     small = F.least(F.size(wa), F.size(wb))
     prefix = a.startswith(F.concat(b, F.lit("-"))) | b.startswith(F.concat(a, F.lit("-")))
@@ -34,39 +33,41 @@ def match_score(weights: dict = WEIGHTS, tolerance: int = 2) -> Column:
     pl, tl = F.coalesce("p_line", F.lit(0)), F.coalesce("t_line", F.lit(0))
     dist = F.abs(pl - tl)
     line = F.when((pl > 0) & (tl > 0), F.when(dist <= tolerance, 1 - dist / (tolerance + 1)).otherwise(0.0)).when((pl == 0) & (tl == 0), 1.0).otherwise(0.0)
-    desc = tx.jaccard(F.array_distinct(tx.tokens("t_description")), F.array_distinct(tx.tokens("p_description")))
+    desc = tx.jaccard(F.col("t_tokens"), F.col("p_tokens"))
     return typ * weights["type"] + line * weights["line"] + desc * weights["description"]
 
 
 def greedy_match(pairs: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """One-to-one assignment: truths in order take their best unused prediction.
 
-    pairs(keys..., truth_no, pred_no, score).  The choice is sequential inside a task, so each task is
-    one group; a task is one reviewed code sample and only its acceptable pairs arrive here.
+    pairs(keys..., truth_no, pred_no, score).  The choice is sequential inside a task; the walk keeps
+    only the numbers already taken.
     """
     keys = list(keys)
-    fields = [pairs.schema[k] for k in (*keys, "truth_no", "pred_no", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["truth_no", "score", "pred_no"], ascending=[True, False, True], kind="stable")
-        used: set = set()
-        taken: set = set()
-        keep = []
-        for i, t, p in zip(pdf.index, pdf["truth_no"], pdf["pred_no"]):
-            if t not in taken and p not in used:
-                taken.add(t)
-                used.add(p)
-                keep.append(i)
-        return pdf.loc[keep]
+    def decide(state, truth, pred) -> bool:
+        taken, used = state
+        if truth in taken or pred in used:
+            return False
+        taken.add(truth)
+        used.add(pred)
+        return True
 
-    return pairs.select(*keys, "truth_no", "pred_no", "score").groupBy(*keys).applyInPandas(assign, schema=schema)
+    order = [F.asc("truth_no"), F.desc("score"), F.asc("pred_no")]
+    return keep_in_order(pairs.select(*keys, "truth_no", "pred_no", "score"), keys, order, ["truth_no", "pred_no"], lambda: (set(), set()), decide)
+
+
+def _features(df: DataFrame, p: str, number: str) -> DataFrame:
+    """What the score compares, computed once per row and not per pair."""
+    canon = tx.canonical_type("type")
+    return df.select(
+        "task_id", number, F.col("type").alias(f"{p}_type"), F.col("line").alias(f"{p}_line"), canon.alias(f"{p}_canon"),
+        F.array_distinct(F.split(canon, "-")).alias(f"{p}_words"), F.array_distinct(tx.tokens("description")).alias(f"{p}_tokens"),
+    )
 
 
 def _sides(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    p = pred.select("task_id", "pred_no", F.col("type").alias("p_type"), F.col("line").alias("p_line"), F.col("description").alias("p_description"))
-    t = truth.select("task_id", "truth_no", F.col("type").alias("t_type"), F.col("line").alias("t_line"), F.col("description").alias("t_description"))
-    return t.join(p, "task_id")
+    return _features(truth, "t", "truth_no").join(_features(pred, "p", "pred_no"), "task_id")
 
 
 def match_findings(pred: DataFrame, truth: DataFrame, weights: dict = WEIGHTS, tolerance: int = 2, minimum: float = 0.5) -> DataFrame:
@@ -89,11 +90,10 @@ def match_simple(pred: DataFrame, truth: DataFrame, tolerance: int = 2, keys: Se
 
 def outcomes(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
     """Long rows (task_id, kind tp/fp/fn, category, severity); a hit takes the truth's labels."""
-    m = matches.select("task_id", "truth_no", "pred_no")
-    tp = truth.join(m, ["task_id", "truth_no"], "left_semi").select("task_id", F.lit("tp").alias("kind"), "category", "severity")
-    fn = truth.join(m, ["task_id", "truth_no"], "left_anti").select("task_id", F.lit("fn").alias("kind"), "category", "severity")
-    fp = pred.join(m, ["task_id", "pred_no"], "left_anti").select("task_id", F.lit("fp").alias("kind"), "category", "severity")
-    return tp.unionByName(fp).unionByName(fn)
+    hit = matches.select("task_id", "truth_no", F.lit(True).alias("_hit"))
+    t = truth.join(hit, ["task_id", "truth_no"], "left").select("task_id", F.when(F.col("_hit"), "tp").otherwise("fn").alias("kind"), "category", "severity")
+    fp = pred.join(matches.select("task_id", "pred_no"), ["task_id", "pred_no"], "left_anti")
+    return t.unionByName(fp.select("task_id", F.lit("fp").alias("kind"), "category", "severity"))
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -163,28 +163,22 @@ def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path"))
     slim = findings.groupBy(*keys, "rule", "category", "line").agg(best.alias("b")).select(*keys, "rule", "category", "line", "b.*")
     slim = slim.select(*findings.columns)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "ordinal", "line", "rule"], ascending=[False, True, True, True], kind="stable")
-        kept: list[tuple] = []
-        by_line: dict[int, list[tuple]] = {}
-        out = []
-        for i, rule, cat, line in zip(pdf.index, pdf["rule"], pdf["category"], pdf["line"]):
-            words = set(rule.split("-"))
-            line = int(line)
-            if line > 0:
-                near = [k for d in range(-2, 3) for k in by_line.get(line + d, ())]
-                near += [k for k in by_line.get(0, ()) if k[1] == cat]
-            else:
-                near = [k for k in kept if k[1] == cat]
-            if any(k[0] & words for k in near):
-                continue
-            item = (words, cat)
-            kept.append(item)
-            by_line.setdefault(max(line, 0), []).append(item)
-            out.append(i)
-        return pdf.loc[out]
-
-    return slim.groupBy(*keys).applyInPandas(walk, schema=findings.schema)
+    def decide(state, rule, category, line) -> bool:
+        by_line, by_category = state
+        words, line = set(rule.split("-")), int(line)
+        if line > 0:
+            near = [w for d in range(-2, 3) for w, _ in by_line.get(line + d, ())]
+            near += [w for w, c in by_line.get(0, ()) if c == category]
+        else:
+            near = by_category.get(category, ())
+        if any(w & words for w in near):
+            return False
+        by_line.setdefault(max(line, 0), []).append((words, category))
+        by_category.setdefault(category, []).append(words)
+        return True
+
+    order = [F.desc("confidence"), F.asc("ordinal"), F.asc("line"), F.asc("rule")]
+    return keep_in_order(slim, keys, order, ["rule", "category", "line"], lambda: ({}, {}), decide)
 
 
 def verify_findings(findings: DataFrame, max_per_type: int = 1, cap_first: bool = True) -> DataFrame:

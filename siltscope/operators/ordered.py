@@ -7,6 +7,9 @@ one task.  These helpers split a key into chunks that sort like the rows themsel
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,3 +102,25 @@ def nth_in_key(df: DataFrame, keys: list[str], chunk: Column, order: list[str],
     """Rows whose position per key equals ``total[position]``; built on chunked row numbers."""
     numbered = row_number_in_key(df, keys, chunk, order, "_pos")
     return numbered.join(total, keys).filter(F.col("_pos") == F.col(position)).drop("_pos")
+
+
+def keep_in_order(df: DataFrame, keys: list[str], order: list[Column], inputs: list[str], new_state: Callable[[], object], decide: Callable[..., bool]) -> DataFrame:
+    """Rows of a greedy walk per key: ``decide(state, *inputs)`` says whether a row is kept.
+
+    Rows are partitioned by key and sorted by Spark (the sort spills), then pass through as Arrow
+    batches; only the walk's state is held, never the rows of a group, and many small groups share
+    one batch.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            mask = []
+            for key, values in zip(zip(*[pdf[k] for k in keys]), zip(*[pdf[c] for c in inputs])):
+                if key != current:
+                    current, state = key, new_state()
+                mask.append(decide(state, *values))
+            yield pdf[mask]
+
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInPandas(run, schema=df.schema)

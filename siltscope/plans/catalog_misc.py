@@ -221,9 +221,9 @@ def f15b(spark, sf):
     return sc.extract_intent(d).select("id", F.array_join("integrations", "|").alias("integrations"))
 
 
-@query("f14_keywords", f"SELECT doc_id, array_to_string({_KW('text')}, ' ') AS keywords FROM documents")
+@query("f14_keywords", f"SELECT doc_id, array_to_string(list_sort({_KW('text')}), ' ') AS keywords FROM documents")
 def f14(spark, sf):
-    return dt.table(spark, sf, "documents").select("doc_id", F.array_join(sc.keywords("text"), " ").alias("keywords"))
+    return dt.table(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(sc.keywords("text")), " ").alias("keywords"))
 
 
 _GT = ("code-present", "tests-present", "deploy-preview", "health-endpoint", "docs-updated", "security", "performance", "manual-qa", "other")
@@ -643,7 +643,7 @@ def j27(spark, sf):
 SELECT window_start, window_start + INTERVAL '6 hours' AS window_end, client_id, requests FROM w WHERE requests > 10 AND window_start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 minute'""")
 def st2(spark, sf):
     e = st.read_stream(spark, sf, "events").select("ts", (F.col("user_id") % 10).alias("client_id"))
-    return st.run_available(st.rate_violations(e, limit=10, seconds=6 * 3600), "rate")
+    return st.wall_clock(st.run_available(st.rate_violations(e, limit=10, seconds=6 * 3600), "rate"))
 
 
 @query("st3_latest_status", f"WITH {dt.SCANS} SELECT repo_url, arg_max(scan_id, created_at) AS scan_id, arg_max(status, created_at) AS status, arg_max(overall_score, created_at) AS overall_score, max(created_at) AS created_at, count(*) AS scans FROM scans GROUP BY 1")
@@ -651,7 +651,7 @@ def st3(spark, sf):
     e = st.read_stream(spark, sf, "events")
     s = e.select(F.col("event_id").alias("scan_id"), F.concat(F.lit("https://host.example/o"), (F.col("user_id") % 5).cast("string"), F.lit("/r"), F.col("user_id").cast("string")).alias("repo_url"),
                  F.when(F.col("event_type") == "error", "failed").otherwise("complete").alias("status"), F.least(F.lit(100), F.floor("value")).cast("int").alias("overall_score"), F.col("ts").alias("created_at"))
-    return st.run_available(st.latest_status(s), "status", mode="complete")
+    return st.wall_clock(st.run_available(st.latest_status(s), "status", mode="complete"))
 
 
 @query("st4_daily_trend", f"""WITH {dt.SCANS}, d AS (SELECT CAST(created_at AS DATE) AS day, org_id, count(*) AS scans, CAST(floor(avg(overall_score) + 0.5) AS BIGINT) AS avg_score, list_extract(list(overall_score ORDER BY overall_score), CAST(ceil(count(*) / 2) AS INTEGER)) AS median_score FROM scans WHERE status = 'complete' GROUP BY 1, 2)
@@ -676,6 +676,6 @@ def st5(spark, sf):
 g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS turns, count(*) FILTER (WHERE u) AS user_turns, count(*) FILTER (WHERE NOT u) AS assistant_turns FROM s GROUP BY user_id, sid) SELECT * FROM g WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
 def st6(spark, sf):
     e = st.read_stream(spark, sf, "events").select("ts", (F.col("user_id") % 20).alias("user_id"), F.when(F.col("event_type").isin("click", "view"), "user").otherwise("assistant").alias("role"))
-    return st.run_available(st.session_rollup(e), "sessions")
+    return st.wall_clock(st.run_available(st.session_rollup(e), "sessions"))
 
 

@@ -83,13 +83,12 @@ def extract_deps(files: DataFrame) -> DataFrame:
     )
     none = F.create_map().cast("map<string,string>")
     kinds = {"dependencies": "prod", "devDependencies": "dev", "peerDependencies": "peer", "optionalDependencies": "optional"}
-    maps = [
-        F.transform(
-            F.map_entries(F.coalesce(F.from_json(F.get_json_object("content", f"$.{k}"), "map<string,string>"), none)),
-            lambda e, kind=kind: F.struct(F.lit(kind).alias("kind"), e["key"].alias("name"), e["value"].alias("version")),
-        )
-        for k, kind in kinds.items()
-    ]
+
+    def typed(field: str, kind: str) -> Column:
+        m = F.coalesce(F.from_json(F.get_json_object("content", f"$.{field}"), "map<string,string>"), none)
+        return F.transform(F.map_entries(m), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("name"), e["value"].alias("version")))
+
+    maps = [typed(f, k) for f, k in kinds.items()]
     empty = F.array().cast("array<struct<kind:string,name:string,version:string>>")
     listed = F.concat(*maps)
     alias = F.transform(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SARIF = (
     "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,properties:struct<severity:string>,"
@@ -105,18 +107,16 @@ def balanced_object(raw: str | None) -> str | None:
     return None
 
 
+@F.pandas_udf(T.StringType())
+def first_object(s: pd.Series) -> pd.Series:
+    return s.map(balanced_object)
+
+
 def parse_responses(df: DataFrame, col: str, ddl: str) -> DataFrame:
     """Adds ``parsed``: the whole text, else its fenced block, else the first balanced object.
 
     Only texts the JVM parsers cannot read reach Python.
     """
-    import pandas as pd
-    from pyspark.sql.pandas.functions import pandas_udf
-
-    @pandas_udf("string")
-    def first_object(s: pd.Series) -> pd.Series:
-        return s.map(balanced_object)
-
     raw = F.trim(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""))
     fence = F.regexp_extract(raw, r"```(?:json)?\s*([\s\S]+?)\s*```", 1)
     ok = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^[\[{]"), c)
@@ -162,5 +162,5 @@ def normalize_findings(df: DataFrame, keys: list[str], chunk_start: str | None =
         *keys, cat.alias("category"), normal_severity(F.coalesce("r.severity", F.lit("medium"))).alias("severity"),
         F.when(F.col("r.line") > 0, F.col("r.line").cast("int") + F.col("_s") - 1).otherwise(0).alias("line"), typ.alias("type"), desc.alias("description"),
         F.coalesce("r.recommendation", F.lit("")).alias("recommendation"),
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r.confidence"))), F.lit(0.7)).alias("confidence"),
+        F.when(F.col("r.confidence").isNull(), 0.7).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("r.confidence")))).alias("confidence"),
     )

@@ -152,4 +152,12 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 def read_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A parquet table of the driver as a file stream."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # event time needs an instant; the tables store wall-clock timestamps
+    local = {f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"}
+    return s.select(*[F.col(c).cast("timestamp").alias(c) if c in local else F.col(c) for c in s.columns])
+
+
+def wall_clock(df: DataFrame) -> DataFrame:
+    """Instants back to wall-clock timestamps."""
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema])
