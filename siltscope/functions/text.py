@@ -74,9 +74,28 @@ def line_count(content: Column | str) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
 
-def count_lines(content: Column | str, predicate) -> Column:
-    """Lines for which ``predicate(line)`` holds."""
-    return F.size(F.filter(split_lines(content), predicate))
+_B = r"[ \t\r\f\x0b]"
+
+
+def lines_opening_with(content: Column | str, body: str) -> Column:
+    """Number of lines whose first non-blank text matches ``body``; one regex pass, no line array."""
+    return F.regexp_count(_c(content), F.lit(rf"(?dm)^{_B}*+(?:{body})"))
+
+
+def blank_lines(content: Column | str) -> Column:
+    """Number of blank lines.  Java's ^ does not match at the very end, so a trailing empty line is added."""
+    c = _c(content)
+    return F.regexp_count(c, F.lit(rf"(?dm)^{_B}*$")) + F.when(c.endswith("\n") | (c == ""), 1).otherwise(0)
+
+
+def comment_lines(content: Column | str) -> Column:
+    """Lines that start with // or *."""
+    return lines_opening_with(content, r"//|\*|/\*\*")
+
+
+def lines_containing(content: Column | str, body: str) -> Column:
+    """Number of lines that contain a match of ``body``."""
+    return F.regexp_count(_c(content), F.lit(rf"(?d)(?:{body})[^\n]*"))
 
 
 # --- paths -----------------------------------------------------------------

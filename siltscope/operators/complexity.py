@@ -13,50 +13,71 @@ from siltscope.rules import tables as rt
 SKIP_EXT = (".md", ".json", ".yaml", ".yml")
 
 
-def nesting_depth(content: Column | str, mode: str = "braces") -> Column:
-    """Deepest nesting of a text, floored at zero; one pass over the row's own lines.
+_B = r"[ \t\r\f\x0b]"
+# a line that only opens (group 1 empty) or only closes (group 1 is the closer); a line that does both
+# leaves the depth as it was
+_OPEN_CLOSE = rf"(?dm)^(?!{_B}*[}})\]])[^\n]*(?:[{{(]|=>){_B}*$|^{_B}*([}})\]])(?![^\n]*(?:[{{(]|=>){_B}*$)"
 
-    ``braces`` counts { and } per line; ``openers`` adds one for a line that ends in an opener and
-    takes one off for a line that starts with a closer.
-    """
-    ls = tx.split_lines(content)
+
+def _deepest(deltas: Column) -> Column:
+    """Maximum of the running sum of small steps, floored at zero on the way."""
     zero = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
+    walk = F.aggregate(
+        deltas,
+        zero,
+        lambda acc, x: F.struct(F.greatest(F.lit(0), acc["d"] + x).alias("d"), F.greatest(acc["m"], acc["d"] + x).alias("m")),
+    )
+    return walk["m"]
+
 
-    def state(d, m):
-        return F.struct(d.cast("int").alias("d"), m.cast("int").alias("m"))
+def nesting_depth(content: Column | str, mode: str = "braces") -> Column:
+    """Deepest nesting of a text, floored at zero.
 
+    ``braces`` counts { and } per line; ``openers`` adds one for a line that ends in an opener and
+    takes one off for a line that starts with a closer.  A regex pass first reduces the text to the
+    lines that change the depth, so the fold walks a few short strings of the same row.
+    """
+    c = F.col(content) if isinstance(content, str) else content
     if mode == "braces":
-        def step(acc, x):
-            delta = F.length(F.replace(x, F.lit("}"), F.lit(""))) - F.length(F.replace(x, F.lit("{"), F.lit("")))
-            d = F.greatest(F.lit(0), acc["d"] + delta)
-            return state(d, F.greatest(acc["m"], d))
-    elif mode == "openers":
-        def step(acc, x):
-            t = tx.strip(x)
-            up = (t.endswith("{") | t.endswith("(") | t.endswith("=>")).cast("int")
-            down = (t.startswith("}") | t.startswith(")") | t.startswith("]")).cast("int")
-            d = F.greatest(F.lit(0), acc["d"] + up - down)
-            return state(d, F.greatest(acc["m"], d))
-    else:
-        raise ValueError(mode)
-    return F.aggregate(ls, zero, step, lambda acc: acc["m"])
+        bare = F.split(F.regexp_replace(c, r"[^{}\n]+", ""), r"\n+")
+        step = lambda x: F.length(F.replace(x, F.lit("}"), F.lit(""))) - F.length(F.replace(x, F.lit("{"), F.lit("")))
+        return F.when(c.contains("{"), _deepest(F.transform(bare, step))).otherwise(0)
+    if mode == "openers":
+        closers = F.regexp_extract_all(c, F.lit(_OPEN_CLOSE), F.lit(1))
+        return _deepest(F.transform(closers, lambda x: F.when(x == "", 1).otherwise(-1)))
+    raise ValueError(mode)
 
 
 def max_nesting(files: DataFrame, mode: str = "braces") -> DataFrame:
     return files.select("repo_id", "path", nesting_depth("content", mode).alias("max_depth"))
 
 
-def _ci_words(content: Column, body: str) -> Column:
-    return tx.rx(content, r"(?i)" + tx.word(f"(?:{body})"))
+def _any_word(words: Column, body: str) -> Column:
+    return F.arrays_overlap(words, F.lit(body.split("|")))
 
 
 def topics(content: Column | str) -> Column:
-    """Names of the topics a text touches."""
+    """Names of the topics a text touches, by whole words; the text is cut into words once."""
     c = F.col(content) if isinstance(content, str) else content
-    parts = [F.when(_ci_words(c, body), F.lit(name)) for name, body in rt.TOPICS]
-    parts.append(F.when(tx.rx(c, rt.FILE_IO_TOPIC), F.lit("file-io")))
-    net = _ci_words(c, rt.NETWORK_BASE) | (_ci_words(c, rt.NETWORK_CONTEXT[0]) & _ci_words(c, rt.NETWORK_CONTEXT[1]))
-    ui = _ci_words(c, rt.UI_BASE) | (_ci_words(c, rt.UI_CONTEXT[0]) & _ci_words(c, rt.UI_CONTEXT[1]))
+    low = F.lower(c)
+    # one-element transform: binds the word list so that eight look-ups share it
+    bound = F.transform(F.array(F.struct(F.array_distinct(F.split(low, "[^a-z0-9_]+")).alias("w"), low.alias("t"))), _topic_names)
+    return bound[0]
+
+
+def _topic_names(s: Column) -> Column:
+    w, t = s["w"], s["t"]
+    parts = []
+    for name, body in rt.TOPICS:
+        plain = "|".join(x for x in body.split("|") if "\\" not in x)
+        hit = _any_word(w, plain)
+        for dotted in (x for x in body.split("|") if "\\" in x):
+            hit = hit | (t.contains(dotted.replace("\\", "")) & tx.rx(t, tx.word(dotted)))
+        parts.append(F.when(hit, F.lit(name)))
+    file_io = _any_word(w, "readfile|writefile|stream|buffer") | (tx.has(t, "fs.", "path.") & tx.rx(t, tx.BL + r"(?:fs|path)\.[a-z0-9_]"))
+    parts.append(F.when(file_io, F.lit("file-io")))
+    net = _any_word(w, rt.NETWORK_BASE) | (_any_word(w, rt.NETWORK_CONTEXT[0]) & _any_word(w, rt.NETWORK_CONTEXT[1]))
+    ui = _any_word(w, rt.UI_BASE) | (_any_word(w, rt.UI_CONTEXT[0]) & _any_word(w, rt.UI_CONTEXT[1]))
     parts += [F.when(net, F.lit("networking")), F.when(ui, F.lit("UI"))]
     return F.array_compact(F.array(*parts))
 
@@ -66,30 +87,23 @@ def topic_areas(files: DataFrame) -> DataFrame:
     return out.withColumn("low_cohesion", (F.size("topics") > 3) & (F.col("lines") > 200))
 
 
-def is_comment(x: Column) -> Column:
-    t = tx.strip(x)
-    return t.startswith("//") | t.startswith("*") | t.startswith("/**")
-
-
 def file_metrics(files: DataFrame) -> DataFrame:
     """Counts one scan of the content yields for the complexity, language and comment operators."""
     c = F.col("content")
-    ls = F.col("_ls")
     # the capture keeps single-dot imports ("./x") and parent ones apart by their directory
     rel = F.filter(tx.rx_all(c, r"""from\s+["']([^"']+)["']""", 1), lambda s: s.startswith("."))
     dirs = F.array_distinct(F.transform(rel, lambda s: F.regexp_replace(F.regexp_replace(s, "/+[^/]*$", ""), r"^\.?$", "same-level")))
-    base = files.select("repo_id", "path", "content", tx.split_lines(c).alias("_ls"))
-    return base.select(
+    return files.select(
         "repo_id",
         "path",
         F.length("content").alias("size"),
-        F.size(ls).alias("lines"),
-        tx.rx_count(c, tx.BL + r"export\s+(?:function|const|class|interface|type)\s").alias("exports"),
+        tx.line_count(c).alias("lines"),
+        F.when(c.contains("export"), tx.rx_count(c, tx.BL + r"export\s+(?:function|const|class|interface|type)\s")).otherwise(0).alias("exports"),
         nesting_depth(c).alias("depth"),
         topics(c).alias("topics"),
-        F.size(F.filter(ls, lambda x: tx.strip(x) == "")).alias("blank"),
-        F.size(F.filter(ls, is_comment)).alias("comments"),
-        F.size(dirs).alias("import_dirs"),
+        tx.blank_lines(c).alias("blank"),
+        tx.comment_lines(c).alias("comments"),
+        F.when(c.contains("from"), F.size(dirs)).otherwise(0).alias("import_dirs"),
     )
 
 

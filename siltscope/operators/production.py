@@ -29,7 +29,7 @@ def repo_flags(files: DataFrame) -> DataFrame:
     c = F.col("content")
     health = tx.rx(c, rt.HEALTH_ROUTE) | tx.has(c, "healthcheck", "healthCheck")
     ci = tx.has("path", ".github/workflows/", "gitlab-ci", ".drone.yml", "circleci")
-    consoles = F.when(c.contains("console."), F.size(F.filter(tx.split_lines(c), lambda x: x.rlike(rt.CONSOLE_CALL)))).otherwise(0)
+    consoles = F.when(c.contains("console."), tx.lines_containing(c, rt.CONSOLE_CALL)).otherwise(0)
     f = files.select(
         "repo_id",
         tx.has(c, "SIGTERM", "SIGINT", "graceful", "shutdown").alias("shutdown"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siltscope.functions import numbers as nm
 from siltscope.functions import text as tx
-from siltscope.operators.complexity import is_comment
 from siltscope.operators.emit import flag_any
 from siltscope.operators.ordered import first_n
 from siltscope.rules import tables as rt
@@ -106,9 +105,8 @@ def language_breakdown(files: DataFrame) -> DataFrame:
 
 def comment_ratio(files: DataFrame, k: int | None = 10) -> DataFrame:
     """Comment lines over code lines per file, highest ``k`` per repository."""
-    ls = tx.split_lines("content")
     m = files.select(
-        "repo_id", "path", F.size(ls).alias("lines"), F.size(F.filter(ls, is_comment)).alias("comments"), F.size(F.filter(ls, lambda x: tx.strip(x) == "")).alias("blank")
+        "repo_id", "path", tx.line_count("content").alias("lines"), tx.comment_lines("content").alias("comments"), tx.blank_lines("content").alias("blank")
     )
     code = F.col("lines") - F.col("comments") - F.col("blank")
     out = m.withColumn("ratio", F.when(code > 0, F.col("comments") / code).otherwise(0.0)).select("repo_id", "path", "lines", "ratio")
@@ -148,10 +146,9 @@ def structure_findings(files: DataFrame) -> DataFrame:
 
 def machine_readability(files: DataFrame, test_files: DataFrame | None = None) -> DataFrame:
     """How well tools can edit a repository: size mix 0.35, comment density 0.20, import clarity 0.20, test share 0.25."""
-    ls = tx.split_lines("content")
     m = files.select(
-        "repo_id", F.size(ls).alias("lines"),
-        F.size(F.filter(ls, lambda x: x.rlike(r"^\s*(?://|#|/\*|\*)"))).alias("comments"),
+        "repo_id", tx.line_count("content").alias("lines"),
+        tx.lines_opening_with("content", r"//|#|/\*|\*").alias("comments"),
         F.col("content").rlike(r"""from\s+['"][^'"]+\.css['"]|from\s+['"]!['"]""").alias("odd"),
         F.col("path").rlike(r"\.(?:test|spec)\.[jt]sx?$").alias("is_test"),
     )
