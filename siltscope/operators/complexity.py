@@ -52,32 +52,24 @@ def max_nesting(files: DataFrame, mode: str = "braces") -> DataFrame:
     return files.select("repo_id", "path", nesting_depth("content", mode).alias("max_depth"))
 
 
-def _any_word(words: Column, body: str) -> Column:
-    return F.arrays_overlap(words, F.lit(body.split("|")))
+def _any_word(low: Column, body: str) -> Column:
+    """A whole word of ``body`` occurs in lower-cased text: byte search first, regex to confirm."""
+    return tx.has(low, *body.replace("\\", "").split("|")) & tx.rx(low, tx.word(f"(?:{body})"))
 
 
 def topics(content: Column | str) -> Column:
-    """Names of the topics a text touches, by whole words; the text is cut into words once."""
+    """Names of the topics a text touches, by whole words."""
     c = F.col(content) if isinstance(content, str) else content
-    low = F.lower(c)
-    # one-element transform: binds the word list so that eight look-ups share it
-    bound = F.transform(F.array(F.struct(F.array_distinct(F.split(low, "[^a-z0-9_]+")).alias("w"), low.alias("t"))), _topic_names)
-    return bound[0]
-
-
-def _topic_names(s: Column) -> Column:
-    w, t = s["w"], s["t"]
-    parts = []
-    for name, body in rt.TOPICS:
-        plain = "|".join(x for x in body.split("|") if "\\" not in x)
-        hit = _any_word(w, plain)
-        for dotted in (x for x in body.split("|") if "\\" in x):
-            hit = hit | (t.contains(dotted.replace("\\", "")) & tx.rx(t, tx.word(dotted)))
-        parts.append(F.when(hit, F.lit(name)))
-    file_io = _any_word(w, "readfile|writefile|stream|buffer") | (tx.has(t, "fs.", "path.") & tx.rx(t, tx.BL + r"(?:fs|path)\.[a-z0-9_]"))
+    # one-element transform: binds the lower-cased text so that all look-ups share it
+    return F.transform(F.array(F.lower(c)), _topic_names)[0]
+
+
+def _topic_names(t: Column) -> Column:
+    parts = [F.when(_any_word(t, body), F.lit(name)) for name, body in rt.TOPICS]
+    file_io = _any_word(t, "readfile|writefile|stream|buffer") | (tx.has(t, "fs.", "path.") & tx.rx(t, tx.BL + r"(?:fs|path)\.[a-z0-9_]"))
     parts.append(F.when(file_io, F.lit("file-io")))
-    net = _any_word(w, rt.NETWORK_BASE) | (_any_word(w, rt.NETWORK_CONTEXT[0]) & _any_word(w, rt.NETWORK_CONTEXT[1]))
-    ui = _any_word(w, rt.UI_BASE) | (_any_word(w, rt.UI_CONTEXT[0]) & _any_word(w, rt.UI_CONTEXT[1]))
+    net = _any_word(t, rt.NETWORK_BASE) | (_any_word(t, rt.NETWORK_CONTEXT[0]) & _any_word(t, rt.NETWORK_CONTEXT[1]))
+    ui = _any_word(t, rt.UI_BASE) | (_any_word(t, rt.UI_CONTEXT[0]) & _any_word(t, rt.UI_CONTEXT[1]))
     parts += [F.when(net, F.lit("networking")), F.when(ui, F.lit("UI"))]
     return F.array_compact(F.array(*parts))
 

@@ -167,7 +167,7 @@ def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path"))
         by_line, by_category = state
         words, line = set(rule.split("-")), int(line)
         if line > 0:
-            near = [w for d in range(-2, 3) for w, _ in by_line.get(line + d, ())]
+            near = [w for at in range(max(1, line - 2), line + 3) for w, _ in by_line.get(at, ())]
             near += [w for w, c in by_line.get(0, ()) if c == category]
         else:
             near = by_category.get(category, ())
