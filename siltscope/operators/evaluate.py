@@ -77,15 +77,21 @@ def match_findings(pred: DataFrame, truth: DataFrame, weights: dict = WEIGHTS, t
 
 
 def match_simple(pred: DataFrame, truth: DataFrame, tolerance: int = 2, keys: Sequence[str] = ("task_id",)) -> DataFrame:
-    """Type equal or containing the truth's first word, line within the tolerance or truth line 0."""
+    """Type equal or containing the truth's first word, line within the tolerance or truth line 0.
+
+    A truth with a line meets predictions by equality on the few lines around it, so a task with many
+    findings does not pair everything with everything.
+    """
     extra = [k for k in keys if k != "task_id"]
     p = pred.select(*keys, "pred_no", F.col("type").alias("p_type"), F.col("line").alias("p_line"))
     t = truth.select("task_id", "truth_no", F.col("type").alias("t_type"), F.col("line").alias("t_line"))
-    j = t.join(p, "task_id")
+    around = F.explode(F.sequence(F.col("t_line") - tolerance, F.col("t_line") + tolerance)).alias("p_line")
+    placed = t.filter("t_line > 0").select("task_id", "truth_no", "t_type", around).filter("p_line > 0").join(p, ["task_id", "p_line"])
+    whole = t.filter("t_line = 0").join(p, "task_id")
     typ = (F.col("p_type") == F.col("t_type")) | F.col("p_type").contains(F.element_at(F.split("t_type", "-"), 1))
-    line = (F.col("t_line") > 0) & (F.col("p_line") > 0) & (F.abs(F.col("p_line") - F.col("t_line")) <= tolerance)
-    pairs = j.filter(typ & (line | (F.col("t_line") == 0))).withColumn("score", F.lit(1.0))
-    return greedy_match(pairs.select("task_id", *extra, "truth_no", "pred_no", "score"), keys=["task_id", *extra])
+    cols = ["task_id", *extra, "truth_no", "pred_no"]
+    pairs = placed.filter(typ).select(*cols).unionByName(whole.filter(typ).select(*cols))
+    return greedy_match(pairs.withColumn("score", F.lit(1.0)), keys=["task_id", *extra])
 
 
 def outcomes(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:

@@ -26,13 +26,18 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def to_sarif(findings: DataFrame, per_document: int = 5000) -> DataFrame:
     """SARIF documents (repo_id, part, document) of at most about ``per_document`` results each.
 
-    A repository with more findings gets several parts, which the format allows as separate files;
-    findings are spread over the parts by hash, so no document grows with the table.
+    A repository with more findings gets several parts, which the format allows as separate files.
+    Equal results are counted first and then spread in groups of at most ``per_document`` copies, so
+    neither a large repository nor a mass of copies makes a large document.
     """
-    r = sarif_results(findings)
-    n = r.groupBy("repo_id").agg(F.ceil(F.count("*") / per_document).cast("int").alias("_parts"))
-    part = F.pmod(F.xxhash64("result"), F.col("_parts")).cast("int")
-    docs = r.join(n, "repo_id").withColumn("part", part).groupBy("repo_id", "part").agg(F.array_join(F.array_sort(F.collect_list("result")), ",").alias("_r"))
+    r = sarif_results(findings).groupBy("repo_id", "result").agg(F.count("*").alias("_c"))
+    n = r.groupBy("repo_id").agg(F.ceil(F.sum("_c") / per_document).cast("int").alias("_parts"))
+    piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("_c") - 1) / per_document).cast("int"))).alias("_i")
+    spread = r.join(n, "repo_id").select("repo_id", "result", "_c", "_parts", piece)
+    copies = F.least(F.lit(per_document), F.col("_c") - F.col("_i") * per_document).cast("int")
+    part = F.pmod(F.xxhash64("result", "_i"), F.col("_parts")).cast("int")
+    text = F.array_join(F.array_repeat("result", copies), ",")
+    docs = spread.select("repo_id", part.alias("part"), text.alias("_t")).groupBy("repo_id", "part").agg(F.array_join(F.array_sort(F.collect_list("_t")), ",").alias("_r"))
     head = f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","rules":[]}}}},"results":['
     return docs.select("repo_id", "part", F.concat(F.lit(head), F.col("_r"), F.lit("]}]}")).alias("document"))
 
