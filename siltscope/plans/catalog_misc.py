@@ -205,10 +205,19 @@ def a39(spark, sf):
 _INTENTS = ("Users can upload files. Must not store secrets. We use stripe and aws.", "- checkout page\n## Goals\nAs a manager, see reports. Must be fast.", "Build search; without downtime. Role: admin\nlatency below 10 ms.", "plain words only")
 
 
-@query("f15_extract_intent")
+def _intent_sql(patterns) -> str:
+    found = "list_concat(" + ", ".join(f"regexp_extract_all(t, {lit(p)}, 1)" for p in patterns) + ")"
+    clean = f"list_transform({found}, lambda v: trim(regexp_replace(regexp_replace(v, '[`*_#>-]+', ' ', 'g'), '\\s+', ' ', 'g')))"
+    cap = f"list_transform({clean}, lambda v: CASE WHEN regexp_matches(v, '^[a-z]') THEN upper(left(v, 1)) || substr(v, 2) ELSE v END)"
+    ok = f"list_filter({cap}, lambda v: length(v) > 3 AND length(v) < 200)"
+    return f"array_to_string(list_filter({ok}, lambda v, i: list_position({ok}, v) = i)[1:30], '|')"
+
+
+@query("f15_extract_intent", f"""WITH d AS (SELECT doc_id, list_extract([{', '.join(lit(x) for x in _INTENTS)}], CAST(doc_id % 4 AS INTEGER) + 1) || chr(10) || text AS t FROM documents)
+SELECT doc_id, {_intent_sql(sc.FEATURE_PATTERNS)} AS features, {_intent_sql(sc.CONSTRAINT_PATTERNS)} AS constraints, {_intent_sql(sc.PERSONA_PATTERNS)} AS personas, {_intent_sql(sc.QUALITY_PATTERNS)} AS quality FROM d""")
 def f15(spark, sf):
     d = dt.table(spark, sf, "documents").select("doc_id", F.concat_ws("\n", _pick(_INTENTS, F.col("doc_id") % 4), "text").alias("text"))
-    cols = ("features", "constraints", "personas", "integrations", "quality")
+    cols = ("features", "constraints", "personas", "quality")
     return sc.extract_intent(d).select("doc_id", *[F.array_join(c, "|").alias(c) for c in cols])
 
 
