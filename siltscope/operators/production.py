@@ -222,7 +222,10 @@ def license_rules(tree: DataFrame, flags: DataFrame) -> DataFrame:
 
 def legacy_patterns(files: DataFrame, minimum: int = 5) -> DataFrame:
     """Uses of legacy constructs per repository above ``minimum``; deduction at most 8 (high) or 4."""
-    counts = [tx.rx_count("content", p).alias(f"n{i}") for i, (p, _, _) in enumerate(rt.LEGACY_PATTERNS)]
+    counts = [
+        F.when(F.col("content").contains(needle), tx.rx_count("content", p)).otherwise(0).alias(f"n{i}")
+        for i, ((p, _, _), needle) in enumerate(zip(rt.LEGACY_PATTERNS, rt.LEGACY_NEEDLES))
+    ]
     sums = files.select("repo_id", *counts).groupBy("repo_id").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(counts))])
     rows = F.array(*[
         F.struct(F.lit(label).alias("rule"), F.lit(sev).alias("severity"), F.col(f"n{i}").alias("uses"), F.least(F.lit(8 if sev == "high" else 4), F.col(f"n{i}")).cast("int").alias("deduction"))
