@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
+from siltscope.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def byte_bpe() -> str:
+    """The public byte-level vocabulary; a file of the installed environment on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), byte_bpe())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -21,5 +33,5 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
-QUERIES: dict[str, Query] = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES: dict[str, Query] = {"op1_best_fit_packing": op1_best_fit_packing, "op8_exact_dedup": op8_exact_dedup}
 ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
