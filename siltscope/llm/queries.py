@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
 from siltscope.llm.packing import pack
+from siltscope.llm.quality import OP9_SQL, op9_quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,5 +34,9 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
-QUERIES: dict[str, Query] = {"op1_best_fit_packing": op1_best_fit_packing, "op8_exact_dedup": op8_exact_dedup}
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
