@@ -10,6 +10,7 @@ from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
+from siltscope.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,5 +39,6 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_substring_dedup": OP10_SQL}

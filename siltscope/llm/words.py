@@ -13,6 +13,10 @@ import pyarrow as pa
 U = np.uint64
 _rng = np.random.default_rng(20260801)
 BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=U)
+#: a second, independent set for 96-bit identities
+BYTE2 = _rng.integers(1, 2**64 - 1, 256, dtype=U)
+BASE2 = U(0xA0761D6478BD642F)
+STEP2 = U(0xE7037ED1A0B428DB)
 BASE = U(0x9E3779B97F4A7C15)
 STEP = U(0xD1342543DE82EF95)
 BLANK = np.zeros(256, dtype=bool)
@@ -31,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, dtype=U)
+    out = np.full(max(n, 1), int(base), dtype=U)
     out[0] = U(1)
     return np.multiply.accumulate(out)
 
@@ -69,22 +73,61 @@ class Words:
             at = np.concatenate(([0], np.cumsum(n)[:-1]))
             place = np.arange(int(n.sum())) - np.repeat(at, n)
             self.hash = mix(np.add.reduceat(BYTE[data[inside]] * powers(BASE, int(n.max()))[place], at) + n.astype(U))
+            self._again = lambda: mix(np.add.reduceat(BYTE2[data[inside]] * powers(BASE2, int(n.max()))[place], at) + n.astype(U))
         else:
             self.hash = np.empty(0, U)
+            self._again = lambda: np.empty(0, U)
 
     def counts(self) -> np.ndarray:
         """Words of each row."""
         return np.diff(self.first)
 
-    def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of every k consecutive words of a row: the index of the first, and the hash."""
+    def hash2(self) -> np.ndarray:
+        """Hashes of the words that do not depend on ``hash``."""
+        return self._again()
+
+    def runs(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Of every k consecutive words of a row: the index of the first, and the hash (``second``: the independent one)."""
         n = len(self.hash)
         if n < k:
             return np.empty(0, np.int64), np.empty(0, U)
-        up = powers(STEP, n)
-        total = np.concatenate((np.zeros(1, U), np.cumsum(self.hash * up)))
-        down = powers(pow(int(STEP), -1, 2**64), n - k + 1)
+        one, step = (self.hash2(), STEP2) if second else (self.hash, STEP)
+        up = powers(int(step), n)
+        total = np.concatenate((np.zeros(1, U), np.cumsum(one * up)))
+        down = powers(pow(int(step), -1, 2**64), n - k + 1)
         h = mix((total[k:] - total[:-k]) * down + U(k))
         whole = self.doc[: n - k + 1] == self.doc[k - 1 :]
         at = np.flatnonzero(whole)
         return at, h[at]
+
+
+def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
+    """The minimum of every k neighbours."""
+    if len(x) < k:
+        return x[:0]
+    span = 1
+    while 2 * span <= k:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    rest = k - span
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def deal(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """Deal 64-bit keys out to n ranges: (range, indexes of its keys), ranges without keys left out."""
+    if not len(keys):
+        return []
+    to = ((keys >> U(32)) * U(n)) >> U(32)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    return [(int(to[part[0]]), order[part]) for part in np.split(np.arange(len(order)), cuts)]
+
+
+def group_starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins in sorted columns."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
