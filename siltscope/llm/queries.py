@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
+from siltscope.llm.jaccard_join import op7_ngram_jaccard_join
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
 from siltscope.llm.substring_dedup import OP10_SQL, op10_substring_dedup
@@ -37,6 +38,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
