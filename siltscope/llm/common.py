@@ -19,12 +19,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text alone (null text: empty), so that other columns never reach an operator."""
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of a row but its text, as one column ``rest`` that passes through an operator untouched."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, on storage that outlives executors."""
     spark = df.sparkSession

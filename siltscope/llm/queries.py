@@ -12,6 +12,7 @@ from siltscope.llm.jaccard_join import op7_ngram_jaccard_join
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
 from siltscope.llm.substring_dedup import OP10_SQL, op10_substring_dedup
+from siltscope.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_toxicity": op2_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,

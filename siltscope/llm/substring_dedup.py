@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltscope.llm.common import documents, saved, slices, texts
+from siltscope.llm.common import carried, documents, saved, slices, texts
 from siltscope.llm.sketch import CountMin
 from siltscope.llm.words import Words, deal, group_starts, sliding_min
 
@@ -142,17 +143,18 @@ def _by_doc(doc: np.ndarray, start: np.ndarray, ids: np.ndarray, keys: np.ndarra
     return [(int(ids[doc[a]]), int(keys[doc[a]]), start[a:b].tobytes()) for a, b in zip(cut, np.append(cut[1:], len(doc)))]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, bits: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space), text (the given one).
+def remove_repeats(docs: DataFrame, *carry: Column, window: int = WINDOW, bits: int | None = None) -> DataFrame:
+    """One row per document: doc_id, carried columns, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if a window of ``window`` consecutive words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input. Null, empty and shorter texts lose nothing. A missing doc_id counts as larger than
     any. Rows that repeat a doc_id do not precede one another, so repeated rows lose the same words. Other columns are ignored.
     """
-    t = texts(docs).withColumn("key", F.xxhash64("text"))
+    t = texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), *carry)
+    slim = t.select("doc_id", "text", "key")
     n = t.count()
     bits = bits or min(BITS[1], max(BITS[0], (16 * n).bit_length()))
-    gone = saved(covered_starts(t, window, bits, max(64, n // GROUP_DOCS)), "covered")
+    gone = saved(covered_starts(slim, window, bits, max(64, n // GROUP_DOCS)), "covered")
     gone = gone.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +175,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, bits: int | None = Non
                 else:
                     n_removed.append(0)
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), b.column("text")],
-                ["doc_id", "n_words", "n_removed", "kept_text", "text"],
-            )
+            out = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + out, [*names, "n_words", "n_removed", "kept_text"])
 
     g = gone.select(F.col("doc_id").alias("g_id"), F.col("key").alias("g_key"), "starts")
-    j = t.join(g, t.doc_id.eqNullSafe(g.g_id) & (t.key == g.g_key), "left").select("doc_id", "text", "starts")
-    return j.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string, text string")
+    j = t.join(g, t.doc_id.eqNullSafe(g.g_id) & (t.key == g.g_key), "left").drop("g_id", "g_key", "key")
+    names = [c for c in t.columns if c not in ("text", "key")]
+    schema = T.StructType([t.schema[c] for c in names]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    return j.mapInArrow(cut, schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text`` and ``n_chars`` set anew where a document changed.
+
+    A document that loses all its words goes; one that loses none keeps its text to the byte.
+    """
+    r = remove_repeats(docs, carried(docs), F.col("text").alias("given"), window=window).filter("n_removed < n_words OR n_words = 0")
+    changed = F.col("n_removed") > 0
+    columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("given"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col("rest.n_chars"))
+    return r.select(*[columns.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
