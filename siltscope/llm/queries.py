@@ -10,6 +10,7 @@ from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
 from siltscope.llm.jaccard_join import op7_ngram_jaccard_join
 from siltscope.llm.language_id import op6_language_id
+from siltscope.llm.licenses import op4_license_scan
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
 from siltscope.llm.substring_dedup import OP10_SQL, op10_substring_dedup
@@ -41,6 +42,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
