@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltscope.session import shared_dir, ship
 
 #: text a Python task holds decoded at a time; a longer document is a slice of its own
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

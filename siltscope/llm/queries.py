@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltscope.llm.brown import op5_brown_score
 from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
 from siltscope.llm.jaccard_join import op7_ngram_jaccard_join
@@ -43,6 +44,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op5_brown_score": op5_brown_score,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-DEPTH = 2
+DEPTH = 3
 TOP = 255
 #: bytes of a piece
 PIECE = 1 << 16
-_ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+_ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
 
 class CountMin:
@@ -28,8 +28,7 @@ class CountMin:
             row[one] = np.minimum(row[one].astype(np.int64) + n, TOP)
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        a, b = (row[at] for row, at in zip(self.table, self._places(keys)))
-        return np.minimum(a, b)
+        return np.minimum.reduce([row[at] for row, at in zip(self.table, self._places(keys))])
 
     def pieces(self) -> list[tuple[int, bytes]]:
         """The pieces that hold any count."""

@@ -23,11 +23,11 @@ from pyspark.sql import types as T
 
 from siltscope.llm.common import carried, documents, saved, slices, texts
 from siltscope.llm.sketch import CountMin
-from siltscope.llm.words import Words, deal, group_starts, sliding_min
+from siltscope.llm.words import Words, deal, group_starts, mix, sliding_min
 
 WINDOW = 50
 GRAM = 8
-#: the sketch has two rows of 2^bits bytes: 16 counters per document, within these bounds
+#: the sketch has three rows of 2^bits bytes: 64 counters a row for each document, within these bounds
 BITS = (16, 24)
 #: documents whose windows one group of the exact pass holds, were all windows estimated repeated
 GROUP_DOCS = 1500
@@ -69,7 +69,7 @@ def sketch_anchors(t: DataFrame, bits: int, window: int) -> CountMin:
 
     schema = "piece int, counts binary"
     merged = t.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(merge, schema)
-    return CountMin.of(bits, [(r["piece"], r["counts"]) for r in merged.collect()])  # at most 2 * 2^bits bytes
+    return CountMin.of(bits, [(r["piece"], r["counts"]) for r in merged.collect()])  # at most 3 * 2^bits bytes
 
 
 def covered_starts(t: DataFrame, window: int, bits: int, n_groups: int) -> DataFrame:
@@ -85,7 +85,7 @@ def covered_starts(t: DataFrame, window: int, bits: int, n_groups: int) -> DataF
             w = Words(b.column("text"))
             at, low = anchors(w, window)
             repeated = s.count(low) >= 2
-            at = at[repeated]
+            at, low = at[repeated], low[repeated]
             if not len(at):
                 continue
             first, h1 = w.runs(window)
@@ -97,13 +97,16 @@ def covered_starts(t: DataFrame, window: int, bits: int, n_groups: int) -> DataF
             keys = b.column("key").to_numpy(zero_copy_only=False)
             start = (at - w.first[doc]).astype(np.int32)
             order = np.lexsort((ids[doc], k2, k1))
-            k1, k2, doc, start = k1[order], k2[order], doc[order], start[order]
+            k1, k2, doc, start, low = k1[order], k2[order], doc[order], start[order], low[order]
             g = group_starts(k1, k2)
             least = np.repeat(ids[doc][g], np.diff(np.append(g, len(k1))))
             here = ids[doc] > least
             rows = [(-1, *x) for x in _by_doc(doc[here], start[here], ids, keys)]
-            k1, k2, doc, start = k1[~here], k2[~here], doc[~here], start[~here]
-            out = [(p, k1[i].tobytes(), k2[i].tobytes(), ids[doc[i]].tobytes(), keys[doc[i]].tobytes(), start[i].tobytes()) for p, i in deal(k1, n_groups)]
+            order = np.flatnonzero(~here)
+            order = order[np.lexsort((start[order], doc[order]))]
+            k1, k2, doc, start, low = k1[order], k2[order], doc[order], start[order], low[order]
+            # dealt by anchor, so that neighbouring windows stay together and their ids and places pack well
+            out = [(p, k1[i].tobytes(), k2[i].tobytes(), ids[doc[i]].tobytes(), keys[doc[i]].tobytes(), start[i].tobytes()) for p, i in deal(mix(low), n_groups)]
             # what the slice has settled passes through any group
             out += [(int(abs(k) % n_groups), None, None, np.int64(d).tobytes(), np.int64(k).tobytes(), st) for _, d, k, st in rows]
             names = ["p", "k1", "k2", "doc", "key", "start"]
@@ -153,7 +156,7 @@ def remove_repeats(docs: DataFrame, *carry: Column, window: int = WINDOW, bits:
     t = texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), *carry)
     slim = t.select("doc_id", "text", "key")
     n = t.count()
-    bits = bits or min(BITS[1], max(BITS[0], (16 * n).bit_length()))
+    bits = bits or min(BITS[1], max(BITS[0], (64 * n).bit_length()))
     gone = saved(covered_starts(slim, window, bits, max(64, n // GROUP_DOCS)), "covered")
     gone = gone.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
 
