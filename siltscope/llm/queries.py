@@ -14,6 +14,7 @@ from siltscope.llm.language_id import op6_language_id
 from siltscope.llm.licenses import op4_license_scan
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
+from siltscope.llm.sentencepiece_scan import op3_sentencepiece_scan
 from siltscope.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from siltscope.llm.toxicity import op2_toxicity
 
@@ -43,6 +44,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_sentencepiece_scan": op3_sentencepiece_scan,
     "op4_license_scan": op4_license_scan,
     "op5_brown_score": op5_brown_score,
     "op6_language_id": op6_language_id,
