@@ -64,7 +64,7 @@ def encoded(t: DataFrame) -> DataFrame:
             shift = np.cumsum([0, *(len(p[0]) for p in parts)])
             tokens = np.concatenate([to[a + p[1]] for a, p in zip(shift, parts)]).astype(np.int32)
             ids, held, sizes = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
-            train = np.bincount(tokens[np.repeat(held == 0, sizes)], minlength=len(words))
+            train = np.bincount(tokens[np.repeat(held & 1 == 0, sizes)], minlength=len(words))
             row = (chunk, words.tobytes(), packed(train), ids.tobytes(), held.tobytes(), sizes.astype(np.int32).tobytes(), packed(tokens))
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], [c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -229,7 +229,8 @@ def exchange(m: np.ndarray, n_words: int, classes: int, sweeps: int) -> np.ndarr
             gain = (xlogx(rows + r) - xlogx(rows)).sum(axis=1) + (xlogx(cols + l) - xlogx(cols)).sum(axis=1)
             d = a[own, own]
             gain += xlogx(d + r[:k] + l[:k] + s) - xlogx(d) - (xlogx(d + r[:k]) - xlogx(d)) - (xlogx(d + l[:k]) - xlogx(d))
-            out, into = a.sum(axis=1)[:k], a.sum(axis=0)[:k]
+            # wherever the word goes, its neighbours' classes gain its contexts
+            out, into = a.sum(axis=1)[:k] + l[:k], a.sum(axis=0)[:k] + r[:k]
             gain -= xlogx(out + r.sum() + s) - xlogx(out) + xlogx(into + l.sum() + s) - xlogx(into)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:

@@ -91,7 +91,7 @@ def fit(docs: DataFrame) -> Model:
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(MOD, REST))
     names = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())  # languages, not documents
     if not names:
-        return Model([], np.empty((0, 0)), np.empty((0, 0)), np.empty(0), np.empty(0))
+        return Model([], np.empty((0, 0)), np.zeros((1 << BITS, 0)), np.empty(0), np.empty(0))
     each = max(SAMPLE // len(names), 3)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= each).select("doc_id").distinct()
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for bucket, row in grams(text):
                 cut = np.searchsorted(row, np.arange(rows))
                 full = np.flatnonzero(np.bincount(row, minlength=rows))
-                if len(full):
+                if len(full) and len(model.bias):
                     z[full] += np.add.reduceat(model.weights[bucket], cut[full], axis=0, dtype=np.float64)
                 total += np.bincount(row, minlength=rows)
             z = z / np.maximum(total, 1)[:, None] + model.bias
