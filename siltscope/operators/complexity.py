@@ -147,11 +147,11 @@ def size_distribution(complexity: DataFrame) -> DataFrame:
     )
 
 
-def worst_complexity(complexity: DataFrame, k: int = 5) -> DataFrame:
+def worst_complexity(complexity: DataFrame, k: int | None = None) -> DataFrame:
     return first_n(complexity.filter(F.col("score") > 0), ["repo_id"], [F.desc("score"), F.asc("path")], k)
 
 
-def longest_files(complexity: DataFrame, k: int = 5) -> DataFrame:
+def longest_files(complexity: DataFrame, k: int | None = None) -> DataFrame:
     return first_n(complexity.select("repo_id", "path", "lines"), ["repo_id"], [F.desc("lines"), F.asc("path")], k)
 
 

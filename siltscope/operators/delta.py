@@ -71,9 +71,10 @@ def restrict_to_diff(files: DataFrame, diff_files: DataFrame) -> DataFrame:
     return files.join(diff_files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
 
 
-def append_versions(new: DataFrame, existing: DataFrame, max_chars: int = 100_000) -> DataFrame:
-    """Versions to append: keyed by (user_id, repo_url, content hash), over-long content refused."""
-    n = new.filter(F.length("content") <= max_chars).withColumn("content_hash", tx.content_hash("content"))
+def append_versions(new: DataFrame, existing: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Versions to append, keyed by (user_id, repo_url, content hash); ``reason`` is null, or says why one is refused."""
+    long = F.lit(False) if max_chars is None else F.length("content") > max_chars
+    n = new.withColumn("content_hash", tx.content_hash("content")).withColumn("reason", F.when(long, "content-too-long"))
     n = n.dropDuplicates(["user_id", "repo_url", "content_hash"])
     return n.join(existing.select("user_id", "repo_url", "content_hash"), ["user_id", "repo_url", "content_hash"], "left_anti")
 

@@ -37,14 +37,14 @@ def file_scores(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo_id", "path").agg(F.sum(w).alias("score"), F.count("*").alias("n_findings"))
 
 
-def worst_files(scores: DataFrame, k: int = 10, per_repo: bool = False) -> DataFrame:
+def worst_files(scores: DataFrame, k: int | None = None, per_repo: bool = False) -> DataFrame:
     """Highest risk first, only files above zero."""
     live = scores.filter(F.col("score") > 0)
     order = [F.desc("score"), F.asc("repo_id"), F.asc("path")]
-    return first_n(live, ["repo_id"], order, k) if per_repo else live.orderBy(*order).limit(k)
+    return first_n(live, ["repo_id"], order, k) if per_repo or k is None else live.orderBy(*order).limit(k)
 
 
-def file_reasons(findings: DataFrame, files: DataFrame, k: int = 5) -> DataFrame:
+def file_reasons(findings: DataFrame, files: DataFrame, k: int | None = None) -> DataFrame:
     """First ``k`` finding details of the given files, in finding order."""
     keyed = findings.join(files.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
     return first_n(keyed, ["repo_id", "path"], [F.asc("ordinal"), F.asc("line"), F.asc("rule")], k)
@@ -135,7 +135,7 @@ def debt_interest(facts: DataFrame) -> DataFrame:
     return out.withColumn("cost_per_year", F.col("hours_per_month") * 12 * 100)
 
 
-def top_debt(items: DataFrame, k: int = 5) -> DataFrame:
+def top_debt(items: DataFrame, k: int | None = None) -> DataFrame:
     return first_n(items, ["repo_id"], [F.desc("cost_per_year"), F.asc("item_no")], k)
 
 

@@ -241,21 +241,17 @@ def module_summary(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 # --- blast radius ---------------------------------------------------------------------------------------
 
-MAX_SYMBOLS = 10_000
-
-
 def blast_radius(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files that mention a symbol as a whole word: lines, depth 1 with its definition else 2, test or not.
 
-    symbols(symbol) is a request list; its size is checked before it is broadcast.
+    symbols(symbol) is a request list of any length; the planner broadcasts a short one.
     """
     names = symbols.select("symbol").distinct()
-    small = len(names.take(MAX_SYMBOLS + 1)) <= MAX_SYMBOLS
     ln = files.select("repo_id", "path", F.explode(tx.split_lines("content")).alias("text"))
     # the look-ahead lets "export function f" define f as well as match export
     defined = tx.rx_all("text", tx.BL + r"(?=(?:function|class|const|let|var|def|interface|type|export)\s+(\w+))", 1)
     words = ln.select("repo_id", "path", defined.alias("defined"), F.explode(F.array_distinct(tx.rx_all("text", r"\w+"))).alias("symbol"))
-    hit = words.join(F.broadcast(names) if small else names, "symbol")
+    hit = words.join(names, "symbol")
     return hit.groupBy("symbol", "repo_id", "path").agg(
         F.count("*").alias("mentions"),
         F.when(F.max(F.array_contains("defined", F.col("symbol"))), 1).otherwise(2).alias("depth"),
@@ -292,8 +288,8 @@ def gaps_in_tests(files: DataFrame) -> DataFrame:
     return out.withColumn("priority", F.when(F.col("complexity") == "high", "high").otherwise("medium"))
 
 
-def risk_heatmap(files: DataFrame, k: int = 15) -> DataFrame:
-    """Complexity weight times churn proxy, kept above 15, top ``k`` per repository."""
+def risk_heatmap(files: DataFrame, k: int | None = None) -> DataFrame:
+    """Complexity weight times churn proxy, kept above 15 (top ``k`` per repository)."""
     from siltscope.functions import numbers as nm
 
     flow = tx.rx_count("content", tx.BL + r"(?:if|for|while|switch|catch|try)\s")

@@ -72,8 +72,8 @@ def score_band_trend(scans: DataFrame, band: int = 2) -> DataFrame:
     )
 
 
-def scan_timeseries(scans: DataFrame, limit: int = 50, keep: str = "oldest") -> DataFrame:
-    """``limit`` scans per repository with defaults for missing values; position counts in time order."""
+def scan_timeseries(scans: DataFrame, limit: int | None = None, keep: str = "oldest") -> DataFrame:
+    """All scans (or ``limit``) per repository with defaults for missing values; position counts in time order."""
     order = [F.asc("created_at"), F.asc("scan_id")] if keep == "oldest" else [F.desc("created_at"), F.desc("scan_id")]
     s = first_n(complete(scans), ["repo_url"], order, limit)
     pos = F.row_number().over(W.partitionBy("repo_url").orderBy("created_at", "scan_id"))
@@ -86,7 +86,7 @@ def scan_timeseries(scans: DataFrame, limit: int = 50, keep: str = "oldest") ->
     )
 
 
-def vibe_history(scans: DataFrame, limit: int = 50, band: int = 5, keep: str = "oldest") -> DataFrame:
+def vibe_history(scans: DataFrame, limit: int | None = None, band: int = 5, keep: str = "oldest") -> DataFrame:
     """First and last index of a repository's history and its direction."""
     order = [F.asc("created_at"), F.asc("scan_id")] if keep == "oldest" else [F.desc("created_at"), F.desc("scan_id")]
     s = first_n(complete(scans), ["repo_url"], order, limit).filter(F.col("vibe_score").isNotNull())
@@ -137,7 +137,7 @@ def health_trend(scans: DataFrame) -> DataFrame:
     )
 
 
-def risk_hotspots(scans: DataFrame, k: int = 10) -> DataFrame:
+def risk_hotspots(scans: DataFrame, k: int | None = None) -> DataFrame:
     """Riskiest repositories by ``100 - (security + quality) / 2`` plus 30 (drifting) or 15 (at risk)."""
     latest = latest_scan(complete(scans))
     drift = F.when(F.col("drift_status") == "drifting", 30).when(F.col("drift_status") == "at-risk", 15).otherwise(0)

@@ -132,13 +132,13 @@ _KEEP_DETAIL = ("null-safety", "bool-literal-compare", "parse-int-radix", "broke
 
 
 def hygiene_findings(files: DataFrame) -> DataFrame:
-    """All hygiene findings; per file, category and leading detail text only the first one stays."""
+    """All hygiene findings; per file, category and detail only the first one stays."""
     allf = hygiene_lines(files).unionByName(hygiene_blocks(files)).unionByName(hygiene_files(files))
     return dedupe_hygiene(allf)
 
 
-def dedupe_hygiene(findings: DataFrame, width: int = 40) -> DataFrame:
-    key = F.when(F.col("rule").isin(*_KEEP_DETAIL), F.concat_ws("|", "rule", F.substring("detail", 1, width))).otherwise(F.col("rule"))
+def dedupe_hygiene(findings: DataFrame) -> DataFrame:
+    key = F.when(F.col("rule").isin(*_KEEP_DETAIL), F.concat_ws("|", "rule", "detail")).otherwise(F.col("rule"))
     rest = [c for c in FINDING_COLUMNS if c not in ("repo_id", "path", "category")]
     first = F.min_by(F.struct(*rest), F.struct("ordinal", "line"))
     return (

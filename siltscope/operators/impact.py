@@ -95,7 +95,7 @@ def pr_impact(file_impact: DataFrame, changes: DataFrame, current: DataFrame) ->
     )
 
 
-def top_changes(file_impact: DataFrame, k: int = 3) -> DataFrame:
+def top_changes(file_impact: DataFrame, k: int | None = None) -> DataFrame:
     """Largest gains and losses per PR.  Gains are listed from the smallest up, as published."""
     wins = first_n(file_impact.filter("score_delta > 0"), ["pr_id"], [F.asc("score_delta"), F.asc("path")], k).withColumn("kind_of", F.lit("win"))
     risks = first_n(file_impact.filter("score_delta < 0"), ["pr_id"], [F.desc("score_delta"), F.asc("path")], k).withColumn("kind_of", F.lit("risk"))
@@ -120,7 +120,7 @@ def fix_recommendations(file_impact: DataFrame, reasons: DataFrame) -> DataFrame
     return j.select("pr_id", "path", "reason", "fix", "effort", saved.alias("points_saved"), (saved / (rank + 1)).alias("value"))
 
 
-def fix_shortlists(recs: DataFrame, k: int = 5) -> DataFrame:
+def fix_shortlists(recs: DataFrame, k: int | None = None) -> DataFrame:
     """Quick wins (trivial or small) and major refactors (medium or large), best ``k`` of each per PR."""
     r = recs.withColumn("bucket", F.when(F.col("effort").isin("trivial", "small"), "quick-win").otherwise("refactor"))
     return first_n(r, ["pr_id", "bucket"], [F.desc("value"), F.asc("path"), F.asc("reason")], k)

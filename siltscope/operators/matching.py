@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from siltscope.functions import text as tx
 from siltscope.rules import tables as rt
-from siltscope.rules.model import Rule, rules_from_df
+from siltscope.rules.model import BATCH, Rule, rules_from_df
 
 FINDING_COLUMNS = ("repo_id", "path", "line", "rule", "category", "severity", "confidence", "detail", "ordinal")
 
@@ -52,6 +53,11 @@ def match_lines(files: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFram
     Output: repo_id, path, line, rule, category, severity, confidence, detail, ordinal.
     """
     rules = _as_rules(rules)
+    parts = [_match_lines(files, rules[i : i + BATCH], i) for i in range(0, max(len(rules), 1), BATCH)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _match_lines(files: DataFrame, rules: Sequence[Rule], first: int) -> DataFrame:
     pre = _needle_filter(rules, F.col("content"))
     src = files if pre is None else files.filter(pre)
     ln = lines(src)
@@ -70,7 +76,7 @@ def match_lines(files: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFram
                     F.regexp_extract(
                         tx.strip("text") if r.trimmed else F.col("text"), tx.java(r.pattern), 0
                     ).alias("detail"),
-                    F.lit(i).alias("ordinal"),
+                    F.lit(first + i).alias("ordinal"),
                 ),
             )
             for i, r in enumerate(rules)
@@ -233,33 +239,32 @@ def hardcoded_secret_files(files: DataFrame) -> DataFrame:
     )
 
 
-def hardcoded_secret(files: DataFrame, budget: int = rt.SECRET_BUDGET, order: Column | None = None, chunk: Column | None = None) -> DataFrame:
-    """Per repository: is a hard-coded credential within the first ``budget`` characters of its files?
+def hardcoded_secret(files: DataFrame, budget: int | None = None) -> DataFrame:
+    """Per repository: does any file hold a hard-coded credential?
 
-    Files are taken in ``order`` (default: path).  ``chunk`` is any coarser key that sorts the same
-    way (default: an 8-character path prefix).  Chunk totals are pre-aggregated, so only chunks that
-    start inside the budget are ever ordered file by file; a huge repository is never one task.
+    With a ``budget``, only files that end within the first ``budget`` characters of the repository, in path order,
+    count.  Lengths are summed per range of paths first and carried from range to range, so only ranges
+    that start inside the budget are ordered file by file, and no repository is one task.
     """
-    order = F.col("path") if order is None else order
-    chunk = F.substring("path", 1, 8) if chunk is None else chunk
-    eligible = (
+    flags = (
         files.filter(~F.col("path").rlike(rt.SECRET_SKIP_EXT) & ~F.col("path").rlike(rt.SECRET_SKIP_PATH))
         .filter(~F.col("path").contains(".env") | F.col("path").contains(".env.example"))
-        .select(
-            "repo_id",
-            chunk.alias("chunk"),
-            order.alias("ord"),
-            F.length("content").cast("long").alias("n"),
-            tx.rx("content", rt.HARDCODED_SECRET).alias("hit"),
-        )
+        .select("repo_id", "path", F.length("content").cast("long").alias("n"), tx.rx("content", rt.HARDCODED_SECRET).alias("hit"))
     )
-    from siltscope.operators.ordered import prefix_sum
-
-    walked = prefix_sum(eligible, keys=["repo_id"], chunk="chunk", order="ord", value="n", out="cum", stop_after=budget)
-    flags = walked.filter(F.col("cum") <= budget).groupBy("repo_id").agg(F.max("hit").alias("hit"))
+    if budget is not None:
+        from siltscope.operators.ordered import prefix_sum
+        from siltscope.session import shared_dir
+
+        # ranges of (repository, path): Spark samples their borders, so equal path beginnings do not pile up;
+        # the slim rows are written once, as another sample would draw other borders
+        spark, place = files.sparkSession, shared_dir(files.sparkSession, "secret-ranges")
+        flags.repartitionByRange("repo_id", "path").withColumn("chunk", F.spark_partition_id()).write.parquet(place)
+        ranged = spark.read.parquet(place)
+        flags = prefix_sum(ranged, keys=["repo_id"], chunk="chunk", order="path", value="n", out="cum", stop_after=budget).filter(F.col("cum") <= budget)
+    found = flags.groupBy("repo_id").agg(F.max("hit").alias("hit"))
     return (
         files.select("repo_id").distinct()
-        .join(flags, "repo_id", "left")
+        .join(found, "repo_id", "left")
         .select("repo_id", F.coalesce("hit", F.lit(False)).alias("hardcoded_secret"))
     )
 

@@ -88,12 +88,14 @@ def row_number_in_key(df: DataFrame, keys: list[str], chunk: Column, order: list
     )
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
-    """First ``n`` rows per key.
+def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int | None) -> DataFrame:
+    """First ``n`` rows per key; without ``n`` all rows.
 
     The rank filter is pushed below the shuffle (at most ``n`` rows per key and input partition
     leave a task), so a hot key costs n x partitions rows, not all of them.
     """
+    if n is None:
+        return df
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -98,9 +98,9 @@ def tree_flags(file_tree: DataFrame) -> DataFrame:
 
 # --- production readiness ---------------------------------------------------------------------------
 
-def production_files(files: DataFrame, first_rejections: int = 5) -> DataFrame:
-    """File rules: await without any try (first five files of a repository), blocking calls, network calls
-    without timeout (first file of a repository), long literals that look like credentials."""
+def production_files(files: DataFrame, rejections: int | None = None, timeouts: int | None = None) -> DataFrame:
+    """File rules: await without any try, blocking calls, network calls without timeout, long literals that look like
+    credentials.  ``rejections`` and ``timeouts`` cut the listing of a repository to the first files by path."""
     c = F.col("content")
     ls = tx.split_lines(c)
     base = files.select(
@@ -116,13 +116,13 @@ def production_files(files: DataFrame, first_rejections: int = 5) -> DataFrame:
         spec(F.col("no_timeout"), "missing-timeout", "high", category="production"),
         spec(F.col("exposed"), "config-exposure", "critical", category="production"),
     ]).drop("points")
-    capped = f.filter(F.col("rule").isin("unhandled-rejection", "missing-timeout"))
+    if rejections is None and timeouts is None:
+        return f
     # one rank per (repository, rule); the rank filter runs before the shuffle
-    kept = first_n(capped, ["repo_id", "rule"], [F.asc("path")], first_rejections)
-    kept = kept.filter(F.col("rule") == "unhandled-rejection").unionByName(
-        first_n(capped.filter(F.col("rule") == "missing-timeout"), ["repo_id"], [F.asc("path")], 1)
-    )
-    return kept.unionByName(f.filter(~F.col("rule").isin("unhandled-rejection", "missing-timeout")))
+    out = f.filter(~F.col("rule").isin("unhandled-rejection", "missing-timeout"))
+    for rule, n in (("unhandled-rejection", rejections), ("missing-timeout", timeouts)):
+        out = out.unionByName(first_n(f.filter(F.col("rule") == rule), ["repo_id"], [F.asc("path")], n))
+    return out
 
 
 def production_readiness(files: DataFrame, file_tree: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def directory_counts(file_tree: DataFrame) -> DataFrame:
     return file_tree.select("repo_id", F.explode(ancestors("path")).alias("dir")).groupBy("repo_id", "dir").agg(F.count("*").alias("files"))
 
 
-def directory_breakdown(file_tree: DataFrame, k: int = 10) -> DataFrame:
+def directory_breakdown(file_tree: DataFrame, k: int | None = None) -> DataFrame:
     """Largest directories per repository, every ancestor counted, with a label."""
     top = first_n(directory_counts(file_tree), ["repo_id"], [F.desc("files"), F.asc("dir")], k)
     return top.withColumn("label", directory_label(F.col("dir")))

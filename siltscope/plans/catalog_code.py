@@ -96,8 +96,8 @@ _PROD_FILES = f"""pb AS (SELECT repo_id, path,
   CASE WHEN {has(*_SYNC)} THEN list_position(list_transform(string_split(content, chr(10)), lambda x: {o.contains('x', *_SYNC)}), true) ELSE 0 END AS sy,
   {has('fetch(', 'axios(', 'http.')} AND NOT {has('timeout', 'AbortController', 'signal')} AS nt,
   regexp_matches(content, '[''"][A-Za-z0-9+/=]{{40,}}[''"]') AND NOT {has('example', 'test', '.env')} AS ex FROM allf),
-pf AS (SELECT repo_id, path, aw AS line, 'unhandled-rejection' AS rule, 'high' AS severity FROM pb WHERE aw > 0 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 5
-  UNION ALL SELECT repo_id, path, 0, 'missing-timeout', 'high' FROM pb WHERE nt QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 1
+pf AS (SELECT repo_id, path, aw AS line, 'unhandled-rejection' AS rule, 'high' AS severity FROM pb WHERE aw > 0
+  UNION ALL SELECT repo_id, path, 0, 'missing-timeout', 'high' FROM pb WHERE nt
   UNION ALL SELECT repo_id, path, sy, 'sync-blocking', 'medium' FROM pb WHERE sy > 0
   UNION ALL SELECT repo_id, path, 0, 'config-exposure', 'critical' FROM pb WHERE ex)"""
 _FLAGS = f"""fl AS (SELECT repo_id, bool_or({has('SIGTERM', 'SIGINT', 'graceful', 'shutdown')}) AS shutdown, bool_or({o.matches(C, rt.HEALTH_ROUTE)} OR {has('healthcheck', 'healthCheck')}) AS health,
@@ -234,7 +234,7 @@ _PORT = f"""{_ALL}, {_TREE}, {_SECRET}, pc AS (SELECT tr.repo_id, unnest([{{'k':
 
 def _portability(spark, sf):
     f = _all(spark, sf)
-    return production.portability(f.select("repo_id", "path"), matching.hardcoded_secret(f, budget=10**12))
+    return production.portability(f.select("repo_id", "path"), matching.hardcoded_secret(f))
 
 
 @query("p29_portability", f"WITH {_PORT} SELECT repo_id, c.k AS \"check\", c.v AS passed FROM pc")
@@ -507,7 +507,7 @@ c AS (SELECT *, CASE WHEN flow > 30 THEN 'high' WHEN flow > 15 THEN 'medium' ELS
 r AS (SELECT repo_id, path, complexity, churn, CAST(floor(CASE complexity WHEN 'high' THEN 3.0 WHEN 'medium' THEN 1.5 ELSE 0.5 END * churn + 0.5) AS INTEGER) AS risk FROM c)
 SELECT * FROM r WHERE risk > 15 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY risk DESC, path) <= 15""")
 def a21(spark, sf):
-    return gr.risk_heatmap(dt.code_files(spark, sf))
+    return gr.risk_heatmap(dt.code_files(spark, sf), 15)
 
 
 # --- structure --------------------------------------------------------------------------------------------------------------
@@ -518,7 +518,7 @@ _LABEL = "CASE " + " ".join(f"WHEN {o.contains('dir', *n)} THEN {lit(label)}" fo
 @query("a6_directory_breakdown", f"""WITH {_ALL}, d AS (SELECT repo_id, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS dir FROM allf),
 c AS (SELECT repo_id, dir, count(*) AS files FROM d GROUP BY 1, 2) SELECT *, {_LABEL} AS label FROM c QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, dir) <= 10""")
 def a6(spark, sf):
-    return structure.directory_breakdown(_all(spark, sf).select("repo_id", "path"))
+    return structure.directory_breakdown(_all(spark, sf).select("repo_id", "path"), 10)
 
 
 _ARCH = f"""ar AS (SELECT repo_id, CASE WHEN {_p('src/components/')} AND {_p('src/pages/')} THEN 'react-app' WHEN {_p('src/routes/')} AND {_p('src/middleware/')} THEN 'express-api' WHEN {_p('app/')} AND {_p('next.config')} THEN 'next-app'

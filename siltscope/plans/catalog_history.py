@@ -78,7 +78,7 @@ SELECT f.repo_id, f.path, f.line, f.rule, f.detail FROM findings f JOIN w ON f.r
 QUALIFY row_number() OVER (PARTITION BY f.repo_id, f.path ORDER BY ordinal, line, rule) <= 5""")
 def a1_reasons(spark, sf):
     f = dt.findings(spark, sf)
-    return fd.file_reasons(f, fd.worst_files(fd.file_scores(f), 10)).select("repo_id", "path", "line", "rule", "detail")
+    return fd.file_reasons(f, fd.worst_files(fd.file_scores(f), 10), 5).select("repo_id", "path", "line", "rule", "detail")
 
 
 @query("a2_static_score", f"""WITH {dt.FINDINGS} SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, CAST(coalesce(sum({W8}), 0) AS DOUBLE) AS penalty,
@@ -289,26 +289,26 @@ def w3(spark, sf):
     return hs.score_band_trend(dt.scans(spark, sf)).select("scan_id", "score_change", "trend")
 
 
-def _vibe_sql(direction: str) -> str:
-    return f"""WITH {_DONE}, h AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY created_at {direction}, scan_id {direction}) <= 20),
+def _vibe_sql(most: str = "") -> str:
+    return f"""WITH {_DONE}, h AS (SELECT * FROM done{most}),
 a AS (SELECT repo_url, arg_min(vibe_score, created_at) AS first_vibe, arg_max(vibe_score, created_at) AS current_vibe, count(*) AS scans FROM h GROUP BY 1)
 SELECT *, CASE WHEN scans < 2 THEN 'insufficient-data' WHEN current_vibe - first_vibe > 5 THEN 'rising' WHEN current_vibe - first_vibe < -5 THEN 'falling' ELSE 'stable' END AS trend FROM a"""
 
 
-@query("w4_vibe_history", _vibe_sql("ASC"))
+@query("w4_vibe_history", _vibe_sql())
 def w4(spark, sf):
-    return hs.vibe_history(dt.scans(spark, sf), limit=20)
+    return hs.vibe_history(dt.scans(spark, sf))
 
 
-@query("w4_vibe_history_latest", _vibe_sql("DESC"))
+@query("w4_vibe_history_latest", _vibe_sql(" QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY created_at DESC, scan_id DESC) <= 20"))
 def w4b(spark, sf):
     return hs.vibe_history(dt.scans(spark, sf), limit=20, keep="latest")
 
 
-@query("w5_scan_timeseries", f"""WITH {_DONE}, t AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY created_at, scan_id) <= 30)
+@query("w5_scan_timeseries", f"""WITH {_DONE}, t AS (SELECT * FROM done)
 SELECT repo_url, scan_id, created_at, overall_score, grade, vibe_score, CAST(row_number() OVER (PARTITION BY repo_url ORDER BY created_at, scan_id) AS INTEGER) AS position FROM t""")
 def w5(spark, sf):
-    return hs.scan_timeseries(dt.scans(spark, sf), 30)
+    return hs.scan_timeseries(dt.scans(spark, sf))
 
 
 @query("w5_scan_timeseries_latest", f"""WITH {_DONE}, t AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY created_at DESC, scan_id DESC) <= 30)
@@ -350,7 +350,7 @@ def a31(spark, sf):
 @query("t3_risk_hotspots", f"""WITH {_REPORT} SELECT repo_url, scan_id, overall_score, drift_status, greatest(0.0, least(100.0, 100 - (k + overall_score) / 2 + CASE drift_status WHEN 'drifting' THEN 30 WHEN 'at-risk' THEN 15 ELSE 0 END)) AS risk_score
 FROM lat ORDER BY risk_score DESC, repo_url LIMIT 10""")
 def t3(spark, sf):
-    return hs.risk_hotspots(scans_with_report(spark, sf))
+    return hs.risk_hotspots(scans_with_report(spark, sf), 10)
 
 
 @query("t7_recent_scans", f"WITH {dt.SCANS} SELECT user_id, scan_id, status FROM scans QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, scan_id DESC) <= 50")
@@ -535,13 +535,13 @@ def f4(spark, sf):
     return dl.duplicate_contents(dt.doc_files(spark, sf))
 
 
-@query("u6_append_versions", """WITH n AS (SELECT DISTINCT 'u' || CAST(doc_id % 20 AS VARCHAR) AS user_id, source AS repo_url, sha256(text) AS content_hash FROM documents WHERE length(text) <= 10000),
+@query("u6_append_versions", """WITH n AS (SELECT DISTINCT 'u' || CAST(doc_id % 20 AS VARCHAR) AS user_id, source AS repo_url, sha256(text) AS content_hash, CASE WHEN length(text) > 10000 THEN 'content-too-long' END AS reason FROM documents),
 e AS (SELECT 'u' || CAST(doc_id % 20 AS VARCHAR) AS user_id, source AS repo_url, sha256(text) AS content_hash FROM documents WHERE doc_id % 4 = 0)
 SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = n.user_id AND e.repo_url = n.repo_url AND e.content_hash = n.content_hash)""")
 def u6(spark, sf):
     d = dt.table(spark, sf, "documents").selectExpr("doc_id", "concat('u', cast(doc_id % 20 as string)) AS user_id", "source AS repo_url", "text AS content")
     existing = d.filter("doc_id % 4 = 0").withColumn("content_hash", tx.content_hash("content"))
-    return dl.append_versions(d, existing, 10_000).select("user_id", "repo_url", "content_hash")
+    return dl.append_versions(d, existing, 10_000).select("user_id", "repo_url", "content_hash", "reason")
 
 
 @query("p40_validate_upload", """WITH u AS (SELECT 'up' || CAST(o_custkey % 200 AS VARCHAR) AS upload_id, o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '../etc' WHEN 1 THEN '/abs/x' WHEN 2 THEN 'C:\\x' WHEN 3 THEN 'a' || chr(7) || 'b' WHEN 4 THEN repeat('p', 501) ELSE 'src/ok.ts' END AS path,
@@ -559,7 +559,7 @@ def p40(spark, sf):
 # --- commits -----------------------------------------------------------------------------------------------------
 
 @query("a20_commit_fitness", f"""WITH {dt.COMMITS} SELECT repo_id, sha, authored_at, CAST(greatest(0, least(100, 50 + CASE WHEN message LIKE '%fix%' OR message LIKE '%bug%' THEN 20 ELSE 0 END + CASE WHEN message LIKE '%test%' THEN 15 ELSE 0 END
- + CASE WHEN message LIKE '%refactor%' THEN 15 ELSE 0 END - CASE WHEN message LIKE '%wip%' OR message LIKE '%hack%' THEN 20 ELSE 0 END)) AS INTEGER) AS score FROM commits QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY authored_at DESC, sha DESC) <= 10""")
+ + CASE WHEN message LIKE '%refactor%' THEN 15 ELSE 0 END - CASE WHEN message LIKE '%wip%' OR message LIKE '%hack%' THEN 20 ELSE 0 END)) AS INTEGER) AS score FROM commits""")
 def a20(spark, sf):
     return cm.commit_fitness(dt.commits(spark, sf))
 
@@ -576,12 +576,12 @@ def _few_commits(spark, sf):
 _C2 = dt.COMMITS + ", c2 AS (SELECT repo_id, sha, authored_at, 'dev' || CAST(length(message) % 2 AS VARCHAR) AS author_email FROM commits)"
 
 
-@query("a19_bus_factor", f"""WITH {_C2}, {_OWN} SELECT *, CASE WHEN months_old > 6 THEN 'critical' WHEN months_old > 3 THEN 'high' ELSE 'medium' END AS risk FROM bf QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 20""")
+@query("a19_bus_factor", f"""WITH {_C2}, {_OWN} SELECT *, CASE WHEN months_old > 6 THEN 'critical' WHEN months_old > 3 THEN 'high' ELSE 'medium' END AS risk FROM bf""")
 def a19(spark, sf):
     return cm.bus_factor(_few_commits(spark, sf), dt.commit_files(spark, sf), F.lit("2003-01-01").cast("timestamp"))
 
 
-@query("a19_bus_score", f"""WITH {_C2}, {_OWN}, t AS (SELECT *, CASE WHEN months_old > 6 THEN 5 WHEN months_old > 3 THEN 3 ELSE 1 END AS p FROM bf QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 20)
+@query("a19_bus_score", f"""WITH {_C2}, {_OWN}, t AS (SELECT *, CASE WHEN months_old > 6 THEN 5 WHEN months_old > 3 THEN 3 ELSE 1 END AS p FROM bf)
 SELECT r.repo_id, count(t.path) AS single_owner_files, CAST(greatest(0, 100 - coalesce(sum(p), 0)) AS INTEGER) AS score FROM (SELECT DISTINCT repo_id FROM commits) r LEFT JOIN t ON t.repo_id = r.repo_id GROUP BY 1""")
 def a19b(spark, sf):
     c = _few_commits(spark, sf)
@@ -598,14 +598,14 @@ def a18(spark, sf):
     return cm.history_insights(dt.commits(spark, sf), cf, cf.select("repo_id", "path"), recent=20)
 
 
-_MULTI = """w AS (SELECT repo_id, sha FROM commits QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY authored_at DESC, sha DESC) <= 200),
+_MULTI = """w AS (SELECT repo_id, sha FROM commits),
 m AS (SELECT DISTINCT f.repo_id, f.sha, f.path FROM commit_files f JOIN w ON w.repo_id = f.repo_id AND w.sha = f.sha),
 mm AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY repo_id, sha) >= 2)"""
 
 
 @query("j15_co_change_counts", f"WITH {dt.COMMITS}, {_MULTI} SELECT repo_id, path, count(*) AS shared_commits FROM mm GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, path) <= 20")
 def j15(spark, sf):
-    return cm.co_change_counts(dt.commits(spark, sf), dt.commit_files(spark, sf))
+    return cm.co_change_counts(dt.commits(spark, sf), dt.commit_files(spark, sf), k=20)
 
 
 @query("j15_co_change_pairs", f"WITH {dt.COMMITS}, {_MULTI} SELECT a.repo_id, a.path AS file_a, b.path AS file_b, count(*) AS shared_commits FROM mm a JOIN mm b ON a.repo_id = b.repo_id AND a.sha = b.sha AND a.path < b.path GROUP BY 1, 2, 3 HAVING count(*) >= 2")

@@ -210,7 +210,7 @@ def _intent_sql(patterns) -> str:
     clean = f"list_transform({found}, lambda v: trim(regexp_replace(regexp_replace(v, '[`*_#>-]+', ' ', 'g'), '\\s+', ' ', 'g')))"
     cap = f"list_transform({clean}, lambda v: CASE WHEN regexp_matches(v, '^[a-z]') THEN upper(left(v, 1)) || substr(v, 2) ELSE v END)"
     ok = f"list_filter({cap}, lambda v: length(v) > 3 AND length(v) < 200)"
-    return f"array_to_string(list_filter({ok}, lambda v, i: list_position({ok}, v) = i)[1:30], '|')"
+    return f"array_to_string(list_filter({ok}, lambda v, i: list_position({ok}, v) = i), '|')"
 
 
 @query("f15_extract_intent", f"""WITH d AS (SELECT doc_id, list_extract([{', '.join(lit(x) for x in _INTENTS)}], CAST(doc_id % 4 AS INTEGER) + 1) || chr(10) || text AS t FROM documents)
@@ -224,7 +224,7 @@ def f15(spark, sf):
 _ITEMS = ", ".join(f"CASE WHEN regexp_matches(lower(t), '(?:^|[^a-z0-9]){m.replace('.', chr(92) + '.')}(?:[^a-z0-9]|$)') THEN '{m}' END" for m in sc.INTEGRATIONS)
 
 
-@query("f15_integrations", f"SELECT id, array_to_string(list_filter([{_ITEMS}], lambda x: x IS NOT NULL)[1:30], '|') AS integrations FROM (SELECT doc_id AS id, text || ' ' || list_extract({list(_INTENTS)}, CAST(doc_id % 4 AS INTEGER) + 1) AS t FROM documents)")
+@query("f15_integrations", f"SELECT id, array_to_string(list_filter([{_ITEMS}], lambda x: x IS NOT NULL), '|') AS integrations FROM (SELECT doc_id AS id, text || ' ' || list_extract({list(_INTENTS)}, CAST(doc_id % 4 AS INTEGER) + 1) AS t FROM documents)")
 def f15b(spark, sf):
     d = dt.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "text", _pick(_INTENTS, F.col("doc_id") % 4)).alias("text"))
     return sc.extract_intent(d).select("id", F.array_join("integrations", "|").alias("integrations"))
@@ -333,7 +333,7 @@ def a26(spark, sf):
 @query("a26_top_changes", f"""WITH {_REASONS} SELECT pr_id, path, score_delta, 'win' AS kind_of FROM fi WHERE score_delta > 0 QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY score_delta, path) <= 3
 UNION ALL SELECT pr_id, path, score_delta, 'risk' FROM fi WHERE score_delta < 0 QUALIFY row_number() OVER (PARTITION BY pr_id ORDER BY score_delta DESC, path) <= 3""")
 def a26b(spark, sf):
-    return im.top_changes(im.pr_file_impact(_changes(spark, sf))).select("pr_id", "path", "score_delta", "kind_of")
+    return im.top_changes(im.pr_file_impact(_changes(spark, sf)), 3).select("pr_id", "path", "score_delta", "kind_of")
 
 
 _CAT = "CASE reason " + " ".join(f"WHEN {lit(k)} THEN {lit(v[0])}" for k, v in im.REASONS.items()) + " END"
@@ -365,7 +365,7 @@ def t4(spark, sf):
 def t4b(spark, sf):
     c = _changes(spark, sf)
     r = im.pr_reasons(c)
-    return im.fix_shortlists(im.fix_recommendations(im.pr_file_impact(c, r), r)).select("pr_id", "path", "reason", "bucket")
+    return im.fix_shortlists(im.fix_recommendations(im.pr_file_impact(c, r), r), 5).select("pr_id", "path", "reason", "bucket")
 
 
 _AG = ("", "## Rules\nshort", "## Security first\n" + "line\n" * 12)
@@ -416,7 +416,7 @@ def io2(spark, sf):
 
 
 @query("io3_stratified_sample", f"""WITH {dt.DOC_FILES}, d AS (SELECT *, string_split(path, '/')[1] AS dir FROM doc_files), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, dir ORDER BY path) AS rn, min(path) OVER (PARTITION BY repo_id, dir) AS f FROM d)
-SELECT repo_id, path, length(substr(content, 1, 10000)) AS n FROM r WHERE rn <= 5 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY rn, f) <= 12""")
+SELECT repo_id, path, length(content) AS n FROM r WHERE rn <= 5 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY rn, f) <= 12""")
 def io3(spark, sf):
     return sfiles.stratified_sample(dt.doc_files(spark, sf), max_total=12, max_per_dir=5).select("repo_id", "path", F.length("content").cast("long").alias("n"))
 

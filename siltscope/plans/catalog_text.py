@@ -110,6 +110,13 @@ def p7(spark, sf):
     return matching.hardcoded_secret_files(files)
 
 
+@query("p7_hardcoded_secret_repos", f"""WITH {dt.DOC_FILES}, e AS (SELECT repo_id, {o.matches('content', rt.HARDCODED_SECRET)} AS hit FROM doc_files)
+SELECT repo_id, bool_or(hit) AS hardcoded_secret FROM e GROUP BY repo_id""")
+def p7_repos(spark, sf):
+    return matching.hardcoded_secret(dt.doc_files(spark, sf))
+
+
+# the feature itself: a credential within the first characters of a repository's files in path order
 _BUDGET = 200_000
 
 
@@ -239,7 +246,7 @@ _KEEP = ", ".join(lit(x) for x in hygiene._KEEP_DETAIL)
 @query("p13_hygiene_report", f"""WITH {_BLOCKS_SQL}, {_FILES_SQL}, allf AS (
   SELECT repo_id, path, line, rule, category, severity, detail, ordinal FROM ({o.line_hits(rt.HYGIENE_LINE_RULES, "code_lines", _NO_DATA_EXT)})
   UNION ALL SELECT * FROM hygiene_blocks UNION ALL SELECT * FROM hygiene_files),
-uniq AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, category, CASE WHEN rule IN ({_KEEP}) THEN rule || '|' || substr(detail, 1, 40) ELSE rule END ORDER BY ordinal, line) AS rn FROM allf),
+uniq AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, category, CASE WHEN rule IN ({_KEEP}) THEN rule || '|' || detail ELSE rule END ORDER BY ordinal, line) AS rn FROM allf),
 cnt AS (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
    count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(DISTINCT category) AS categories FROM uniq WHERE rn = 1 GROUP BY 1),
 sz AS (SELECT repo_id, count(*) AS lines FROM code_lines GROUP BY 1)
@@ -316,7 +323,7 @@ def p16b(spark, sf):
 @query("t1_worst_complexity", f"""WITH {dt.CODE_LINES}, {_COMPLEX_SQL} SELECT repo_id, path, CAST(score AS INTEGER) AS score FROM cx WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, path) <= 5""")
 def t1_worst(spark, sf):
-    return complexity.worst_complexity(complexity.file_complexity(dt.code_files(spark, sf))).select("repo_id", "path", "score")
+    return complexity.worst_complexity(complexity.file_complexity(dt.code_files(spark, sf)), 5).select("repo_id", "path", "score")
 
 
 @query("t1_longest_files", f"""WITH {dt.CODE_FILES} SELECT repo_id, path, CAST(length(content) - length(replace(content, chr(10), '')) + 1 AS INTEGER) AS lines FROM code_files
@@ -325,7 +332,7 @@ def t1_longest(spark, sf):
     from siltscope.functions import text as tx
 
     f = dt.code_files(spark, sf).select("repo_id", "path", tx.line_count("content").alias("lines"))
-    return complexity.longest_files(f)
+    return complexity.longest_files(f, 5)
 
 
 @query("p17_placement", f"""WITH {dt.CODE_FILES}, x AS (SELECT repo_id, path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/?[^/]*$', '') AS dir,

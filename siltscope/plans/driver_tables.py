@@ -21,13 +21,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input has fewer splits than that.
+    """Use every core for a table that is a single split, hence at most one split's bytes.
 
-    Text rules are CPU-bound and a small table is one parquet row group, hence one task.  A table
-    with enough splits, as any large one, passes through without a shuffle.
+    Text rules are CPU-bound and a test table is one parquet row group, hence one task.  Anything larger
+    passes through: there the split size is the setting that decides.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 # --- documents as files ------------------------------------------------------------------------

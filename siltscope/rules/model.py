@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from siltscope.functions import text as tx
 
-#: A rule table is compiled into one expression, so its size must stay bounded.
-MAX_RULES = 2000
+#: Rules compiled into one expression; a longer table is matched in batches of so many.
+BATCH = 200
 
 
 @dataclass(frozen=True)
@@ -66,11 +66,9 @@ def rules_from_df(df: DataFrame) -> list[Rule]:
     """User rule table -> rules.
 
     Needs columns name, severity, pattern; optional category, confidence, path_exclude.
-    The table is small by nature and its size is checked before it is read.
+    A rule is code, so the table is read by the driver; it may have any length.
     """
-    rows = df.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"rule table has more than {MAX_RULES} rows")
+    rows = df.collect()
     out = []
     for r in rows:
         d = r.asDict()

@@ -46,11 +46,11 @@ def select_sources(files: DataFrame, exts: Sequence[str] = UPLOAD_EXT) -> DataFr
     return files.filter(F.regexp_extract("path", r"(\.[^.]*)$", 1).isin(*exts))
 
 
-def stratified_sample(files: DataFrame, max_total: int = 50, max_per_dir: int = 5, cut: int = 10_000) -> DataFrame:
+def stratified_sample(files: DataFrame, max_total: int = 50, max_per_dir: int = 5, cut: int | None = None) -> DataFrame:
     """Round-robin over top-level directories: at most ``max_per_dir`` each and ``max_total`` per repository.
 
     Directories come in the order of their smallest path, files by path.  Both limits are rank filters
-    that run before the shuffle; only paths are ranked, contents are joined to the chosen ones.
+    that run before the shuffle; only paths are ranked, contents are joined to the chosen ones.  ``cut`` shortens contents.
     """
     top = F.when(F.col("path").contains("/"), F.element_at(F.split("path", "/"), 1)).otherwise("__root__")
     slim = files.select("repo_id", "path", top.alias("dir"))
@@ -61,7 +61,8 @@ def stratified_sample(files: DataFrame, max_total: int = 50, max_per_dir: int =
     firsts = ranked.filter("round = 1").select("repo_id", "dir", F.col("path").alias("dir_first"))
     picked = first_n(ranked.join(firsts, ["repo_id", "dir"]), ["repo_id"], [F.asc("round"), F.asc("dir_first")], max_total)
     keep = picked.select("repo_id", "path")
-    return files.join(keep, ["repo_id", "path"], "left_semi").withColumn("content", F.substring("content", 1, cut))
+    out = files.join(keep, ["repo_id", "path"], "left_semi")
+    return out if cut is None else out.withColumn("content", F.substring("content", 1, cut))
 
 
 def diff_files(diffs: DataFrame) -> DataFrame:
