@@ -5,11 +5,11 @@
    Equal sets are one set from here on.
 2. *Order.* The sets left are put in order of rarity. A partner shares 80 % of a set, so sets with fewer shared tokens go.
 3. *Hubs.* Sets with an equal min-hash point to the one with the fewest tokens of its own. Verified at once, these few
-   links join most near copies, one link a set.
-4. *Light.* Two partners share two tokens of their rarest ones: small sets enumerate all 2-subsets of that prefix and meet by
-   equality. *Heavy*: large sets would enumerate too many, and scan the inverted lists of their one-token prefix. The
-   boundary is where the summed cost of both is least. Pairs that hubs have joined already, and pairs whose sizes or shared
-   tokens rule a link out, are not candidates. Candidates are verified on the sets.
+   links join most near copies, one link a set and round.
+4. *Light.* Small sets enumerate their subsets of each fixed size that a partner must share, and meet by equality. *Heavy*: large sets
+   would enumerate too many, and scan the inverted lists of their rarest tokens. The boundary is where the summed cost of
+   both is least. Pairs that hubs have joined already are not candidates, nor are pairs that sizes, shared tokens, the place of the
+   token or a parity sketch rule out; none of these tests can lose a link. Candidates are verified on the sets.
 5. *Components* of the verified links.
 """
 
@@ -35,6 +35,11 @@ GROUP_DOCS = 1500
 #: up to so many sets' ids (8 bytes each) are broadcast to fetch their texts; beyond it the join shuffles
 BROADCAST_SETS = 1_000_000
 HASHES = 4
+ROUNDS = 2
+#: sets of up to so many tokens may enumerate subsets
+SMALL = 20
+#: longs of a parity sketch
+SKETCH = 8
 #: rows without a doc_id carry it through the joins; it links and loses like any other id
 LAST = np.iinfo(np.int64).max
 
@@ -183,16 +188,32 @@ def token_sets(t: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             same = (k1 == b.column("k1").to_numpy()) & (k2 == b.column("k2").to_numpy())
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int32)), tokens], ["sid", "n", "tokens"])
+            bits = parity(doc, h, len(n))
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH, dtype=np.int32)), pa.array(bits.reshape(-1)))
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int32)), tokens, sketch], ["sid", "n", "tokens", "bits"])
             yield out.filter(pa.array(same))
 
-    return j.select("doc_id", "text", "k1", "k2").mapInArrow(make, "sid long, n int, tokens array<long>")
+    return j.select("doc_id", "text", "k1", "k2").mapInArrow(make, "sid long, n int, tokens array<long>, bits array<long>")
 
 
-def may_link(a: str, b: str) -> Column:
+def parity(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """rows x SKETCH longs: each token flips one bit, so two sketches differ in at most as many bits as the sets in tokens."""
+    size = 64 * SKETCH
+    place = (mix(h ^ U(0x2545F4914F6CDD1D)) % U(size)).astype(np.int64)
+    odd = np.bincount(doc * size + place, minlength=rows * size).reshape(rows, size) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+
+
+def fits(n_a: Column, s_a: Column, n_b: Column, s_b: Column) -> Column:
     """Sizes and shared tokens allow a link: no intersection exceeds the fewer shared tokens."""
-    most = F.least(F.col(f"{a}.s"), F.col(f"{b}.s"))
-    return 100 * most >= PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+    most = F.least(s_a, s_b)
+    return 100 * most >= PERCENT * (n_a + n_b - most)
+
+
+def near(a: str, b: str) -> Column:
+    """The parity sketches allow a link: linked sets differ in at most (100 - PERCENT) / (100 + PERCENT) of their summed sizes."""
+    apart = sum((F.bit_count(F.get(f"{a}.bits", i).bitwiseXOR(F.get(f"{b}.bits", i))) for i in range(SKETCH)), F.lit(0))
+    return apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -204,75 +225,116 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return j.filter(100 * both >= PERCENT * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
+def overlap(n: int, m: int) -> int:
+    """Tokens that linked sets of n and m share, at least."""
+    return -(-PERCENT * (n + m) // (100 + PERCENT))
+
+
+def subset_sizes(n: int) -> list[int]:
+    """The sizes of subsets that a set of n enumerates: what it must share with each size of partner that it can have."""
+    return sorted({overlap(n, m) for m in range(max(1, needed(n)), n * 100 // PERCENT + 1)} - {0})
+
+
+def subsets(shared: int, n: int) -> float:
+    from math import comb
+
+    return float(sum(comb(shared, c) for c in subset_sizes(n) if c <= shared))
+
+
 def boundary(active: DataFrame) -> int:
-    """The size up to which sets enumerate subsets; costs are summed over size classes of a twentieth each."""
-    size_class = F.floor(F.log(F.col("n").cast("double")) * 20).cast("int")
-    subsets = F.size("two") * (F.size("two") - 1) / 2
+    """The size up to which sets enumerate subsets, at most SMALL: there the summed cost of subsets and lists is least."""
     lists = F.aggregate("one_df", F.lit(0.0), lambda a, x: a + x)
-    rows = active.groupBy(size_class.alias("c")).agg(F.max("n").alias("n"), F.sum(subsets).alias("light"), F.sum(lists).alias("heavy")).orderBy("c").collect()  # some 20 * ln(largest size) rows
-    best, cost = 0, sum(r["heavy"] for r in rows)
-    for r in rows:
-        total = sum(x["light"] for x in rows if x["n"] <= r["n"]) + sum(x["heavy"] for x in rows if x["n"] >= needed(r["n"]))
-        if r is rows[-1]:
-            total = sum(x["light"] for x in rows)
-        if total < cost:
-            best, cost = r["n"], total
-    return int(best)
+    small = active.filter(F.col("n") <= SMALL)
+    rows = small.groupBy("n", "s").agg(F.count("*").alias("sets"), F.sum(lists).alias("lists")).collect()  # at most SMALL * SMALL rows
+    cost = {b: sum(subsets(r["s"], r["n"]) * r["sets"] for r in rows if r["n"] <= b) + sum(r["lists"] for r in rows if r["n"] >= needed(b + 1)) for b in range(SMALL + 1)}
+    return min(cost, key=lambda b: (cost[b], -b))
 
 
 def rarest(sets: DataFrame) -> DataFrame:
-    """Sets that share enough tokens for a partner: sid, n, s (shared tokens), two and one (prefix tokens), one_df, mins."""
+    """Sets that share enough tokens for a partner: sid, n, s (shared tokens), bits, one (rarest tokens), one_df, mins, small (tokens)."""
     tok = sets.select("sid", "n", F.explode("tokens").alias("token"))
     df = tok.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     by_set = tok.join(df, "token").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     need = F.floor((F.col("n") * PERCENT + 99) / 100).cast("int")
     a = by_set.withColumn("s", F.size("shared")).filter(F.col("s") >= need)
-    room = F.col("n") - need - (F.col("n") - F.col("s"))  # of the n - need tokens a partner may lack, those that no set shares come first
+    room = F.col("n") - need - (F.col("n") - F.col("s")) + 1  # of the n - need + 1 rarest, those that no other set has come first
     mins = [F.array_min(F.transform("shared", lambda x, j=j: F.xxhash64(x["token"], F.lit(j)))) for j in range(HASHES)]
-    return a.select(
+    a = a.select(
         "sid", "n", "s",
-        F.transform(F.slice("shared", F.lit(1), room + 2), lambda x: x["token"]).alias("two"),
-        F.transform(F.slice("shared", F.lit(1), room + 1), lambda x: x["token"]).alias("one"),
-        F.transform(F.slice("shared", F.lit(1), room + 1), lambda x: x["df"]).alias("one_df"),
+        F.transform(F.slice("shared", F.lit(1), room), lambda x: x["token"]).alias("one"),
+        F.transform(F.slice("shared", F.lit(1), room), lambda x: x["df"]).alias("one_df"),
         F.array(*mins).alias("mins"),
+        F.when(F.col("n") <= SMALL, F.sort_array(F.transform("shared", lambda x: x["token"]))).alias("small"),
     )
+    return a.join(sets.select("sid", "bits"), "sid")
 
 
 def hub_links(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (a: hub, b): at most one for each set, to the hub of one of its min-hashes."""
-    m = active.select("sid", "n", "s", F.posexplode("mins").alias("j", "h"))
-    hub = m.groupBy("j", "h").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "sid", "n", "s")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    best = m.join(hub, ["j", "h"]).filter("hub.sid <> sid").filter(may_link_hub()).groupBy("sid").agg(F.min("hub").alias("hub"))
+    """Verified links (a: hub, b): at most one for each set, to the hub of one of its min-hashes that is not ``joined`` with it."""
+    m = active.select("sid", "n", "s", "bits", "joined", F.posexplode("mins").alias("j", "h"))
+    of = F.struct((F.col("n") - F.col("s")).alias("own"), "sid", "n", "s", "joined", "bits")
+    hub = m.groupBy("j", "h").agg(F.min(of).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    h = F.col("hub")
+    best = m.join(hub, ["j", "h"]).filter(h["joined"] != F.col("joined")).filter(fits(F.col("n"), F.col("s"), h["n"], h["s"]))
+    best = best.select("sid", "n", "bits", "hub").alias("x").select("x.*", F.col("x.hub.n").alias("hn"), F.col("x.hub.bits").alias("hbits"))
+    apart = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("hbits", i))) for i in range(SKETCH)), F.lit(0))
+    best = best.filter(apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n") + F.col("hn"))).groupBy("sid").agg(F.min("hub").alias("hub"))
     return verified(best.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")), sets)
 
 
-def may_link_hub() -> Column:
-    most = F.least(F.col("s"), F.col("hub.s"))
-    return 100 * most >= PERCENT * (F.col("n") + F.col("hub.n") - most)
+def subset_keys(active: DataFrame, limit: int) -> DataFrame:
+    """(sid, key): the hash of every subset, of each size that can be needed, of the shared tokens of sets up to ``limit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import combinations
+
+        for b in batches:
+            sid, key = [], []
+            for s, n, tokens in zip(*(b.column(c).to_pylist() for c in ("sid", "n", "small"))):
+                h = [int(x) for x in mix(np.array(tokens, dtype=np.int64).view(U))]
+                for c in subset_sizes(n):
+                    for picked in combinations(h, c):
+                        key.append((sum(picked) * 0x9E3779B97F4A7C15 + c) & 0x7FFFFFFFFFFFFFFF)
+                        sid.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(key, pa.int64())], ["sid", "key"])
+
+    return active.filter(F.col("n") <= limit).select("sid", "n", "small").mapInArrow(run, "sid long, key long")
 
 
 def light_heavy(active: DataFrame, limit: int) -> DataFrame:
     """Candidate pairs (a < b) of different ``joined`` groups."""
-    two = F.flatten(F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.greatest(F.size("two") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-    base = active.select("sid", "n", "s", "joined", "two", "one")
-    light = base.filter(F.col("n") <= limit).select("sid", "n", "s", "joined", F.lit(0).alias("heavy"), F.explode(two).alias("key"))
-    heavy = base.filter(F.col("n") >= (limit * PERCENT + 99) // 100).select("sid", "n", "s", "joined", F.lit(1).alias("heavy"), F.explode("one").alias("key"))
+    facts = active.select("sid", "n", "s", "joined", "bits")
+    light = subset_keys(active, limit).join(facts, "sid").select("sid", "n", "s", "joined", "bits", F.lit(0).alias("heavy"), "key", F.lit(0).alias("at"))
+    lists = F.posexplode("one").alias("i", "key")
+    heavy = active.filter(F.col("n") >= needed(limit + 1)).select("sid", "n", "s", "joined", "bits", F.lit(1).alias("heavy"), lists)
+    heavy = heavy.select("sid", "n", "s", "joined", "bits", "heavy", "key", (F.col("n") - F.col("s") + F.col("i")).alias("at"))
     posts = light.unionByName(heavy)
     mixed = posts.groupBy("heavy", "key").agg(F.min("joined").alias("lo"), F.max("joined").alias("hi")).filter("lo <> hi").select("heavy", "key")
     posts = posts.join(mixed, ["heavy", "key"])
+    # of the first token that two sets share, neither has a common one before it
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     pairs = posts.alias("a").join(posts.alias("b"), ["heavy", "key"]).filter(
-        (F.col("a.sid") < F.col("b.sid")) & (F.col("a.joined") != F.col("b.joined")) & may_link("a", "b")
-        & ((F.col("heavy") == 0) | (F.greatest("a.n", "b.n") > limit))
+        (F.col("a.sid") < F.col("b.sid")) & (F.col("a.joined") != F.col("b.joined"))
+        & fits(F.col("a.n"), F.col("a.s"), F.col("b.n"), F.col("b.s"))
+        & (left * (100 + PERCENT) >= PERCENT * (F.col("a.n") + F.col("b.n")))
+        & ((F.col("heavy") == 0) | (F.greatest("a.n", "b.n") > limit)) & near("a", "b")
     )
     return pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
 
 
+def with_joined(active: DataFrame, found: DataFrame) -> DataFrame:
+    """``active`` with the component that the links found so far give each set."""
+    c = components(found).select(F.col("id").alias("c_id"), "component")
+    return active.join(c, active.sid == c.c_id, "left").withColumn("joined", F.coalesce("component", "sid")).drop("c_id", "component")
+
+
 def links(active: DataFrame, sets: DataFrame, limit: int | None = None) -> DataFrame:
     """Links (a, b) of different sets that span the same components as all links do."""
-    hubs = saved(hub_links(active, sets), "hub-links")
-    joined = active.join(hubs.select(F.col("b").alias("sid"), F.col("a").alias("hub")), "sid", "left").withColumn("joined", F.coalesce("hub", "sid")).drop("hub")
-    limit = boundary(active) if limit is None else limit
-    return hubs.unionByName(saved(verified(light_heavy(joined, limit), sets), "links"))
+    found = saved(hub_links(active.withColumn("joined", F.col("sid")), sets), "hub-links")
+    for _ in range(ROUNDS - 1):
+        found = saved(found.unionByName(hub_links(with_joined(active, found), sets)), "hub-links")
+    limit = boundary(active) if limit is None else min(limit, SMALL)
+    return found.unionByName(saved(verified(light_heavy(saved(with_joined(active, found), "joined"), limit), sets), "links"))
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, limit: int | None = None) -> DataFrame:
