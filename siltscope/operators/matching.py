@@ -7,14 +7,11 @@ the file content.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltscope.functions import text as tx
 from siltscope.rules import tables as rt
@@ -88,111 +85,106 @@ def _match_lines(files: DataFrame, rules: Sequence[Rule], first: int) -> DataFra
     )
 
 
-def match_counts(files: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
-    """Number of matches of each rule per file (file scope, no explode of lines)."""
-    rules = _as_rules(rules)
-    pairs = F.array(
-        *[F.struct(F.lit(r.name).alias("rule"), tx.rx_count("content", r.pattern).alias("n")) for r in rules]
-    )
-    return (
-        files.select("repo_id", "path", F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("p"))
-        .select("repo_id", "path", "p.rule", "p.n")
-    )
+def _newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-_BLOCK_SCHEMA = (
-    "repo_id string, path string, line int, rule string, category string, severity string, "
-    "confidence double, detail string, ordinal int"
-)
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once in a row."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def match_blocks(files: DataFrame, rules: Sequence[Rule], first_ordinal: int = 0) -> DataFrame:
-    """Rules whose match may span lines: every match, with the line its start falls on.
+def match_starts(content: Column, pattern: str) -> Column:
+    """Every match of a pattern in a text as (line, detail); a match belongs to the line that it starts on.
 
-    Spark's regex functions return matches but no offsets, so candidate files (those holding one of
-    the rules' literals) go through Arrow batches.  Nothing is grouped or collected.
+    The text between matches comes from splitting at them, so starts are found without offsets: the lines before a
+    match are the line ends in all that precedes it.
     """
-    rules = list(rules)
-    plain = [
-        (first_ordinal + i, r.name, r.category, r.severity, float(r.confidence), tx.re2(r.pattern), r.needles)
-        for i, r in enumerate(rules)
-    ]
-    pre = _needle_filter(rules, F.col("content"))
-    src = (files if pre is None else files.filter(pre)).select("repo_id", "path", "content")
+    rx = tx.java(pattern)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(o, n, c, s, f, re.compile(p, re.ASCII), nd) for o, n, c, s, f, p, nd in plain]
-        for pdf in batches:
-            out = []
-            for repo, path, content in pdf.itertuples(index=False):
-                for o, n, c, s, f, rx, needles in compiled:
-                    if needles and not any(x in content for x in needles):
-                        continue
-                    for m in rx.finditer(content):
-                        out.append((repo, path, content.count("\n", 0, m.start()) + 1, n, c, s, f, m.group(0)[:80], o))
-            yield pd.DataFrame(out, columns=list(FINDING_COLUMNS))
+    def walk(found: Column) -> Column:
+        between = F.split(content, rx, -1)
+        steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, before: F.struct(
+            _newlines(before).cast("int").alias("before"), _newlines(m).cast("int").alias("inside"), m.alias("detail")))
+        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,detail:string>>").alias("out"))
+        return F.aggregate(steps, start, lambda a, x: F.struct(
+            (a["line"] + x["before"] + x["inside"]).alias("line"),
+            F.concat(a["out"], F.array(F.struct((a["line"] + x["before"]).alias("line"), x["detail"].alias("detail")))).alias("out"),
+        ), lambda a: a["out"])
 
-    return src.mapInPandas(scan, schema=_BLOCK_SCHEMA)
+    none = F.array().cast("array<struct<line:int,detail:string>>")
+    return _bind(F.regexp_extract_all(content, F.lit(rx), F.lit(0)), lambda found: F.when(F.size(found) > 0, walk(found)).otherwise(none))
+
+
+def match_files(files: DataFrame, rules: Sequence[Rule], guarded: dict[str, Column] | None = None) -> DataFrame:
+    """Each rule against whole files, every match, with the line its start falls on; no shuffle, no Python.
+
+    ``guarded`` has, by rule name, a column of lines whose matches do not count.
+    """
+    rules = list(rules)
+    content = F.col("content")
+    none = F.array().cast("array<struct<rule:string,category:string,severity:string,confidence:double,ordinal:int,line:int,detail:string>>")
+
+    def hits(i: int, r: Rule) -> Column:
+        facts = (F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(float(r.confidence)).alias("confidence"), F.lit(i).alias("ordinal"))
+        starts = match_starts(content, r.pattern)
+        if guarded and r.name in guarded:
+            starts = _bind(starts, lambda ms: F.when(F.size(ms) > 0, _bind(guarded[r.name], lambda g: F.filter(ms, lambda m: ~F.array_contains(g, m["line"])))).otherwise(ms))
+        found = F.transform(starts, lambda m: F.struct(*facts, m["line"].alias("line"), m["detail"].alias("detail")))
+        tests = [tx.has(content, *r.needles)] if r.needles else []
+        tests += [tx.rx(content, p) for p in r.also]
+        return F.when(reduce(Column.__and__, tests), found).otherwise(none) if tests else found
+
+    pre = _needle_filter(rules, content)
+    src = files if pre is None else files.filter(pre)
+    parts = []
+    for a in range(0, len(rules), BATCH):
+        all_hits = F.flatten(F.array(*[hits(a + i, r) for i, r in enumerate(rules[a : a + BATCH])]))
+        parts.append(src.select("repo_id", "path", F.explode(all_hits).alias("h")).select("repo_id", "path", "h.line", "h.rule", "h.category", "h.severity", "h.confidence", "h.detail", "h.ordinal"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- try-block state -----------------------------------------------------------------------
 
-_QUOTED = re.compile(r"""(["'`])(?:\\.|(?!\1).)*\1""")
-
-
-def lines_inside_try(content: str) -> list[int]:
-    """1-based numbers of lines that start while a ``try {`` block is open."""
-    depth, open_at, out = 0, [], []
-    for no, raw in enumerate(content.split("\n"), start=1):
-        if open_at:
-            out.append(no)
-        text = _QUOTED.sub('""', raw)
-        for i, ch in enumerate(text):
-            if ch == "{":
-                if re.search(r"(?<![A-Za-z0-9_])try$", text[:i].rstrip()):
-                    open_at.append(depth)
-                depth += 1
-            elif ch == "}":
-                depth = max(0, depth - 1)
-                while open_at and open_at[-1] >= depth:
-                    open_at.pop()
-    return out
+# quoted text of one line; runs without quote or backslash are taken whole, so that long literals need no deep stack
+_QUOTED = r"""(["'`])(?:[^\\"'`\r\n]++|\\.|(?!\1).)*\1"""
+_BRACE = r"(?:(?<![A-Za-z0-9_])try\s*)?\{|\}"
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _try_lines(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: None if c is None else lines_inside_try(c))
+def try_lines(content: Column) -> Column:
+    """1-based numbers of lines that start while a ``try {`` block is open: a fold over the braces of each line."""
+    ints = F.array().cast("array<int>")
+    tokens = lambda line: F.regexp_extract_all(F.regexp_replace(line, _QUOTED, '""'), F.lit(_BRACE), F.lit(0))
 
+    def brace(state: Column, token: Column) -> Column:
+        depth, open_at = state["depth"], state["open"]
+        less = F.greatest(depth - 1, F.lit(0))
+        return F.when(token == "}", F.struct(less.alias("depth"), F.filter(open_at, lambda x: x < less).alias("open"))).otherwise(
+            F.struct((depth + 1).alias("depth"), F.when(token == "{", open_at).otherwise(F.concat(open_at, F.array(depth))).alias("open")))
 
-def in_try_block(files: DataFrame) -> DataFrame:
-    """(repo_id, path, line) of every line inside an open try block.
+    def line(a: Column, found: Column) -> Column:
+        out = F.when(F.size(a["s"]["open"]) > 0, F.concat(a["out"], F.array(a["no"]))).otherwise(a["out"])
+        return F.struct((a["no"] + 1).alias("no"), F.aggregate(found, a["s"], brace).alias("s"), out.alias("out"))
 
-    Only files that contain a try at all are shipped to Python.
-    """
-    return (
-        files.filter(F.col("content").contains("try"))
-        .select("repo_id", "path", F.explode(_try_lines("content")).alias("line"))
-    )
+    start = F.struct(F.lit(1).alias("no"), F.struct(F.lit(0).alias("depth"), ints.alias("open")).alias("s"), ints.alias("out"))
+    return F.aggregate(F.transform(tx.split_lines(content), tokens), start, line, lambda a: a["out"])
 
 
-# --- review scan ---------------------------------------------------------------------------
+def in_try_block(files: DataFrame) -> DataFrame:
+    """(repo_id, path, line) of every line inside an open try block."""
+    return files.filter(F.col("content").contains("try")).select("repo_id", "path", F.explode(try_lines(F.col("content"))).alias("line"))
 
-def _try_suppression(files: DataFrame) -> DataFrame:
-    needed = files.filter(F.col("content").contains("await") & F.col("content").contains("try"))
-    return in_try_block(needed)
 
+# --- review scan ---------------------------------------------------------------------------
 
-def review_scan(files: DataFrame, blocks: bool = True) -> DataFrame:
+def review_scan(files: DataFrame) -> DataFrame:
     """Review rules over whole files; per (path, rule, line) the most confident finding stays.
 
-    ``no-error-handling`` findings inside an open try block are dropped.
+    ``no-error-handling`` findings inside an open try block are dropped, in the row of the file.
     """
-    found = match_lines(files, rt.REVIEW_LINE_RULES)
-    if blocks:
-        found = found.unionByName(match_blocks(files, rt.REVIEW_BLOCK_RULES, first_ordinal=len(rt.REVIEW_LINE_RULES)))
-    guarded = _try_suppression(files).withColumn("rule", F.lit("no-error-handling"))
-    kept = found.join(guarded, ["repo_id", "path", "line", "rule"], "left_anti")
-    return best_per_line(kept)
+    c = F.col("content")
+    guard = F.when(c.contains("try") & c.contains("await"), try_lines(c)).otherwise(F.array().cast("array<int>"))
+    return best_per_line(match_files(files, rt.REVIEW_RULES, guarded={"no-error-handling": guard}))
 
 
 def best_per_line(findings: DataFrame) -> DataFrame:
@@ -295,9 +287,3 @@ def repeated_hardcoded_urls(files: DataFrame, minimum: int = rt.URL_REPEAT_MIN)
         .filter(F.col("hits") > minimum)
         .withColumn("deduction", F.lit(5))
     )
-
-
-def match_symbols(files: DataFrame, symbols: Sequence[str]) -> DataFrame:
-    """Lines that mention a symbol as a whole word."""
-    rules = [Rule(s, "info", tx.word(re.escape(s)), needles=(s,)) for s in symbols]
-    return match_lines(files, rules)

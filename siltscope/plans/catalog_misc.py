@@ -541,7 +541,7 @@ def io16(spark, sf):
     return sinks.review_rows(dt.findings(spark, sf))
 
 
-_FIXABLE = [r for r in rt.REVIEW_LINE_RULES if r.name in sinks.AUTO_FIXABLE]
+_FIXABLE = [r for r in rt.REVIEW_RULES if r.name in sinks.AUTO_FIXABLE]
 
 
 @query("p38_propose_patches", f"""WITH {dt.CODE_LINES}, h AS (SELECT DISTINCT repo_id, path, line, rule FROM ({o.line_hits(_FIXABLE, 'code_lines')})), l AS (SELECT h.*, text AS old_text FROM h JOIN code_lines c ON c.repo_id = h.repo_id AND c.path = h.path AND c.line = h.line)

@@ -38,48 +38,48 @@ def x1(spark, sf):
     return hits.groupBy("repo_id", "rule", "severity").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
 
 
-def _guarded_sql() -> str:
-    """Lines inside try blocks need state; the oracle covers files without any try."""
-    return f"""WITH {dt.CODE_LINES}, hits AS (
-{o.line_hits(rt.REVIEW_LINE_RULES, "code_lines", "path IN (SELECT path FROM code_files WHERE NOT contains(content, 'try'))")})
-SELECT repo_id, path, line, rule, arg_max(category, confidence * 1000 - ordinal) AS category, arg_max(severity, confidence * 1000 - ordinal) AS severity,
-       max(confidence) AS confidence, arg_max(detail, confidence * 1000 - ordinal) AS detail
-FROM hits GROUP BY repo_id, path, line, rule"""
-
-
-@query("p3_review_scan_lines", _guarded_sql())
-def p3(spark, sf):
-    files = dt.code_files(spark, sf).filter(~F.col("content").contains("try"))
-    return matching.review_scan(files, blocks=False).drop("ordinal")
-
-
-@query("p2_review_scan")
+_HITS = o.file_hits(rt.REVIEW_RULES, "code_files")
+
+# lines that start inside an open try block: quoted text is blanked, then the braces of a file are walked one by one
+_TRY = r"""q AS (SELECT repo_id, path, list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '"(?:\\.|[^"\\])*"|''(?:\\.|[^''\\])*''|`(?:\\.|[^`\\])*`', '""', 'g')) AS l
+  FROM code_files WHERE regexp_matches(content, '\btry\s*\{')),
+t AS (SELECT repo_id, path, len(l) AS n, flatten(list_transform(range(1, len(l) + 1), lambda i: list_transform(regexp_extract_all(l[i], '(?:\btry\s*)?\{|\}'), lambda x: struct_pack(no := i, k := CASE WHEN x = '}' THEN 0 WHEN x = '{' THEN 1 ELSE 2 END)))) AS b FROM q),
+w AS (WITH RECURSIVE r AS (
+  SELECT repo_id, path, 0 AS pos, 0 AS depth, CAST([] AS BIGINT[]) AS open FROM t
+  UNION ALL
+  SELECT r.repo_id, r.path, pos + 1, CASE WHEN b[pos + 1].k = 0 THEN greatest(0, depth - 1) ELSE depth + 1 END,
+    CASE b[pos + 1].k WHEN 0 THEN list_filter(open, lambda x: x < greatest(0, depth - 1)) WHEN 2 THEN list_append(open, CAST(depth AS BIGINT)) ELSE open END
+  FROM r JOIN t ON t.repo_id = r.repo_id AND t.path = r.path WHERE pos < len(b)) SELECT * FROM r),
+-- the state after the braces of all lines before
+g AS (SELECT x.repo_id, x.path, x.line FROM (SELECT repo_id, path, line, len(list_filter(b, lambda y: y.no < line)) AS pos FROM (SELECT repo_id, path, b, unnest(range(2, n + 1)) AS line FROM t)) x
+  JOIN w ON w.repo_id = x.repo_id AND w.path = x.path AND w.pos = x.pos WHERE len(w.open) > 0)"""
+
+_BEST = "SELECT repo_id, path, line, rule, arg_max(category, confidence * 1000 - ordinal) AS category, arg_max(severity, confidence * 1000 - ordinal) AS severity, max(confidence) AS confidence"
+
+
+@query("p2_review_scan", f"""WITH {dt.CODE_FILES}, hits AS ({_HITS}), {_TRY},
+f AS (SELECT * FROM hits WHERE rule <> 'no-error-handling' OR NOT EXISTS (SELECT 1 FROM g WHERE g.repo_id = hits.repo_id AND g.path = hits.path AND g.line = hits.line))
+{_BEST} FROM f GROUP BY repo_id, path, line, rule""")
 def p2(spark, sf):
-    """Line and block rules with try suppression over all derived files."""
-    return matching.review_scan(dt.code_files(spark, sf))
+    """All review rules over all derived files, whole files at a time, with try suppression."""
+    return matching.review_scan(dt.code_files(spark, sf)).drop("ordinal", "detail")
 
 
-_BLOCK_COUNT_RULES = tuple(r for r in rt.REVIEW_BLOCK_RULES if "(?!" not in r.pattern and "1500" not in r.pattern)
+@query("p3_review_scan_lines", f"WITH {dt.CODE_FILES}, hits AS ({_HITS}) {_BEST} FROM hits WHERE rule <> 'no-error-handling' GROUP BY repo_id, path, line, rule")
+def p3(spark, sf):
+    """The rule table on all files, without the rule that needs block state."""
+    rules = [r for r in rt.REVIEW_RULES if r.name != "no-error-handling"]
+    return matching.best_per_line(matching.match_files(dt.code_files(spark, sf), rules)).drop("ordinal", "detail")
 
 
-@query(
-    "p2_block_rule_matches",
-    f"WITH {dt.CODE_FILES} SELECT repo_id, path, rule, CAST(n AS BIGINT) AS n FROM ("
-    + " UNION ALL ".join(
-        f"SELECT repo_id, path, {lit(r.name)} AS rule, sum(len(regexp_extract_all(content, {lit(r.pattern)}))) AS n FROM code_files GROUP BY repo_id, path"
-        if sum(q.name == r.name for q in _BLOCK_COUNT_RULES) == 1 else
-        "SELECT repo_id, path, " + lit(r.name) + " AS rule, sum(" + " + ".join(
-            f"len(regexp_extract_all(content, {lit(q.pattern)}))" for q in _BLOCK_COUNT_RULES if q.name == r.name) + ") AS n FROM code_files GROUP BY repo_id, path"
-        for r in {q.name: q for q in _BLOCK_COUNT_RULES}.values()
-    )
-    + ") WHERE n > 0",
-)
+@query("p2_block_rule_matches", f"WITH {dt.CODE_FILES}, hits AS ({_HITS}) SELECT repo_id, path, rule, severity, line, count(*) AS n FROM hits GROUP BY ALL")
 def p2_blocks(spark, sf):
-    hits = matching.match_blocks(dt.code_files(spark, sf), _BLOCK_COUNT_RULES)
-    return hits.groupBy("repo_id", "path", "rule").agg(F.count("*").alias("n"))
+    """Every match of every review rule, by the line that it starts on."""
+    hits = matching.match_files(dt.code_files(spark, sf), rt.REVIEW_RULES)
+    return hits.groupBy("repo_id", "path", "rule", "severity", "line").agg(F.count("*").alias("n"))
 
 
-@query("p4_in_try_block")
+@query("p4_in_try_block", f"WITH {dt.CODE_FILES}, {_TRY} SELECT repo_id, count(*) AS guarded_lines, count(DISTINCT path) AS files FROM g GROUP BY 1")
 def p4(spark, sf):
     t = matching.in_try_block(dt.code_files(spark, sf))
     return t.groupBy("repo_id").agg(F.count("*").alias("guarded_lines"), F.countDistinct("path").alias("files"))

@@ -61,7 +61,7 @@ def test_hygiene_rules(files):
 
 def test_review_rules(files):
     items = [(f"{n}.{k}.ts", text) for n, pair in REVIEW.items() for k, text in zip(("yes", "no"), pair)]
-    got = _hits(matching.match_lines(files(*items), rt.REVIEW_LINE_RULES))
+    got = _hits(matching.match_files(files(*items), rt.REVIEW_RULES))
     for n in REVIEW:
         assert (f"{n}.yes.ts", n) in got, n
         assert (f"{n}.no.ts", n) not in got, n
@@ -69,7 +69,7 @@ def test_review_rules(files):
 
 def test_block_rules_report_the_line_of_the_match(files):
     code = "const a = 1;\ndb.query(`select ${id}`);\nfor (const x of xs) {\n  await db.get(x);\n}\n"
-    got = {(r["rule"], r["line"]) for r in matching.match_blocks(files(("a.ts", code)), rt.REVIEW_BLOCK_RULES).collect()}
+    got = {(r["rule"], r["line"]) for r in matching.match_files(files(("a.ts", code)), rt.REVIEW_RULES).collect()}
     assert {("sql-injection", 2), ("n-plus-1-query", 3)} <= got
 
 
@@ -98,7 +98,7 @@ def test_injection_confidence(spark):
 
 def test_word_edges_are_ascii(files):
     # an accented letter is no word character: the word after it still counts
-    got = _hits(matching.match_lines(files(("a", "éeval(x)"), ("b", "_eval(x)")), rt.REVIEW_LINE_RULES))
+    got = _hits(matching.match_files(files(("a", "éeval(x)"), ("b", "_eval(x)")), rt.REVIEW_RULES))
     assert ("a", "code-injection") in got and ("b", "code-injection") not in got
 
 
@@ -125,3 +125,50 @@ def test_user_rules_are_checked(spark):
     assert rules_from_df(ok)[0].name == "r"
     with pytest.raises(ValueError):
         rules_from_df(spark.createDataFrame([("r", "high", "a(")], "name string, severity string, pattern string"))
+
+
+def test_matches_cross_line_ends(files):
+    code = {
+        "cors.ts": "app.use(cors({\n  origin: '*'\n}));",
+        "arg.py": "x = 1\ndef f(\n a,\n b=[]\n):\n  pass",
+        "any.ts": "const a:\n  any = 1;",
+    }
+    got = {(r["path"], r["rule"], r["line"]) for r in matching.match_files(files(*code.items()), rt.REVIEW_RULES).collect()}
+    assert {("cors.ts", "cors-misconfiguration", 1), ("arg.py", "mutable-default-argument", 2), ("any.ts", "any-type-abuse", 1)} <= got
+
+
+def test_look_ahead_counts_per_occurrence(files):
+    out = matching.match_files(files(("a.ts", "new Function('a'); new Function(code)\nnew Function('b')")), rt.REVIEW_RULES)
+    assert [r["line"] for r in out.filter("rule = 'code-injection'").collect()] == [1]
+
+
+def inside_try(content):
+    """The same fold, one character at a time."""
+    import re
+
+    depth, open_at, out = 0, [], []
+    for no, raw in enumerate(content.split("\n"), start=1):
+        if open_at:
+            out.append(no)
+        text = re.sub(r"""(["'`])(?:\\.|(?!\1).)*\1""", '""', raw)
+        for i, ch in enumerate(text):
+            if ch == "{":
+                if re.search(r"(?<![A-Za-z0-9_])try$", text[:i].rstrip()):
+                    open_at.append(depth)
+                depth += 1
+            elif ch == "}":
+                depth = max(0, depth - 1)
+                open_at = [x for x in open_at if x < depth]
+    return out
+
+
+def test_lines_inside_try_blocks(files):
+    import random
+
+    rng = random.Random(5)
+    parts = ["try {", "try{", "}", "{", "x();", "'a { b'", "retry {", '"\\"{"', "} catch (e) {", "\n", "\n", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(30)) for _ in range(200)] + ["try {\n'" + "x" * 50_000 + "'\n}"]
+    got = {}
+    for r in matching.in_try_block(files(*[(f"f{i}", t) for i, t in enumerate(texts)])).collect():
+        got.setdefault(r["path"], []).append(r["line"])
+    assert {p: sorted(x) for p, x in got.items()} == {f"f{i}": inside_try(t) for i, t in enumerate(texts) if inside_try(t)}
