@@ -74,57 +74,76 @@ def session_rollup(turns: DataFrame, gap: str = "30 minutes", delay: str = "1 ho
     return g.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "turns", "user_turns", "assistant_turns")
 
 
-class Snapshot:
-    """A keyed table rewritten per micro-batch under versioned folders, newest complete one wins.
+class BatchLog:
+    """Rows appended by micro-batches, each in a partition of its own (``v``, the batch).
 
-    A batch that is replayed after a failure rewrites its own version from the one before it, so the
-    outcome does not depend on where the failure happened.
+    Nothing that stands is rewritten. A batch that is replayed after a failure reads what came before it and overwrites
+    its own partition, so the outcome does not depend on where the failure happened.
     """
 
     def __init__(self, spark: SparkSession, path: str, ddl: str):
         self.spark, self.path, self.ddl = spark, path.rstrip("/"), ddl
+        self.append(spark.createDataFrame([], ddl), -1)  # so that there is something to read
+
+    def append(self, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        df = self.spark.read.schema(f"{self.ddl}, v long").parquet(self.path)
+        return df if before is None else df.filter(F.col("v") < before)
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v=")]
-        return sorted(int(d.getName()[2:]) for d in done if fs.exists(jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
+
+class State:
+    """The latest content hash of each file, and the batch that saw it."""
+
+    def __init__(self, log: BatchLog):
+        self.log = log
 
     def read(self, before: int | None = None) -> DataFrame:
-        v = [x for x in self._versions() if before is None or x < before]
-        return self.spark.read.schema(self.ddl).parquet(f"{self.path}/v={v[-1]}") if v else self.spark.createDataFrame([], self.ddl)
+        last = F.max_by(F.struct("content_hash", "v"), "v").alias("l")
+        return self.log.rows(before).groupBy("repo_id", "path").agg(last).select("repo_id", "path", "l.content_hash", "l.v")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+
+class Current:
+    """Findings of the batch that last scanned their file."""
+
+    def __init__(self, log: BatchLog, state: State):
+        self.log, self.state = log, state
+
+    def read(self) -> DataFrame:
+        return self.log.rows().join(self.state.read().select("repo_id", "path", "v"), ["repo_id", "path", "v"], "left_semi").drop("v")
 
 
 STATE = "repo_id string, path string, content_hash string"
 
 
+def one_per_path(files: DataFrame) -> DataFrame:
+    """Of a path that a batch repeats, the content with the largest hash."""
+    h = hashed(files)
+    return h.groupBy("repo_id", "path").agg(F.max_by("content", "content_hash").alias("content"), F.max("content_hash").alias("content_hash"))
+
+
 def watch_and_scan(stream: DataFrame, state_path: str, scan_fn: Callable[[DataFrame], DataFrame], findings_ddl: str, checkpoint: str | None = None):
     """Query that scans files as they land: only new or changed contents are scanned, findings of
-    unchanged ones stay.  State and findings are snapshots under ``state_path``.
+    unchanged ones stay.  Hashes and findings are logs under ``state_path``, which executors and driver must share.
 
-    stream(repo_id, path, content): a batch may repeat a path; its last row by content hash counts once.
+    stream(repo_id, path, content): of a path that a batch repeats, the content with the largest hash counts.
     """
     spark = stream.sparkSession
-    state = Snapshot(spark, state_path + "/state", STATE)
-    found = Snapshot(spark, state_path + "/findings", findings_ddl)
+    state = State(BatchLog(spark, state_path + "/state", STATE))
+    found = Current(BatchLog(spark, state_path + "/findings", findings_ddl), state)
+    columns = [f.name for f in spark.createDataFrame([], findings_ddl).schema]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        files = batch.dropDuplicates(["repo_id", "path"])
-        old, old_found = state.read(batch_id), found.read(batch_id)
-        d = delta(hashed(files), old)
+        # the choice among repeated paths depends on contents alone, so hash and findings always belong together
+        files = one_per_path(batch)
+        d = delta(files.select("repo_id", "path", "content_hash"), state.read(batch_id).drop("v"))
         todo = d.filter(F.col("status").isin("new", "changed")).select("repo_id", "path", F.col("new_hash").alias("content_hash"))
         todo = todo.persist()
         try:
-            fresh = scan_fn(files.join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_semi"))
-            kept = old_found.join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-            found.write(kept.unionByName(fresh.select(*kept.columns)), batch_id)
-            state.write(old.join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_anti").unionByName(todo.select(*old.columns)), batch_id)
+            fresh = scan_fn(files.drop("content_hash").join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_semi"))
+            found.log.append(fresh.select(*columns), batch_id)
+            state.log.append(todo, batch_id)
         finally:
             todo.unpersist()
 

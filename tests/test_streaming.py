@@ -1,5 +1,7 @@
 """Streams give the batch result; late rows and replays are handled."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from siltscope.operators import matching
@@ -64,3 +66,22 @@ def test_pr_intake_batch(spark):
     cfg = spark.createDataFrame([("c1", "u1", True), ("c2", "u2", False)], "config_id string, repo_url string, enabled boolean")
     out = st.pr_intake(ev.withColumn("ts", F.col("t").cast("timestamp")), cfg).collect()
     assert [(r["config_id"], r["pr_number"], r["status"]) for r in out] == [("c1", 1, "pending")]
+
+
+def test_repeated_paths_in_a_batch_count_once(spark, tmp_path):
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    ddl = "repo_id string, path string, content string"
+    rules = [Rule("x", "high", "bad")]
+    twice = [("r", "a", "bad"), ("r", "a", "fine"), ("r", "a", "also\nbad")]
+    want = max(twice, key=lambda r: hashlib.sha256(r[2].encode()).hexdigest())[2]
+    _land(spark, src, twice, ddl)
+    q, s, found = st.watch_and_scan(
+        spark.readStream.schema(ddl).parquet(src), state, lambda f: matching.match_lines(f, rules).select("repo_id", "path", "line"), "repo_id string, path string, line int", checkpoint=str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert q.exception() is None
+    assert [r["line"] for r in found.read().collect()] == [i for i, x in enumerate(want.split("\n"), 1) if x == "bad"]
+    # a replay of the batch leaves the same rows
+    before = sorted(map(tuple, s.read().collect()))
+    again = [tuple(r)[:3] for r in s.log.rows().filter("v = 0").collect()]
+    s.log.append(spark.createDataFrame(again, "repo_id string, path string, content_hash string"), 0)
+    assert sorted(map(tuple, s.read().collect())) == before
