@@ -155,23 +155,36 @@ def _builtin(name: Column, lang: Column) -> Column:
     return out
 
 
-def deletions(col: Column) -> Column:
-    """The string and everything left after deleting one or two characters.
-
-    Two strings within edit distance two share one of these, which turns the fuzzy match into an
-    equality join.
-    """
-    drop = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    idx = lambda s: F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
-    one = F.transform(idx(col), lambda i: drop(col, i))
-    two = F.flatten(F.transform(one, lambda s: F.transform(idx(s), lambda i: drop(s, i))))
-    return F.array_distinct(F.concat(F.array(col), one, two))
+def _cut(length: Column, part: int, parts: int) -> Column:
+    return F.floor(length * part / parts).cast("int")
 
 
 def nearest_names(missing: DataFrame, known: DataFrame, limit: int = 2) -> DataFrame:
-    """Nearest known name per missing name within ``limit`` edits, ignoring case; ties go to the smaller name."""
-    a = missing.select("repo_id", "name").distinct().withColumn("v", F.explode(deletions(F.lower("name"))))
-    b = known.select("repo_id", F.col("name").alias("known")).distinct().withColumn("v", F.explode(deletions(F.lower("known"))))
+    """Nearest known name per missing name within ``limit`` edits, ignoring case; ties go to the smaller name.
+
+    A known name is cut into ``limit + 1`` segments.  Edits can touch at most ``limit`` of them, so one stands unchanged in the
+    other name, moved by at most ``limit`` places: candidates come from an equality join on (length, segment, text), with as
+    many rows per name whatever its length, and are then measured.
+    """
+    parts = limit + 1
+    low = F.lower("known")
+    n = F.length(low)
+    segments = [F.struct(n.alias("len"), F.lit(i).alias("i"), F.substring(low, _cut(n, i, parts) + 1, _cut(n, i + 1, parts) - _cut(n, i, parts)).alias("seg")) for i in range(parts)]
+    b = known.select("repo_id", F.col("name").alias("known")).distinct().select("repo_id", "known", F.explode(F.array(*segments)).alias("v"))
+    name = F.lower("name")
+    size = F.length(name)
+
+    def windows(length: Column) -> Column:
+        out = []
+        for i in range(parts):
+            start, width = _cut(length, i, parts), _cut(length, i + 1, parts) - _cut(length, i, parts)
+            for move in range(-limit, limit + 1):
+                fits = (start + move >= 0) & (start + move + width <= size)
+                out.append(F.when(fits, F.struct(length.alias("len"), F.lit(i).alias("i"), F.substring(name, start + move + 1, width).alias("seg"))))
+        return F.array_compact(F.array(*out))
+
+    lengths = F.sequence(F.greatest(size - limit, F.lit(0)), size + limit)
+    a = missing.select("repo_id", "name").distinct().select("repo_id", "name", F.explode(F.array_distinct(F.flatten(F.transform(lengths, windows)))).alias("v"))
     pairs = a.join(b, ["repo_id", "v"]).select("repo_id", "name", "known").distinct()
     d = F.levenshtein(F.lower("name"), F.lower("known"), limit)
     scored = pairs.withColumn("distance", d).filter(F.col("distance") >= 0)

@@ -166,7 +166,7 @@ def declaration_length(files: DataFrame) -> DataFrame:
     return exported_symbols(files).select("repo_id", "path", "line", "symbol", "loc")
 
 
-def dead_exports(files: DataFrame, edges: DataFrame, k: int | None = 20) -> DataFrame:
+def dead_exports(files: DataFrame, edges: DataFrame, k: int | None = None) -> DataFrame:
     """Exported symbols of files nobody imports whose name occurs as a word in no other file.
 
     Names are compared as whole words, not substrings.  Word occurrences are reduced per task to
@@ -179,8 +179,8 @@ def dead_exports(files: DataFrame, edges: DataFrame, k: int | None = 20) -> Data
     cand = ex.join(many, ["repo_id", "path"], "left_semi").withColumn("key", module_key("path")).join(imported, ["repo_id", "key"], "left_anti")
     names = cand.select("repo_id", "symbol").distinct()
     words = files.select("repo_id", "path", F.explode(F.array_distinct(tx.rx_all("content", r"\w+"))).alias("symbol"))
-    use = words.groupBy("repo_id", "symbol").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-    use = use.join(names, ["repo_id", "symbol"], "left_semi").filter(F.col("lo") == F.col("hi"))
+    use = words.join(names, ["repo_id", "symbol"], "left_semi").groupBy("repo_id", "symbol").agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+    use = use.filter(F.col("lo") == F.col("hi"))
     repos = files.groupBy("repo_id").agg(F.countDistinct("path").alias("_f")).filter("_f > 1").select("repo_id")
     out = cand.join(use.select("repo_id", "symbol"), ["repo_id", "symbol"]).join(repos, "repo_id", "left_semi")
     out = out.select("repo_id", "path", "symbol", "loc", F.when(tx.ends_with_any("path", "index.ts", "index.tsx"), "moderate").otherwise("safe").alias("risk"))

@@ -443,7 +443,7 @@ d AS (SELECT o.repo_id, o.path, o.symbol, loc, CASE WHEN regexp_matches(o.path,
 SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path, symbol) <= 20""")
 def j7(spark, sf):
     f = dt.code_files(spark, sf)
-    return gr.dead_exports(f, gr.imports(f))
+    return gr.dead_exports(f, gr.imports(f), 20)
 
 
 @query("j8_dead_modules", f"""WITH {dt.CODE_FILES}, {_CRES}, x AS (SELECT repo_id, path, {cnt(r'@<@export\s+(?:function|const|class|interface|type)\s+\w+')} AS exports FROM code_files)

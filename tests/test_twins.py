@@ -190,6 +190,10 @@ def test_nearest_names(spark):
             want[m] = min(c)[1]
     df = lambda names: spark.createDataFrame([("r", n) for n in names], "repo_id string, name string")
     assert {r["name"]: r["nearest"] for r in dp.nearest_names(df(miss), df(known)).collect()} == want
+    # a specifier of any length costs a fixed number of rows
+    long = "data:" + "ab" * 5_000
+    got = dp.nearest_names(df([long, "x"]), df([long[:-1] + "c", long[2:-1], "unrelated"])).collect()
+    assert [(r["name"], r["nearest"], r["distance"]) for r in got] == [(long, long[:-1] + "c", 1)]
 
 
 def test_chunks_keep_every_line_and_the_budget():
