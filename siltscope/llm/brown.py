@@ -31,7 +31,7 @@ MOD, REST = 7, 2
 #: the token after a text's last word
 END = U(0xE11D0F7E47)
 #: tokens after which a task starts a new dictionary
-CHUNK_TOKENS = 6_000_000
+CHUNK_TOKENS = 1_200_000
 #: documents whose dictionaries one group of the counting pass holds
 GROUP_DOCS = 1500
 #: classes of words outside the vocabulary: unseen, seen once to four times, more often

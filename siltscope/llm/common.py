@@ -14,14 +14,25 @@ from siltscope.session import shared_dir, ship
 SLICE_BYTES = 1 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: rows of an Arrow batch, where the session has Spark's defaults: batches of whole texts wait outside the heap
+ROWS, ROWS_DEFAULT, ROWS_SMALL = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package and keep Arrow batches of texts small; settings that the user has made stay."""
     ship(spark)
+    if spark.conf.get(ROWS) == ROWS_DEFAULT:
+        spark.conf.set(ROWS, ROWS_SMALL)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def texts(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id and text alone (null text: empty), so that other columns never reach an operator."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
