@@ -35,7 +35,7 @@ GROUP_DOCS = 1500
 #: up to so many sets' ids (8 bytes each) are broadcast to fetch their texts; beyond it the join shuffles
 BROADCAST_SETS = 1_000_000
 HASHES = 4
-ROUNDS = 2
+ROUNDS = 3
 #: sets of up to so many tokens may enumerate subsets
 SMALL = 20
 #: longs of a parity sketch
@@ -258,7 +258,7 @@ def rarest(sets: DataFrame) -> DataFrame:
     need = F.floor((F.col("n") * PERCENT + 99) / 100).cast("int")
     a = by_set.withColumn("s", F.size("shared")).filter(F.col("s") >= need)
     room = F.col("n") - need - (F.col("n") - F.col("s")) + 1  # of the n - need + 1 rarest, those that no other set has come first
-    mins = [F.array_min(F.transform("shared", lambda x, j=j: F.xxhash64(x["token"], F.lit(j)))) for j in range(HASHES)]
+    mins = [F.array_min(F.transform("shared", lambda x, j=j: F.xxhash64(x["token"], F.lit(j)))) for j in range(HASHES * ROUNDS)]
     a = a.select(
         "sid", "n", "s",
         F.transform(F.slice("shared", F.lit(1), room), lambda x: x["token"]).alias("one"),
@@ -269,9 +269,9 @@ def rarest(sets: DataFrame) -> DataFrame:
     return a.join(sets.select("sid", "bits"), "sid")
 
 
-def hub_links(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (a: hub, b): at most one for each set, to the hub of one of its min-hashes that is not ``joined`` with it."""
-    m = active.select("sid", "n", "s", "bits", "joined", F.posexplode("mins").alias("j", "h"))
+def hub_links(active: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Verified links (a: hub, b): at most one for each set, to the hub of one of its min-hashes of this turn that is not ``joined`` with it."""
+    m = active.select("sid", "n", "s", "bits", "joined", F.posexplode(F.slice("mins", turn * HASHES + 1, HASHES)).alias("j", "h"))
     of = F.struct((F.col("n") - F.col("s")).alias("own"), "sid", "n", "s", "joined", "bits")
     hub = m.groupBy("j", "h").agg(F.min(of).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
     h = F.col("hub")
@@ -328,13 +328,20 @@ def with_joined(active: DataFrame, found: DataFrame) -> DataFrame:
     return active.join(c, active.sid == c.c_id, "left").withColumn("joined", F.coalesce("component", "sid")).drop("c_id", "component")
 
 
-def links(active: DataFrame, sets: DataFrame, limit: int | None = None) -> DataFrame:
-    """Links (a, b) of different sets that span the same components as all links do."""
-    found = saved(hub_links(active.withColumn("joined", F.col("sid")), sets), "hub-links")
-    for _ in range(ROUNDS - 1):
-        found = saved(found.unionByName(hub_links(with_joined(active, found), sets)), "hub-links")
+def linked(active: DataFrame, sets: DataFrame, limit: int | None = None) -> DataFrame:
+    """(sid, component) of the active sets: hub links first, then the links between what they have not joined."""
+    found = saved(hub_links(active.withColumn("joined", F.col("sid")), sets, 0), "hub-links")
+    for turn in range(1, ROUNDS):
+        found = saved(found.unionByName(hub_links(with_joined(active, found), sets, turn)), "hub-links")
+    joined = saved(with_joined(active, found), "joined")
     limit = boundary(active) if limit is None else min(limit, SMALL)
-    return found.unionByName(saved(verified(light_heavy(saved(with_joined(active, found), "joined"), limit), sets), "links"))
+    links = verified(light_heavy(joined, limit), sets)
+    # a component needs one link between two groups, however many there are
+    of = joined.select("sid", "joined")
+    a, b = of.select(F.col("sid").alias("a"), F.col("joined").alias("ja")), of.select(F.col("sid").alias("b"), F.col("joined").alias("jb"))
+    groups = links.join(a, "a").join(b, "b").select(F.col("ja").alias("a"), F.col("jb").alias("b")).distinct()
+    c = components(groups).select(F.col("id").alias("joined"), "component")
+    return of.join(c, "joined", "left").select("sid", F.coalesce("component", "joined").alias("component"))
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, limit: int | None = None) -> DataFrame:
@@ -352,7 +359,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, limit: int | None = None) ->
     if sets.count() != alive.count():  # a repeated row gave its set twice
         sets = saved(sets.dropDuplicates(["sid"]), "tokens")
     active = saved(rarest(sets), "active")
-    found = components(links(active, sets, limit))
+    found = linked(active, sets, limit).withColumnRenamed("sid", "id")
     named = equal.join(found, equal.sid == found.id, "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "sid").alias("component"), "rows", "sid")
     named = named.filter((F.col("rows") > 1) | (F.col("component") != F.col("sid"))).select("s1", "s2", "component")
     r = m.join(named, (m.k1 == named.s1) & (m.k2 == named.s2) & (m.n > 0), "left")
