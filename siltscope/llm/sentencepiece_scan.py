@@ -60,6 +60,8 @@ class Lattice:
         self.longest = max(map(len, self.piece))
         # pieces that the model all but forbids, by a score far below all ranks, do not set the price of an unknown character
         self.unknown = min((s for _, s in self.piece.values() if s > -1e6), default=0.0) - UNKNOWN
+        #: pieces and their beginnings, the latter with a score that no path takes
+        self.starts = {p[:i]: (-1, -np.inf) for p in self.piece for i in range(1, len(p))} | self.piece
         self.cut_at_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.piece)
         self.units: dict[str, tuple[bytes, float]] = {}
 
@@ -86,24 +88,41 @@ class Lattice:
                     score[j], came[j] = score[i] + s, i
         return np.array(score), np.array(came)
 
-    def ids_between(self, z: str, back: np.ndarray, start: int, end: int) -> bytes:
+    def ids_between(self, z: str, back: np.ndarray | list[int], start: int, end: int) -> bytes:
         parts: list[list[int]] = []
         while end > start:
-            i = int(back[end])
+            i = back[end]
             p = self.piece.get(z[i:end])
             parts.append([p[0]] if p else [self.byte_id[b] for b in z[i:end].encode()])
             end = i
-        return np.array([x for p in reversed(parts) for x in p], dtype="<u4").tobytes()
+        return b"".join(x.to_bytes(4, "little") for p in reversed(parts) for x in p)
 
     def unit(self, u: str) -> tuple[bytes, float]:
         got = self.units.get(u)
         if got is None:
             if len(self.units) >= UNITS:
                 self.units.clear()
-            score, back = self.forward(u, 0, len(u))
-            got = self.units[u] = self.ids_between(u, back, 0, len(u)), float(score[-1])
+            score, back = self.best(u)
+            got = self.units[u] = self.ids_between(u, back, 0, len(u)), score
         return got
 
+    def best(self, u: str) -> tuple[float, list[int]]:
+        """``forward`` over a whole unit, without arrays: most units are a few characters."""
+        get, longest, n = self.starts.get, self.longest, len(u)
+        score, back = [0.0] * (n + 1), [-1] * (n + 1)
+        score[1:] = [-np.inf] * n
+        for i in range(n):
+            here = score[i]
+            if u[i] not in self.piece and here + self.unknown > score[i + 1]:
+                score[i + 1], back[i + 1] = here + self.unknown, i
+            for j in range(i + 1, min(i + longest, n) + 1):
+                p = get(u[i:j])
+                if p is None:
+                    break  # neither a piece nor the beginning of one
+                if here + p[1] > score[j]:
+                    score[j], back[j] = here + p[1], i
+        return score[n], back
+
     def solve(self, z: str) -> tuple[bytes, float]:
         """Ids and score of a text that stands by itself; z has marks for blanks."""
         solved = [self.unit(u) for u in (_UNIT.findall(z) if self.cut_at_marks else [z])]
