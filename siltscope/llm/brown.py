@@ -2,16 +2,16 @@
 
 1. Every task encodes its texts against a dictionary of its own (64-bit word hashes), with training counts.
 2. The dictionaries are dealt out by hash, summed, and each task's words get their counts over the whole corpus back.
-3. The ``VOCABULARY`` most frequent words are clustered by exchange on their bigram counts over all training documents; the
-   other words fall into classes of equal count. Both the clustering's input and the class counts have a size that depends on
-   ``VOCABULARY`` only, and cover the whole corpus.
+3. The vocabulary, every word seen ``FREQUENT`` times or more, is clustered by exchange. The ``SEED`` most frequent words are
+   clustered first, on the driver, and the others spread over their classes; then each sweep counts, for every word of the vocabulary, the classes beside it, brings a word's counts together
+   by hash, moves it to its best class and sends the classes back. Rarer words fall into classes of equal count.
 4. P(w | v) = P(class(w) | class(v)) P(w | class(w)), interpolated with the smoothed unigram. Words never seen share one event, whose
    probability after a class is that of words seen once: leaving one occurrence out turns those into unseen words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltscope.llm.common import documents, held_out, saved, slices, texts
+from siltscope.llm.common import documents, dropped, held_out, saved, slices, texts
 from siltscope.llm.words import U, Words, deal
 
-VOCABULARY = 1000
+#: words seen so often or more are clustered
+FREQUENT = 5
+#: words that give the classes a start
+SEED = 1000
 CLASSES = 48
 SWEEPS = 4
 #: weight of the unigram in the mixture
@@ -43,6 +46,8 @@ def packed(x: np.ndarray) -> bytes:
 
 
 def unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, kind)
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
@@ -115,7 +120,7 @@ def counted(chunks: DataFrame, n_groups: int, vocabulary: int) -> DataFrame:
         seen = count > 0
         once = np.bincount(np.minimum(count[seen], 6), minlength=7)[:7]
         other = np.flatnonzero(seen & (all_ != END))
-        best = other[np.lexsort((all_[other], -count[other]))[:vocabulary]]
+        best = other[np.lexsort((all_[other].view(np.int64), -count[other]))[:vocabulary]]
         top = [{"word": int(a), "count": int(c)} for a, c in zip(all_[best].view(np.int64), count[best])]
         rows = [(p, c, packed(back[a:z]), None, None, None, None) for c, a, z in zip(chunks_, cuts, cuts[1:])]
         rows.append((p, -1, None, int(count.sum()), int(seen.sum()), once.tolist(), top))
@@ -137,7 +142,12 @@ def unit_of(words: np.ndarray, counts: np.ndarray, top: np.ndarray, where: np.nd
     return out.astype(np.int16)
 
 
-RESOLVED = "chunk long, ids binary, held binary, sizes binary, tokens binary, n_words int, counts binary, units binary"
+RESOLVED = "chunk long, words binary, ids binary, held binary, sizes binary, tokens binary, n_words int, counts binary, units binary"
+
+
+def resolved_row(row: tuple) -> pa.Table:
+    kinds = (pa.int64(), *[pa.binary()] * 5, pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in RESOLVED.split(", ")])
 
 
 def resolved(chunks: DataFrame, counts: DataFrame, top: np.ndarray, where: np.ndarray) -> DataFrame:
@@ -152,18 +162,18 @@ def resolved(chunks: DataFrame, counts: DataFrame, top: np.ndarray, where: np.nd
         count = np.zeros(len(words), np.int64)
         for p, i in deal(words, n_groups):
             count[i] = unpacked(got[p], np.int64, len(i))
-        row = (base["chunk"], base["ids"], base["held"], base["sizes"], base["tokens"], len(words), packed(count), packed(unit_of(words, count, top, where)))
-        kinds = (pa.int64(), *[pa.binary()] * 4, pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in RESOLVED.split(", ")])
+        row = (base["chunk"], base["words"], base["ids"], base["held"], base["sizes"], base["tokens"], len(words), packed(count), packed(unit_of(words, count, top, where)))
+        return resolved_row(row)
 
     return chunks.unionByName(counts, allowMissingColumns=True).groupBy("chunk").applyInArrow(join, RESOLVED)
 
 
-def read_chunk(r: dict) -> tuple[np.ndarray, ...]:
-    """ids, held (bit 0; bit 1: no id), sizes, counts and units of each token."""
+def read_chunk(r: dict, units: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """ids, held (bit 0; bit 1: no id), sizes, counts and units (or ``units`` of the dictionary) of each token."""
     ids, held, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["held"], np.uint8), np.frombuffer(r["sizes"], np.int32)
     tokens = unpacked(r["tokens"], np.int32, int(sizes.sum()))
-    count, unit = unpacked(r["counts"], np.int64, r["n_words"]), unpacked(r["units"], np.int16, r["n_words"])
+    count = unpacked(r["counts"], np.int64, r["n_words"])
+    unit = unpacked(r["units"], np.int16, r["n_words"]) if units is None else units
     return ids, held, sizes, count[tokens], unit[tokens].astype(np.int64)
 
 
@@ -175,14 +185,14 @@ def before(unit: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return prev
 
 
-def bigrams(chunks: DataFrame, n_units: int, end: int) -> np.ndarray:
-    """Bigram counts of units over all training documents."""
+def bigrams(chunks: DataFrame, n_units: int, end: int, named: Callable[[dict], np.ndarray] | None = None) -> np.ndarray:
+    """Bigram counts of units, or of what ``named`` gives a chunk's words, over all training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros(n_units * n_units, dtype=np.int64)
         for b in batches:
             for r in b.to_pylist():
-                _, held, sizes, _, unit = read_chunk(r)
+                _, held, sizes, _, unit = read_chunk(r) if named is None else read_chunk(r, named(r))
                 use = np.repeat(held & 1 == 0, sizes)
                 m += np.bincount((before(unit, sizes, end) * n_units + unit)[use], minlength=len(m))
         m = m.reshape(n_units, n_units)
@@ -205,6 +215,18 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def gains(a: np.ndarray, r: np.ndarray, l: np.ndarray, s: float, k: int) -> np.ndarray:
+    """What each of the first k classes gains in likelihood by a word that is in none: its counts to the right and left, and beside itself."""
+    on, to, own = np.flatnonzero(r), np.flatnonzero(l), np.arange(k)
+    rows, cols = a[:k, on], a[to, :k].T
+    gain = (xlogx(rows + r[on]) - xlogx(rows)).sum(axis=1) + (xlogx(cols + l[to]) - xlogx(cols)).sum(axis=1)
+    d = a[own, own]
+    gain += xlogx(d + r[:k] + l[:k] + s) - xlogx(d) - (xlogx(d + r[:k]) - xlogx(d)) - (xlogx(d + l[:k]) - xlogx(d))
+    # wherever the word goes, its neighbours' classes gain its contexts
+    out, into = a.sum(axis=1)[:k] + l[:k], a.sum(axis=0)[:k] + r[:k]
+    return gain - (xlogx(out + r.sum() + s) - xlogx(out) + xlogx(into + l.sum() + s) - xlogx(into))
+
+
 def exchange(m: np.ndarray, n_words: int, classes: int, sweeps: int) -> np.ndarray:
     """The class of each unit: units from ``n_words`` on have classes of their own; each word is moved to the class
     that raises the class-bigram likelihood most, in turns over all words, until none moves."""
@@ -225,13 +247,7 @@ def exchange(m: np.ndarray, n_words: int, classes: int, sweeps: int) -> np.ndarr
             a[old, old] += s
             r[old] -= s
             l[old] -= s
-            rows, cols, own = a[:k], a[:, :k].T, np.arange(k)
-            gain = (xlogx(rows + r) - xlogx(rows)).sum(axis=1) + (xlogx(cols + l) - xlogx(cols)).sum(axis=1)
-            d = a[own, own]
-            gain += xlogx(d + r[:k] + l[:k] + s) - xlogx(d) - (xlogx(d + r[:k]) - xlogx(d)) - (xlogx(d + l[:k]) - xlogx(d))
-            # wherever the word goes, its neighbours' classes gain its contexts
-            out, into = a.sum(axis=1)[:k] + l[:k], a.sum(axis=0)[:k] + r[:k]
-            gain -= xlogx(out + r.sum() + s) - xlogx(out) + xlogx(into + l.sum() + s) - xlogx(into)
+            gain = gains(a, r, l, s, k)
             new = int(gain.argmax())
             if gain[new] <= gain[old] + 1e-9:
                 new = old
@@ -250,6 +266,169 @@ def exchange(m: np.ndarray, n_words: int, classes: int, sweeps: int) -> np.ndarr
     return of
 
 
+def likelihood(a: np.ndarray) -> float:
+    """Of class bigrams, less what no clustering changes."""
+    return float(xlogx(a).sum() - xlogx(a.sum(axis=0)).sum() - xlogx(a.sum(axis=1)).sum())
+
+
+def is_member(words: np.ndarray, counts: np.ndarray, floor: tuple[int, int]) -> np.ndarray:
+    """Words of the vocabulary: seen more often than the floor, or as often with no greater hash."""
+    return ((counts > floor[0]) | ((counts == floor[0]) & (words.view(np.int64) <= floor[1]))) & (words != END)
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Reads the classes of a chunk's words. ``of``: of each unit; words of the vocabulary that have none yet start spread over all k."""
+
+    of: np.ndarray
+    k: int
+    floor: tuple[int, int]
+
+    def words(self, r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, whether in the vocabulary, classes."""
+        words = np.frombuffer(r["words"], U)
+        cls = self.of[unpacked(r["units"], np.int16, len(words))]
+        me = is_member(words, unpacked(r["counts"], np.int64, len(words)), self.floor)
+        start = me & (cls >= self.k)
+        cls[start] = (words[start] % U(self.k)).astype(np.int64)
+        return words, me, cls
+
+    def units(self, r: dict) -> np.ndarray:
+        """Classes, words seen ``FREQUENT`` times apart: behind all others, in the same order."""
+        words, me, cls = self.words(r)
+        five = me & (unpacked(r["counts"], np.int64, len(words)) == FREQUENT)
+        return cls + (self.k + 1 + BANDS) * five
+
+
+BESIDE = "p int, chunk long, words binary, classes binary, cells binary, counts binary"
+
+
+def beside(chunks: DataFrame, classes: Classes, n_groups: int) -> DataFrame:
+    """Per chunk and group the words of the vocabulary, their classes, and how often which class stands right, left and the word beside itself."""
+    end = classes.k
+    c = end + 1 + BANDS
+    width = 2 * c + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                words, me, cls = classes.words(r)
+                held, sizes = np.frombuffer(r["held"], np.uint8), np.frombuffer(r["sizes"], np.int32)
+                tokens = unpacked(r["tokens"], np.int32, int(sizes.sum())).astype(np.int64)
+                use, starts = np.repeat(held & 1 == 0, sizes), np.zeros(len(tokens), dtype=bool)
+                starts[np.cumsum(sizes) - sizes] = True
+                prev = np.concatenate((tokens[:1], tokens[:-1]))
+                left = use & me[tokens]
+                right = use & ~starts & me[prev]
+                same = right & (prev == tokens)
+                cells = np.concatenate((
+                    tokens[left] * width + c + np.where(starts, end, cls[prev])[left],
+                    prev[right] * width + cls[tokens][right],
+                    tokens[same] * width + 2 * c,
+                ))
+                cells, n = np.unique(cells, return_counts=True)
+                rows = []
+                for p, i in deal(words, n_groups):  # sorted words: a range each
+                    i = i[me[i]]
+                    if not len(i):
+                        continue
+                    place = np.full(int(i[-1] - i[0]) + 1, -1, dtype=np.int64)
+                    place[i - i[0]] = np.arange(len(i))
+                    x, z = np.searchsorted(cells, [i[0] * width, (i[-1] + 1) * width])
+                    local = place[cells[x:z] // width - i[0]] * width + cells[x:z] % width
+                    rows.append((p, r["chunk"], words[i].tobytes(), packed(cls[i].astype(np.int16)), packed(np.diff(local, prepend=0)), packed(n[x:z].astype(np.int32)), z - x))
+                if rows:
+                    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], [*(x.split()[0] for x in BESIDE.split(", ")), "n"])
+
+    return chunks.mapInArrow(run, BESIDE + ", n long")
+
+
+def moved(near: DataFrame, a: np.ndarray, k: int) -> DataFrame:
+    """Per group and chunk the new classes of its words. A group sees its own moves at once, those of others in the next sweep."""
+    c = len(a)
+    width = 2 * c + 1
+
+    def run(table: pa.Table) -> pa.Table:
+        got = {x: table.column(x).to_pylist() for x in table.column_names}
+        words = [np.frombuffer(x, U) for x in got["words"]]
+        all_, to = np.unique(np.concatenate(words), return_inverse=True)
+        cuts = np.cumsum([0, *(len(w) for w in words)])
+        total = np.zeros(len(all_) * width)
+        of = np.zeros(len(all_), dtype=np.int64)
+        for x, z, cls, cells, n, size in zip(cuts, cuts[1:], got["classes"], got["cells"], got["counts"], got["n"]):
+            at = np.cumsum(unpacked(cells, np.int64, size))
+            total[to[x:z][at // width] * width + at % width] += unpacked(n, np.int32, size)
+            of[to[x:z]] = unpacked(cls, np.int16, z - x)
+        total = total.reshape(-1, width)
+        m = a.copy()
+        for w in range(len(all_)):
+            old, r, l, s = of[w], total[w, :c], total[w, c : 2 * c], total[w, -1]
+            m[old] -= r
+            m[:, old] -= l
+            m[old, old] += s
+            r[old] -= s
+            l[old] -= s
+            gain = gains(m, r, l, s, k)
+            new = int(gain.argmax())
+            if gain[new] <= gain[old] + 1e-9:
+                new = old
+            m[new] += r
+            m[:, new] += l
+            m[new, new] += s
+            of[w] = new
+        back = of[to].astype(np.int16)
+        return pa.table([pa.array(got["p"], pa.int32()), pa.array(got["chunk"], pa.int64()), pa.array([packed(back[x:z]) for x, z in zip(cuts, cuts[1:])], pa.binary())], names=["p", "chunk", "classes"])
+
+    return near.groupBy("p").applyInArrow(run, "p int, chunk long, classes binary")
+
+
+def reclassed(chunks: DataFrame, moves: DataFrame, classes: Classes, n_groups: int) -> DataFrame:
+    """Chunks whose words of the vocabulary have their new classes as units."""
+
+    def join(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        base = next(r for r in rows if r["words"] is not None)
+        got = {r["p"]: r["classes"] for r in rows if r["classes"] is not None}
+        words, me, cls = classes.words(base)
+        for p, i in deal(words, n_groups):
+            i = i[me[i]]
+            if len(i):
+                cls[i] = unpacked(got[p], np.int16, len(i))
+        return resolved_row((*(base[x] for x in ("chunk", "words", "ids", "held", "sizes", "tokens", "n_words", "counts")), packed(cls.astype(np.int16))))
+
+    return chunks.unionByName(moves, allowMissingColumns=True).groupBy("chunk").applyInArrow(join, RESOLVED)
+
+
+def clustered(chunks: DataFrame, of: np.ndarray, k: int, floor: tuple[int, int], n_groups: int, sweeps: int) -> tuple[DataFrame, np.ndarray, Classes]:
+    """Chunks after sweeps over the whole vocabulary, the bigrams of ``Classes.units``, and what reads the chunks' classes.
+
+    Sweeps go on while the likelihood rises, and the best stays.
+    """
+    c = k + 1 + BANDS
+    fold = np.concatenate((np.arange(c), np.arange(k)))
+    classes = Classes(of, k, floor)
+    best, m = chunks, bigrams(chunks, c + k, k, classes.units)
+    for _ in range(sweeps):
+        moves = saved(moved(beside(best, classes, n_groups), folded(m, fold), k), "moves")
+        now = saved(reclassed(best, moves, classes, n_groups), "classes")
+        dropped(moves)
+        classes_now = Classes(np.arange(c), k, floor)
+        n = bigrams(now, c + k, k, classes_now.units)
+        if likelihood(folded(n, fold)) <= likelihood(folded(m, fold)):
+            dropped(now)
+            break
+        dropped(best)
+        best, m, classes = now, n, classes_now
+    return best, m, classes
+
+
+def folded(m: np.ndarray, to: np.ndarray) -> np.ndarray:
+    out = np.zeros((int(to.max()) + 1,) * 2)
+    np.add.at(out, (to[:, None], to[None, :]), m)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     n: int  # training tokens
@@ -260,8 +439,8 @@ class Model:
     rare: int  # the first band's unit
 
 
-def model(m: np.ndarray, n: int, v: int, once: list[int], top_counts: np.ndarray, classes: int, sweeps: int) -> Model:
-    """``once[r]``: words of count r outside the vocabulary, r up to 5."""
+def model(m: np.ndarray, n: int, v: int, once: list[int], top_counts: np.ndarray, classes: int, sweeps: int, fives: np.ndarray | None = None) -> Model:
+    """``once[r]``: words of count r outside the vocabulary, r up to 5; ``fives``: what share of each word class is seen 5 times."""
     t = len(top_counts)
     of = exchange(m, t, classes, sweeps)
     c = int(of.max()) + 1
@@ -278,6 +457,9 @@ def model(m: np.ndarray, n: int, v: int, once: list[int], top_counts: np.ndarray
     for r in range(1, BANDS - 1):
         shift[first + r, first + r - 1] = 1
     shift[c - 1, c - 2], shift[c - 1, c - 1] = five, 1 - five
+    if fives is not None:
+        words = np.arange(len(fives))
+        shift[words, words], shift[words, c - 2] = 1 - fives, fives
     a = shift.T @ a @ shift
     share = (a.sum(axis=0) + 1e-3) / (a.sum() + 1e-3 * c)
     strength = 5.0
@@ -291,16 +473,19 @@ def model(m: np.ndarray, n: int, v: int, once: list[int], top_counts: np.ndarray
     return Model(n, v, of, step, emit, t + 1)
 
 
-def scored(chunks: DataFrame, model_: Model) -> DataFrame:
+def scored(chunks: DataFrame, model_: Model, whole: np.ndarray, classes: Classes | None = None) -> DataFrame:
+    """``whole``: training tokens of each word class; there a word has the share of its count."""
     last, end = len(model_.emit) - 1, model_.rare - 1
+    per = np.ones(last + 1)
+    per[: len(whole)] = np.maximum(whole, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, held, sizes, count, unit = read_chunk(r)
+                ids, held, sizes, count, unit = read_chunk(r, classes and classes.words(r)[2])
                 at = np.cumsum(sizes) - sizes
                 base = (count + 1) / (model_.n + model_.v + 1)
-                word = model_.emit[unit] * np.where(unit == last, count, 1)
+                word = model_.emit[unit] * np.where((unit == last) | (unit < end), count / per[unit], 1)
                 p = model_.step[model_.of[before(unit, sizes, end)], model_.of[unit]] * word if model_.n else base
                 p = (1 - UNIGRAM) * p + UNIGRAM * base
                 sums = [np.add.reduceat(x, at) for x in ((count > 0).astype(np.int64), np.log10(base), np.log10(p))]
@@ -313,33 +498,50 @@ def scored(chunks: DataFrame, model_: Model) -> DataFrame:
     return chunks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def class_scores(docs: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
+def class_scores(docs: DataFrame, vocabulary: int | None = None, classes: int = CLASSES, sweeps: int = SWEEPS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2 (without a doc_id: from all). Null and empty texts are the end
     token alone. Repeated rows count as often as they stand and get equal scores. Without training rows both scores are those of an
-    empty model.
+    empty model. ``vocabulary`` clusters so many words, the most frequent, instead of all seen ``FREQUENT`` times.
     """
     t = texts(docs).withColumn("held", held_out(MOD, REST).cast("int"))
     n_groups = max(16, t.count() // GROUP_DOCS)
     chunks = saved(encoded(t), "encoded")
-    counts = saved(counted(chunks, n_groups, vocabulary), "counted")
+    wanted = SEED if vocabulary is None else vocabulary
+    counts = saved(counted(chunks, n_groups, wanted), "counted")
     sums = counts.filter("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *[F.sum(F.get("once", r)).alias(f"r{r}") for r in range(1, 6)]).first()
     n, v = sums["n"] or 0, sums["v"] or 0
-    top = counts.filter("chunk = -1").select(F.explode("top").alias("t")).select("t.word", "t.count").orderBy(F.desc("count"), "word").limit(vocabulary).collect()  # the vocabulary
+    top = counts.filter("chunk = -1").select(F.explode("top").alias("t")).select("t.word", "t.count").orderBy(F.desc("count"), "word").limit(wanted).collect()  # the seed, or the vocabulary asked for
+    once = [0, *(sums[f"r{r}"] or 0 for r in range(1, 6))]
+    if vocabulary is None:
+        floor, top = (FREQUENT - 1, -(1 << 63)), [r for r in top if r["count"] >= FREQUENT]
+        once[FREQUENT] = 0
+    else:
+        floor = (top[-1]["count"], top[-1]["word"]) if top else (1 << 62, 0)
+        once = [x - sum(t["count"] == r for t in top) for r, x in enumerate(once)]
+    top = top[:SEED]
     words = np.array([r["word"] for r in top], dtype=np.int64).view(U)
-    top_counts = np.array([r["count"] for r in top], dtype=np.float64)
     order = np.argsort(words)
     base = chunks.select("chunk", "words", "ids", "held", "sizes", "tokens").withColumn("groups", F.lit(n_groups))
     backs = counts.filter("chunk >= 0").select("p", "chunk", "counts").withColumn("groups", F.lit(n_groups))
     ready = saved(resolved(base, backs, words[order], order), "resolved")
-    once = [0, *((sums[f"r{r}"] or 0) - int((top_counts == r).sum()) for r in range(1, 6))]
+    dropped(chunks)
+    dropped(counts)
     m = bigrams(ready, len(words) + 1 + BANDS, len(words))
     # the end is a class of its own and no word of a band
     ends = int(m[:, len(words)].sum())
-    if 1 <= ends <= 5:
+    if 1 <= ends <= 5 and once[ends]:
         once[ends] -= 1
-    return scored(ready, model(m, n, v, once, top_counts, classes, sweeps))
+    of = exchange(m, len(words), classes, sweeps)
+    k = int(of.max()) - BANDS
+    if not len(words):
+        return scored(ready, model(m, n, v, once, np.zeros(0), classes, 0), np.zeros(0))
+    ready, m, named = clustered(ready, of, k, floor, n_groups, sweeps)
+    a = folded(m, np.concatenate((np.arange(k + 1 + BANDS), np.arange(k))))
+    whole = a.sum(axis=0)[:k]
+    fives = m.sum(axis=0)[k + 1 + BANDS :] / np.maximum(whole, 1)
+    return scored(ready, model(a, n, v, once, whole, k, 0, fives), whole, named)
 
 
 def op5_brown_score(spark, sf_dir: str) -> DataFrame:

@@ -279,6 +279,20 @@ def test_brown_scores(odd, docs):
     assert brown.class_scores(d.limit(0)).collect() == []
 
 
+def test_brown_clusters_words_beyond_the_seed(docs):
+    rng = random.Random(8)
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = iter(i for i in range(10**6) if not is_held(i))
+    hot = [(next(train), " ".join(f"{'ab'[j % 2]}{(i + j) % 500}" for j in range(1000))) for i in range(20)]
+    rare = [(next(train), " ".join(f"{'cd'[j % 2]}{rng.randrange(60)}" for j in range(20))) for _ in range(60)]
+    c, d = [f"c{i}" for i in range(60)], [f"d{i}" for i in range(60)]
+    one, two = [i for i in range(100) if is_held(i)][:2]
+    new = [(one, " ".join(x for p in zip(c, d) for x in p)), (two, " ".join([*c, *d]))]
+    by = {r.doc_id: r for r in brown.class_scores(docs(*hot, *rare, *new)).collect()}
+    assert by[one].n_known == by[two].n_known and math.isclose(by[one].base_score, by[two].base_score)
+    assert by[one].score > by[two].score + 20
+
+
 def test_class_model_sums_to_one(docs):
     rng = np.random.default_rng(2)
     t, s = 12, 12 + 1 + brown.BANDS
