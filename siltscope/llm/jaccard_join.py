@@ -85,7 +85,7 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 
 
 def members(t: DataFrame, k: int, n_groups: int) -> DataFrame:
-    """One row per document: doc_id, n, k1, k2 (its set), alive (the set may have a partner)."""
+    """One row per document: doc_id, key (of its text), n, k1, k2 (its set), alive (the set may have a partner)."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -117,9 +117,9 @@ def members(t: DataFrame, k: int, n_groups: int) -> DataFrame:
                 tokens = h[g]
             else:
                 row, tokens = np.empty(0, np.int32), h
-            out = [(p, chunk, tokens[i].tobytes(), row[i].tobytes(), None, None, None, None, None, None) for p, i in deal(tokens, n_groups)]
-            out.append((chunk % n_groups, chunk, None, None, ids.tobytes(), n.astype(np.int32).tobytes(), k1.tobytes(), k2.tobytes(), lead.astype(np.int32).tobytes(), base.tobytes()))
-            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
+            out = [(p, chunk, tokens[i].tobytes(), row[i].tobytes(), None, None, None, None, None, None, None) for p, i in deal(tokens, n_groups)]
+            out.append((chunk % n_groups, chunk, None, None, ids.tobytes(), n.astype(np.int32).tobytes(), k1.tobytes(), k2.tobytes(), lead.astype(np.int32).tobytes(), base.tobytes(), b.column("key").to_numpy().tobytes()))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], NAMES)
 
     def shared(table: pa.Table) -> pa.Table:
@@ -152,34 +152,35 @@ def members(t: DataFrame, k: int, n_groups: int) -> DataFrame:
         return pa.concat_tables([answers, rest])
 
     def judge(table: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        shown = ["doc_id", "key", "n", "k1", "k2", "alive"]
         own = [r for r in table.to_pylist() if r["ids"] is not None]
         if not own:
-            return pa.table([pa.array([], x) for x in kinds], names=["doc_id", "n", "k1", "k2", "alive"])
+            return pa.table([pa.array([], x) for x in kinds], names=shown)
         r = own[0]
-        ids, n, k1, k2 = (np.frombuffer(r[c], d) for c, d in (("ids", np.int64), ("n", np.int32), ("k1", np.int64), ("k2", np.int64)))
+        ids, key, n, k1, k2 = (np.frombuffer(r[c], d) for c, d in (("ids", np.int64), ("keys", np.int64), ("n", np.int32), ("k1", np.int64), ("k2", np.int64)))
         lead, count = np.frombuffer(r["lead"], np.int32), np.frombuffer(r["base"], np.int32).copy()
         for rows, times in zip(table.column("rows").to_pylist(), table.column("times").to_pylist()):
             if times is not None:
                 count[np.frombuffer(rows, np.int32)] += np.frombuffer(times, np.int32)
         n64 = n.astype(np.int64)
         alive = (count >= wanted(needed(n64))) & (n64 > 0)
-        return pa.table([pa.array(x, kind) for x, kind in zip((ids, n, k1, k2, alive[lead]), kinds)], names=["doc_id", "n", "k1", "k2", "alive"])
+        return pa.table([pa.array(x, kind) for x, kind in zip((ids, key, n, k1, k2, alive[lead]), kinds)], names=shown)
 
-    blobs = "ids binary, n binary, k1 binary, k2 binary, lead binary, base binary"
+    blobs = "ids binary, n binary, k1 binary, k2 binary, lead binary, base binary, keys binary"
     posts = t.mapInArrow(post, f"p int, chunk long, tokens binary, rows binary, {blobs}")
     answers = posts.groupBy("p").applyInArrow(shared, f"chunk long, rows binary, times binary, {blobs}")
-    return answers.groupBy("chunk").applyInArrow(judge, "doc_id long, n int, k1 long, k2 long, alive boolean")
+    return answers.groupBy("chunk").applyInArrow(judge, "doc_id long, key long, n int, k1 long, k2 long, alive boolean")
 
 
-NAMES = ["p", "chunk", "tokens", "rows", "ids", "n", "k1", "k2", "lead", "base"]
+NAMES = ["p", "chunk", "tokens", "rows", "ids", "n", "k1", "k2", "lead", "base", "keys"]
 
 
 def token_sets(t: DataFrame, sets: DataFrame, k: int) -> DataFrame:
-    """(sid, n, tokens) of the sets (sid, k1, k2), from the text of the document sid."""
+    """(sid, n, tokens) of the sets (sid, doc_id, key, k1, k2), from the text with this key of the document doc_id."""
     few = sets.count() <= BROADCAST_SETS
-    wanted_sets = sets.select(F.col("sid").alias("doc_id"), "k1", "k2")
-    j = t.join(F.broadcast(wanted_sets) if few else wanted_sets, "doc_id")
+    wanted_sets = sets.select("sid", "doc_id", "key", "k1", "k2")
+    j = t.join(F.broadcast(wanted_sets) if few else wanted_sets, ["doc_id", "key"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -190,10 +191,10 @@ def token_sets(t: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
             bits = parity(doc, h, len(n))
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH, dtype=np.int32)), pa.array(bits.reshape(-1)))
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int32)), tokens, sketch], ["sid", "n", "tokens", "bits"])
+            out = pa.RecordBatch.from_arrays([b.column("sid"), pa.array(n.astype(np.int32)), tokens, sketch], ["sid", "n", "tokens", "bits"])
             yield out.filter(pa.array(same))
 
-    return j.select("doc_id", "text", "k1", "k2").mapInArrow(make, "sid long, n int, tokens array<long>, bits array<long>")
+    return j.select("sid", "text", "k1", "k2").mapInArrow(make, "sid long, n int, tokens array<long>, bits array<long>")
 
 
 def parity(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
@@ -351,17 +352,20 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, limit: int | None = None) ->
     and blank texts have no set and link with nothing. Rows without a doc_id link like others but name a group only
     if all its rows lack one. Repeated rows are equal sets. An empty table gives an empty result.
     """
-    t = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    t = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("key", F.xxhash64("text"))
     m = saved(members(t, k, max(64, t.count() // GROUP_DOCS)), "members")
-    equal = saved(m.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("sid"), F.count("*").alias("rows"), F.max("alive").alias("alive")), "sets")
-    alive = equal.filter("alive").select("sid", "k1", "k2")
+    # a set has a name of its own: rows without a doc_id, and texts under one doc_id, are sets apart
+    equal = m.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "key")).alias("x"), F.count("*").alias("rows"), F.max("alive").alias("alive"))
+    equal = saved(equal.select(F.monotonically_increasing_id().alias("sid"), "x.doc_id", "x.key", "k1", "k2", "rows", "alive"), "sets")
+    alive = equal.filter("alive").select("sid", "doc_id", "key", "k1", "k2")
     sets = saved(token_sets(t, alive, k), "tokens")
     if sets.count() != alive.count():  # a repeated row gave its set twice
         sets = saved(sets.dropDuplicates(["sid"]), "tokens")
     active = saved(rarest(sets), "active")
     found = linked(active, sets, limit).withColumnRenamed("sid", "id")
-    named = equal.join(found, equal.sid == found.id, "left").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.coalesce("component", "sid").alias("component"), "rows", "sid")
-    named = named.filter((F.col("rows") > 1) | (F.col("component") != F.col("sid"))).select("s1", "s2", "component")
+    of = equal.join(found, equal.sid == found.id, "left").select("k1", "k2", F.coalesce("component", "sid").alias("c"), "rows", "doc_id")
+    names = of.groupBy("c").agg(F.min("doc_id").alias("component"), F.sum("rows").alias("all")).filter(F.col("all") > 1)
+    named = of.join(names, "c").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "component")
     r = m.join(named, (m.k1 == named.s1) & (m.k2 == named.s2) & (m.n > 0), "left")
     shown = lambda c: F.when(c != LAST, c)
     return r.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("component", "doc_id")).alias("component_id"))

@@ -395,6 +395,20 @@ def test_jaccard_join_is_exact(docs, seed, limit):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_jaccard_join_tells_texts_of_one_id_apart(docs):
+    rng = random.Random(12)
+    rows = []
+    for ids in ((7, None), (9, None), (11, 20), (13, 20), (None, None), (20, 30)):
+        base = prose(rng, 12)
+        rows += [(ids[0], base), (ids[1], base + " tail")]
+    rows += [rows[1], rows[5]]
+    last = jaccard_join.LAST
+    want = collections.Counter({tuple(None if x == last else x for x in r): c for r, c in brute_components([(last if i is None else i, t) for i, t in rows]).items()})
+    got = jaccard_join.jaccard_join(docs(*rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert {r.component_id for r in got if r.doc_id == 9} == {9}
+
+
 def test_jaccard_join_on_odd_input(odd, empty):
     got = jaccard_join.jaccard_join(odd).collect()
     assert len(got) == len(ODD) + 1
