@@ -18,6 +18,10 @@ TEMPLATES = (
     ("gpl-2", "licensed under the GNU General Public License, version 2"),
     ("gpl-3", "licensed under the GNU General Public License, version 3"),
     ("gpl-3", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version"),
+    ("gpl-2", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or at your option any later version"),
+    ("lgpl-2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or at your option any later version"),
+    ("lgpl-3", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version"),
+    ("agpl-3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or at your option any later version"),
     ("lgpl-3", "licensed under the GNU Lesser General Public License, version 3"),
     ("agpl-3", "licensed under the GNU Affero General Public License, version 3"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),

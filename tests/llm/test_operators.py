@@ -253,6 +253,13 @@ def test_license_scan(odd, docs):
     assert licenses.license_scan(d.limit(0)).collect() == []
 
 
+def test_license_headers_of_one_family_are_told_apart(docs):
+    header = "x it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. y"
+    kinds = [("gpl-2", "", "2"), ("gpl-3", "", "3"), ("lgpl-2.1", "Lesser ", "2.1"), ("lgpl-3", "Lesser ", "3"), ("agpl-3", "Affero ", "3")]
+    got = licenses.license_scan(docs(*[(i, header.format(family, version)) for i, (_, family, version) in enumerate(kinds)])).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {i: (label, 1.0) for i, (label, _, _) in enumerate(kinds)}
+
+
 # --- 5 language model --------------------------------------------------------------------------------------
 
 def test_brown_scores(odd, docs):
