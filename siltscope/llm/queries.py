@@ -12,6 +12,7 @@ from siltscope.llm.exact_dedup import exact_dedup
 from siltscope.llm.jaccard_join import op7_ngram_jaccard_join
 from siltscope.llm.language_id import op6_language_id
 from siltscope.llm.licenses import op4_license_scan
+from siltscope.llm.merkle import OP11_SQL, op11_merkle_manifest
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
 from siltscope.llm.sentencepiece_scan import op3_sentencepiece_scan
@@ -52,5 +53,6 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
