@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltscope.llm.brown import op5_brown_score
 from siltscope.llm.common import documents
 from siltscope.llm.exact_dedup import exact_dedup
+from siltscope.llm.fill_middle import OP13_SQL, op13_fill_middle
 from siltscope.llm.jaccard_join import op7_ngram_jaccard_join
 from siltscope.llm.language_id import op6_language_id
 from siltscope.llm.licenses import op4_license_scan
@@ -54,5 +55,12 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_fill_middle": op13_fill_middle,
+}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": OP8_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op10_substring_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_fill_middle": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
