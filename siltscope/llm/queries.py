@@ -16,6 +16,7 @@ from siltscope.llm.licenses import op4_license_scan
 from siltscope.llm.merkle import OP11_SQL, op11_merkle_manifest
 from siltscope.llm.packing import pack
 from siltscope.llm.quality import OP9_SQL, op9_quality_rules
+from siltscope.llm.secrets import op12_secret_scan
 from siltscope.llm.sentencepiece_scan import op3_sentencepiece_scan
 from siltscope.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from siltscope.llm.toxicity import op2_toxicity
@@ -55,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_secret_scan": op12_secret_scan,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLES: dict[str, str] = {
