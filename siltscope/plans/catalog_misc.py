@@ -663,7 +663,7 @@ def st3(spark, sf):
     return st.wall_clock(st.run_available(st.latest_status(s), "status", mode="complete"))
 
 
-@query("st4_daily_trend", f"""WITH {dt.SCANS}, d AS (SELECT CAST(created_at AS DATE) AS day, org_id, count(*) AS scans, CAST(floor(avg(overall_score) + 0.5) AS BIGINT) AS avg_score, list_extract(list(overall_score ORDER BY overall_score), CAST(ceil(count(*) / 2) AS INTEGER)) AS median_score FROM scans WHERE status = 'complete' GROUP BY 1, 2)
+@query("st4_daily_trend", f"""WITH {dt.SCANS}, d AS (SELECT CAST(created_at AS DATE) AS day, org_id, count(*) AS scans, CAST(floor(avg(overall_score) + 0.5) AS BIGINT) AS avg_score, list_extract(list(overall_score ORDER BY overall_score), CAST(floor(count(*) / 2) AS INTEGER) + 1) AS median_score FROM scans WHERE status = 'complete' GROUP BY 1, 2)
 SELECT * FROM d WHERE day + INTERVAL '1 day' <= (SELECT max(created_at) FROM scans WHERE status = 'complete') - INTERVAL '1 day'""")
 def st4(spark, sf):
     e = st.read_stream(spark, sf, "events")

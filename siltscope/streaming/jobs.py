@@ -7,12 +7,15 @@ busy client or repository leaves each task as one row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siltscope.operators.delta import delta, hashed
+from siltscope.operators.delta import hashed
 from siltscope.session import shared_dir
 
 PR_ACTIONS = ("opened", "synchronize", "reopened")
@@ -51,16 +54,26 @@ def latest_status(scans: DataFrame) -> DataFrame:
 
 
 def daily_trend(scans: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Scans, mean and approximate median score per organisation and day.
+    """Scans, rounded mean and upper median score per organisation and day, as the batch operator gives them.
 
-    The batch operator's upper median needs the whole day; here the median is percentile_approx.
+    Scores are integers from 0 to 100, so a day's state is its histogram: one row a score, combined on the map side and merged
+    in the state store. When the watermark closes a day, the median is read off the running counts of at most 101 rows.
     """
     s = scans.filter((F.col("status") == "complete") & F.col("overall_score").isNotNull())
     s = s.withWatermark("created_at", delay) if s.isStreaming else s
-    g = s.groupBy(F.window("created_at", "1 day").alias("w"), "org_id").agg(
-        F.count("*").alias("scans"), F.floor(F.avg("overall_score") + 0.5).alias("avg_score"), F.percentile_approx("overall_score", 0.5, 10000).alias("median_score")
+    bars = s.groupBy(F.window("created_at", "1 day").alias("w"), "org_id", F.col("overall_score").cast("long").alias("score")).agg(F.count("*").alias("n"))
+    day = bars.groupBy("w", "org_id").agg(
+        F.sum("n").alias("scans"), F.floor(F.sum(F.col("score") * F.col("n")) / F.sum("n") + 0.5).alias("avg_score"), F.array_sort(F.collect_list(F.struct("score", "n"))).alias("bars")
     )
-    return g.select(F.to_date("w.start").alias("day"), "org_id", "scans", "avg_score", "median_score")
+    # the first score at which the running count passes half of all: position floor(n / 2) from 0
+    start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("score"))
+
+    def step(acc: Column, bar: Column) -> Column:
+        below = acc["below"] + bar["n"]
+        return F.struct(below.alias("below"), F.coalesce(acc["score"], F.when(below > F.floor(F.col("scans") / 2), bar["score"])).alias("score"))
+
+    median = F.aggregate("bars", start, step)["score"].alias("median_score")
+    return day.select(F.to_date("w.start").alias("day"), "org_id", "scans", "avg_score", median)
 
 
 def session_rollup(turns: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -77,31 +90,45 @@ def session_rollup(turns: DataFrame, gap: str = "30 minutes", delay: str = "1 ho
 class BatchLog:
     """Rows appended by micro-batches, each in a partition of its own (``v``, the batch).
 
-    Nothing that stands is rewritten. A batch that is replayed after a failure reads what came before it and overwrites
-    its own partition, so the outcome does not depend on where the failure happened.
+    Nothing that stands is rewritten. A batch that is replayed after a failure overwrites its own partition, so the outcome does
+    not depend on where the failure happened. ``compact`` writes the rows that still count up to a batch once more, as a base;
+    readers take the newest base and the batches after it.
     """
 
     def __init__(self, spark: SparkSession, path: str, ddl: str):
         self.spark, self.path, self.ddl = spark, path.rstrip("/"), ddl
         self.append(spark.createDataFrame([], ddl), -1)  # so that there is something to read
+        spark.createDataFrame([], "base long").write.mode("append").parquet(f"{self.path}/bases")
 
     def append(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        df.write.mode("overwrite").parquet(f"{self.path}/rows/v={version}")
+
+    def base(self) -> int | None:
+        """The batch of the newest base; one number is read per compaction."""
+        return self.spark.read.schema("base long").parquet(f"{self.path}/bases").agg(F.max("base")).first()[0]
 
-    def rows(self, before: int | None = None) -> DataFrame:
-        df = self.spark.read.schema(f"{self.ddl}, v long").parquet(self.path)
-        return df if before is None else df.filter(F.col("v") < before)
+    def rows(self) -> DataFrame:
+        df = self.spark.read.schema(f"{self.ddl}, v long").parquet(f"{self.path}/rows")
+        base = self.base()
+        if base is None:
+            return df
+        return df.filter(F.col("v") > base).unionByName(self.spark.read.schema(f"{self.ddl}, v long").parquet(f"{self.path}/base-{base}"))
+
+    def compact(self, live: DataFrame, version: int) -> None:
+        """``live`` (with ``v``) stands for all batches up to ``version``; the base counts once its number is written."""
+        live.write.mode("overwrite").parquet(f"{self.path}/base-{version}")
+        self.spark.createDataFrame([(version,)], "base long").write.mode("append").parquet(f"{self.path}/bases")
 
 
 class State:
-    """The latest content hash of each file, and the batch that saw it."""
+    """The latest content hash of each file, and the batch that saw it, for readers; the stream itself keeps its own keyed state."""
 
     def __init__(self, log: BatchLog):
         self.log = log
 
-    def read(self, before: int | None = None) -> DataFrame:
+    def read(self) -> DataFrame:
         last = F.max_by(F.struct("content_hash", "v"), "v").alias("l")
-        return self.log.rows(before).groupBy("repo_id", "path").agg(last).select("repo_id", "path", "l.content_hash", "l.v")
+        return self.log.rows().groupBy("repo_id", "path").agg(last).select("repo_id", "path", "l.content_hash", "l.v")
 
 
 class Current:
@@ -110,22 +137,50 @@ class Current:
     def __init__(self, log: BatchLog, state: State):
         self.log, self.state = log, state
 
+    def versioned(self) -> DataFrame:
+        return self.log.rows().join(self.state.read().select("repo_id", "path", "v"), ["repo_id", "path", "v"], "left_semi")
+
     def read(self) -> DataFrame:
-        return self.log.rows().join(self.state.read().select("repo_id", "path", "v"), ["repo_id", "path", "v"], "left_semi").drop("v")
+        return self.versioned().drop("v")
+
+    def compact(self, version: int) -> None:
+        """Leave out what later batches have replaced, in both logs; findings first, so that they never miss their file."""
+        self.log.compact(self.versioned(), version)
+        self.state.log.compact(self.state.read(), version)
 
 
 STATE = "repo_id string, path string, content_hash string"
+CHANGED = "repo_id string, path string, content string, content_hash string"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def changed_files(stream: DataFrame) -> DataFrame:
+    """Files whose content differs from what the stream saw of them last; of a path that a batch repeats, the content with the
+    largest hash.
+
+    The last hash of each (repository, path) is keyed state in the engine's store: a batch looks up and writes the keys it holds,
+    whatever came before. Hashes are taken in the JVM; a batch's own contents are shuffled by file, and its history never.
+    """
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best: tuple[str, str] | None = None
+        for pdf in batches:
+            for content_hash, content in zip(pdf["content_hash"], pdf["content"]):
+                if best is None or (content_hash or "") > best[0]:
+                    best = (content_hash or "", content)
+        if best is None or (state.exists and state.get[0] == best[0]):
+            return
+        state.update((best[0],))
+        yield pd.DataFrame({"repo_id": [key[0]], "path": [key[1]], "content": [best[1]], "content_hash": [best[0]]})
 
-def one_per_path(files: DataFrame) -> DataFrame:
-    """Of a path that a batch repeats, the content with the largest hash."""
-    h = hashed(files)
-    return h.groupBy("repo_id", "path").agg(F.max_by("content", "content_hash").alias("content"), F.max("content_hash").alias("content_hash"))
+    return hashed(stream.select("repo_id", "path", "content")).groupBy("repo_id", "path").applyInPandasWithState(step, CHANGED, "content_hash string", "append", GroupStateTimeout.NoTimeout)
 
 
-def watch_and_scan(stream: DataFrame, state_path: str, scan_fn: Callable[[DataFrame], DataFrame], findings_ddl: str, checkpoint: str | None = None):
+def watch_and_scan(stream: DataFrame, state_path: str, scan_fn: Callable[[DataFrame], DataFrame], findings_ddl: str, checkpoint: str | None = None, compact_every: int | None = None):
     """Query that scans files as they land: only new or changed contents are scanned, findings of
-    unchanged ones stay.  Hashes and findings are logs under ``state_path``, which executors and driver must share.
+    unchanged ones stay.  What has been seen is keyed state under the checkpoint; hashes and findings for readers are logs under
+    ``state_path``, which executors and driver must share, compacted every ``compact_every`` batches.
 
     stream(repo_id, path, content): of a path that a batch repeats, the content with the largest hash counts.
     """
@@ -135,20 +190,34 @@ def watch_and_scan(stream: DataFrame, state_path: str, scan_fn: Callable[[DataFr
     columns = [f.name for f in spark.createDataFrame([], findings_ddl).schema]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        # the choice among repeated paths depends on contents alone, so hash and findings always belong together
-        files = one_per_path(batch)
-        d = delta(files.select("repo_id", "path", "content_hash"), state.read(batch_id).drop("v"))
-        todo = d.filter(F.col("status").isin("new", "changed")).select("repo_id", "path", F.col("new_hash").alias("content_hash"))
-        todo = todo.persist()
+        changed = batch.persist()  # two writes, one pass over the state
         try:
-            fresh = scan_fn(files.drop("content_hash").join(todo.select("repo_id", "path"), ["repo_id", "path"], "left_semi"))
+            fresh = scan_fn(changed.select("repo_id", "path", "content"))
             found.log.append(fresh.select(*columns), batch_id)
-            state.log.append(todo, batch_id)
+            state.log.append(changed.select("repo_id", "path", "content_hash"), batch_id)
         finally:
-            todo.unpersist()
+            changed.unpersist()
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            found.compact(batch_id)
 
     cp = checkpoint or shared_dir(spark, "watch-checkpoint")
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", cp).trigger(availableNow=True).start(), state, found
+    with rocksdb(spark):
+        query = changed_files(stream).writeStream.foreachBatch(step).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    return query, state, found
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, off the heap; a store that the session has chosen stays."""
+    chosen = spark.conf.get(STATE_STORE, None)
+    if chosen and not chosen.endswith("HDFSBackedStateStoreProvider"):
+        yield
+        return
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, chosen) if chosen else spark.conf.unset(STATE_STORE)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:

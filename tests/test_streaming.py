@@ -85,3 +85,89 @@ def test_repeated_paths_in_a_batch_count_once(spark, tmp_path):
     again = [tuple(r)[:3] for r in s.log.rows().filter("v = 0").collect()]
     s.log.append(spark.createDataFrame(again, "repo_id string, path string, content_hash string"), 0)
     assert sorted(map(tuple, s.read().collect())) == before
+
+
+LINES = "repo_id string, path string, line int"
+
+
+def _watch(spark, tmp_path, scan, **more):
+    src = str(tmp_path / "in")
+    stream = spark.readStream.schema("repo_id string, path string, content string").option("maxFilesPerTrigger", 1).parquet(src)
+    return st.watch_and_scan(stream, str(tmp_path / "state"), scan, LINES, checkpoint=str(tmp_path / "cp"), **more)
+
+
+def _bad_lines(files):
+    return matching.match_lines(files, [Rule("x", "high", "bad")]).select("repo_id", "path", "line")
+
+
+def test_a_batch_reads_no_history(spark, tmp_path, monkeypatch):
+    """What was seen is looked up by key in the state store; the logs are for readers only."""
+    src, ddl = str(tmp_path / "in"), "repo_id string, path string, content string"
+    for i in range(4):
+        _land(spark, src, [("r", f"f{j}", f"bad {j}" if i < 3 or j % 2 else f"bad\nbad {i}") for j in range(20)], ddl)
+    with monkeypatch.context() as m:
+        m.setattr(st.BatchLog, "rows", lambda self: (_ for _ in ()).throw(AssertionError("a batch read the log")))
+        q, state, found = _watch(spark, tmp_path, _bad_lines)
+        q.awaitTermination()
+        assert q.exception() is None
+    sizes = sorted(r["count"] for r in state.log.rows().groupBy("v").count().collect())
+    assert sizes == [10, 20]
+    assert found.read().count() == 30
+    assert any("RocksDB" in k for p in q.recentProgress for s in p["stateOperators"] for k in map(str, s["customMetrics"])) or q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 20
+
+
+def test_a_failed_batch_is_replayed_once(spark, tmp_path):
+    src, ddl = str(tmp_path / "in"), "repo_id string, path string, content string"
+    _land(spark, src, [("r", "a", "bad"), ("r", "b", "bad")], ddl)
+    q, _, found = _watch(spark, tmp_path, _bad_lines)
+    q.awaitTermination()
+    _land(spark, src, [("r", "a", "fine\nbad"), ("r", "b", "bad")], ddl)
+
+    def broken(files):
+        raise RuntimeError("executor lost")
+
+    q, _, found = _watch(spark, tmp_path, broken)
+    try:
+        q.awaitTermination()
+    except Exception as e:
+        assert "executor lost" in str(e)
+    assert sorted(map(tuple, found.read().collect())) == [("r", "a", 1), ("r", "b", 1)]
+    q, state, found = _watch(spark, tmp_path, _bad_lines)
+    q.awaitTermination()
+    assert sorted(map(tuple, found.read().collect())) == [("r", "a", 2), ("r", "b", 1)]
+    assert state.log.rows().filter("v = 1").count() == 1
+
+
+def test_content_that_returns_is_scanned_again(spark, tmp_path):
+    src, ddl = str(tmp_path / "in"), "repo_id string, path string, content string"
+    for text in ("bad", "fine", "bad", None, "x\nbad"):
+        _land(spark, src, [("r", "a", text), (None, "n", "bad")], ddl)
+        q, state, found = _watch(spark, tmp_path, _bad_lines)
+        q.awaitTermination()
+        want = [] if text in ("fine", None) else [("r", "a", text.split("\n").index("bad") + 1)]
+        assert sorted(map(tuple, found.read().filter("repo_id is not null").collect())) == want
+    assert state.log.rows().count() == 6
+
+
+def test_compacted_logs_read_the_same(spark, tmp_path):
+    src, ddl = str(tmp_path / "in"), "repo_id string, path string, content string"
+    for i in range(5):
+        _land(spark, src, [("r", f"f{j}", "bad\n" * (i * (j % 3) + 1)) for j in range(9)], ddl)
+    q, state, found = _watch(spark, tmp_path, _bad_lines, compact_every=2)
+    q.awaitTermination()
+    assert q.exception() is None and state.log.base() == 3
+    want = sorted(("r", f"f{j}", n + 1) for j in range(9) for n in range(4 * (j % 3) + 1))
+    assert sorted(map(tuple, found.read().collect())) == want
+    assert state.read().count() == 9 and state.log.rows().count() < 9 + 4 * 6
+
+
+def test_daily_trend_equals_the_batch_operator(spark, sf):
+    from siltscope.operators import history as hi
+
+    cols = ["event_id AS scan_id", "user_id % 5 AS org_id", "'A' AS grade", "concat('r', user_id) AS repo_url", "'complete' AS status", "cast(least(100, floor(value)) as int) AS overall_score", "ts AS created_at"]
+    got = st.run_available(st.daily_trend(st.read_stream(spark, sf, "events").selectExpr(*cols)), "trend")
+    batch = hi.health_trend(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).selectExpr(*cols))
+    want = {(r["org_id"], r["day"]): (r["avg_score"], r["median_score"], r["scans"]) for r in batch.collect()}
+    rows = got.collect()
+    assert len(rows) > 10
+    assert all(want[r["org_id"], r["day"]] == (r["avg_score"], r["median_score"], r["scans"]) for r in rows)
