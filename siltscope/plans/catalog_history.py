@@ -611,3 +611,26 @@ def j15(spark, sf):
 @query("j15_co_change_pairs", f"WITH {dt.COMMITS}, {_MULTI} SELECT a.repo_id, a.path AS file_a, b.path AS file_b, count(*) AS shared_commits FROM mm a JOIN mm b ON a.repo_id = b.repo_id AND a.sha = b.sha AND a.path < b.path GROUP BY 1, 2, 3 HAVING count(*) >= 2")
 def j15b(spark, sf):
     return cm.co_change(dt.commits(spark, sf), dt.commit_files(spark, sf))
+
+
+# orders as files and shipping months as commits: commits touch thousands of files, and many files have the same months
+_MONTHS = """mf AS (SELECT DISTINCT 'r' || CAST(l_orderkey % 11 AS VARCHAR) AS repo_id, strftime(l_shipdate, '%Y-%m') AS sha, 'f' || CAST(l_orderkey AS VARCHAR) AS path FROM lineitem),
+mm AS (SELECT * FROM mf QUALIFY count(*) OVER (PARTITION BY repo_id, sha) >= 2),
+sets AS (SELECT repo_id, path, list(sha ORDER BY sha) AS s FROM mm GROUP BY 1, 2),
+cls AS (SELECT repo_id, s, min(path) AS class, count(*) AS files FROM sets GROUP BY 1, 2)"""
+
+
+def _months(spark, sf):
+    files = dt.table(spark, sf, "lineitem").select(F.concat(F.lit("r"), (F.col("l_orderkey") % 11).cast("string")).alias("repo_id"), F.date_format("l_shipdate", "yyyy-MM").alias("sha"), F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("path"))
+    return files.select("repo_id", "sha").distinct().withColumn("authored_at", F.to_timestamp("sha", "yyyy-MM")), files
+
+
+@query("j15_co_change_classes", f"""WITH {_MONTHS}, cm AS (SELECT repo_id, class, files, unnest(s) AS sha FROM cls)
+SELECT a.repo_id, a.class AS class_a, b.class AS class_b, a.files AS files_a, b.files AS files_b, count(*) AS shared_commits FROM cm a JOIN cm b ON a.repo_id = b.repo_id AND a.sha = b.sha AND (a.class < b.class OR (a.class = b.class AND a.files > 1)) GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2""")
+def j15c(spark, sf):
+    return cm.co_change_classes(*_months(spark, sf))[0]
+
+
+@query("j15_change_class_members", f"WITH {_MONTHS} SELECT repo_id, class, path FROM sets JOIN cls USING (repo_id, s)")
+def j15d(spark, sf):
+    return cm.co_change_classes(*_months(spark, sf))[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,20 +45,30 @@ def local_spark(cpus: int | None = None, shuffle_partitions: int = 8, memory: st
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for checkpoints and snapshots.
+    """A fresh folder for stored tables and snapshots, in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder is taken.
+    Where that is unset a local session takes a temporary folder. On a cluster there is no such folder that all machines see, so
+    the setting is asked for.
     """
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: several readers, one computation, and a lineage that ends there."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a session, so that Python stages can import it.
 
