@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltscope.functions import numbers as nm
 from siltscope.functions import text as tx
 from siltscope.operators.ordered import keep_in_order
+from siltscope.operators.rounds import assign, first_apart
 
 # fixed values
 WEIGHTS = {"type": 0.6, "line": 0.3, "description": 0.1}
@@ -40,21 +42,11 @@ def match_score(weights: dict = WEIGHTS, tolerance: int = 2) -> Column:
 def greedy_match(pairs: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """One-to-one assignment: truths in order take their best unused prediction.
 
-    pairs(keys..., truth_no, pred_no, score).  The choice is sequential inside a task; the walk keeps
-    only the numbers already taken.
+    pairs(keys..., truth_no, pred_no, score).  Decided in rounds of proposals, so a task with a third of all findings is spread over
+    all tasks of the job.
     """
-    keys = list(keys)
-
-    def decide(state, truth, pred) -> bool:
-        taken, used = state
-        if truth in taken or pred in used:
-            return False
-        taken.add(truth)
-        used.add(pred)
-        return True
-
-    order = [F.asc("truth_no"), F.desc("score"), F.asc("pred_no")]
-    return keep_in_order(pairs.select(*keys, "truth_no", "pred_no", "score"), keys, order, ["truth_no", "pred_no"], lambda: (set(), set()), decide)
+    slim = pairs.select(*keys, "truth_no", "pred_no", "score")
+    return assign(slim, keys, "truth_no", "pred_no", F.struct((-F.col("score")).alias("s"), F.col("pred_no").alias("p")))
 
 
 def _features(df: DataFrame, p: str, number: str) -> DataFrame:
@@ -66,13 +58,23 @@ def _features(df: DataFrame, p: str, number: str) -> DataFrame:
     )
 
 
-def _sides(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    return _features(truth, "t", "truth_no").join(_features(pred, "p", "pred_no"), "task_id")
+def _sides(pred: DataFrame, truth: DataFrame, related: bool) -> DataFrame:
+    """Pairs to score: all of a task, or those whose types share a word, each met at the first word they share."""
+    t, p = _features(truth, "t", "truth_no"), _features(pred, "p", "pred_no")
+    if not related:
+        return t.join(p, "task_id")
+    posted = t.select("*", F.explode("t_words").alias("_w")).join(p.select("*", F.explode("p_words").alias("_w")), ["task_id", "_w"])
+    return posted.filter(F.col("_w") == F.array_min(F.array_intersect("t_words", "p_words"))).drop("_w")
 
 
 def match_findings(pred: DataFrame, truth: DataFrame, weights: dict = WEIGHTS, tolerance: int = 2, minimum: float = 0.5) -> DataFrame:
-    """Pairs of truth_no and pred_no whose score reaches ``minimum``, assigned one to one."""
-    pairs = _sides(pred, truth).withColumn("score", match_score(weights, tolerance)).filter(F.col("score") >= minimum)
+    """Pairs of truth_no and pred_no whose score reaches ``minimum``, assigned one to one.
+
+    Line and description alone reach their weights at most.  Where ``minimum`` is beyond that, as by default, a pair needs a type
+    score, types that score share a word, and pairs come from postings of (task, word) instead of all pairs of a task.
+    """
+    related = minimum > weights["line"] + weights["description"] + 1e-9
+    pairs = _sides(pred, truth, related).withColumn("score", match_score(weights, tolerance)).filter(F.col("score") >= minimum)
     return greedy_match(pairs)
 
 
@@ -87,10 +89,12 @@ def match_simple(pred: DataFrame, truth: DataFrame, tolerance: int = 2, keys: Se
     t = truth.select("task_id", "truth_no", F.col("type").alias("t_type"), F.col("line").alias("t_line"))
     around = F.explode(F.sequence(F.col("t_line") - tolerance, F.col("t_line") + tolerance)).alias("p_line")
     placed = t.filter("t_line > 0").select("task_id", "truth_no", "t_type", around).filter("p_line > 0").join(p, ["task_id", "p_line"])
-    whole = t.filter("t_line = 0").join(p, "task_id")
+    # a truth without a line meets all predictions of the types that fit: types are paired first, then rows by equality
+    kinds = t.filter("t_line = 0").select("task_id", "t_type").distinct().join(p.select("task_id", "p_type").distinct(), "task_id")
     typ = (F.col("p_type") == F.col("t_type")) | F.col("p_type").contains(F.element_at(F.split("t_type", "-"), 1))
     cols = ["task_id", *extra, "truth_no", "pred_no"]
-    pairs = placed.filter(typ).select(*cols).unionByName(whole.filter(typ).select(*cols))
+    whole = t.filter("t_line = 0").join(kinds.filter(typ), ["task_id", "t_type"]).join(p, ["task_id", "p_type"])
+    pairs = placed.filter(typ).select(*cols).unionByName(whole.select(*cols))
     return greedy_match(pairs.withColumn("score", F.lit(1.0)), keys=["task_id", *extra])
 
 
@@ -131,12 +135,12 @@ def threshold_sweep(pred: DataFrame, truth: DataFrame, thresholds: Sequence[floa
     m = match_simple(p, truth, keys=("task_id", "threshold"))
     found = m.groupBy("threshold").agg(F.count("*").alias("tp"))
     made = p.groupBy("threshold").agg(F.count("*").alias("made"))
-    total = truth.agg(F.count("*").alias("truths"))
+    total = truth.select(F.explode(ths).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("truths"))
     grid = pred.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    j = grid.join(made, "threshold", "left").join(found, "threshold", "left").na.fill(0).crossJoin(F.broadcast(total))
+    j = grid.join(made, "threshold", "left").join(found, "threshold", "left").join(total, "threshold", "left").na.fill(0)
     out = rates(j.select("threshold", "tp", (F.col("made") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn")))
-    best = out.agg(F.max_by("threshold", F.struct("f1", "precision", "threshold")).alias("_b"))
-    return out.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("threshold") == F.col("_b")).drop("_b")
+    best = F.row_number().over(W.orderBy(F.desc("f1"), F.desc("precision"), F.desc("threshold")))  # a row a threshold
+    return out.withColumn("is_best", best == 1)
 
 
 def calibrate(measure: Callable[[DataFrame], DataFrame], calibration: DataFrame) -> DataFrame:
@@ -161,14 +165,27 @@ def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path"))
     Two findings are near when they share a type word and lie within two lines of each other; if
     either has no line, when they have the same category.  What is kept decides what is dropped, so
     the walk is sequential in a file.  Exact repeats of (type, category, line) are near each other by
-    definition and are reduced to their best row before the grouping, map-side.
+    definition and are reduced to their best row before the grouping, map-side.  The walk is decided in rounds (``rounds.first_apart``).
     """
     keys = list(keys)
     rest = [c for c in findings.columns if c not in (*keys, "rule", "category", "line")]
-    best = F.max_by(F.struct(*rest), F.struct(F.col("confidence"), -F.col("ordinal")))
+    best = F.max_by(F.struct(*rest), F.struct(F.col("confidence"), -F.col("ordinal"), *[c for c in rest if c not in ("confidence", "ordinal")]))
     slim = findings.groupBy(*keys, "rule", "category", "line").agg(best.alias("b")).select(*keys, "rule", "category", "line", "b.*")
     slim = slim.select(*findings.columns)
 
+    # marks: a word at a line, a word of a category, a word of a category without a line
+    line, words = F.greatest(F.coalesce("line", F.lit(0)), F.lit(0)).cast("long"), F.array_distinct(F.split("rule", "-"))
+    around = F.filter(F.sequence(line - 2, line + 2), lambda at: at > 0)
+    of = lambda kind, w: F.concat_ws("\u0001", F.lit(kind), w, F.coalesce("category", F.lit("\u0002")))
+    at_line = lambda at, w: F.concat_ws("\u0001", F.lit("line"), w, at.cast("string"))
+    in_category = F.transform(words, lambda w: of("any", w))
+    covers = F.when(line > 0, F.concat(F.flatten(F.transform(words, lambda w: F.transform(around, lambda at: at_line(at, w)))), in_category)).otherwise(
+        F.concat(F.transform(words, lambda w: of("whole", w)), in_category)
+    )
+    checks = F.when(line > 0, F.concat(F.transform(words, lambda w: at_line(line, w)), F.transform(words, lambda w: of("whole", w)))).otherwise(in_category)
+    order = F.struct(F.col("confidence").isNull().alias("n"), (-F.col("confidence")).alias("c"), F.col("ordinal").alias("o"), F.col("line").alias("l"), F.col("rule").alias("r"), F.col("category").alias("k"))
+    kept, undecided = first_apart(slim, keys, order, covers, checks)
+
     def decide(state, rule, category, line) -> bool:
         by_line, by_category = state
         words, line = set(rule.split("-")), int(line)
@@ -183,8 +200,9 @@ def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path"))
         by_category.setdefault(category, []).append(words)
         return True
 
-    order = [F.desc("confidence"), F.asc("ordinal"), F.asc("line"), F.asc("rule")]
-    return keep_in_order(slim, keys, order, ["rule", "category", "line"], lambda: ({}, {}), decide)
+    # what is left is little, or one long chain: nothing kept so far is near it, so it is walked by itself
+    rest_order = [F.desc("confidence"), F.asc("ordinal"), F.asc("line"), F.asc("rule"), F.asc("category")]
+    return kept.unionByName(keep_in_order(undecided, keys, rest_order, ["rule", "category", "line"], lambda: ({}, {}), decide))
 
 
 def verify_findings(findings: DataFrame, max_per_type: int = 1, cap_first: bool = True) -> DataFrame:

@@ -139,14 +139,29 @@ def a32b(spark, sf):
     return out.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("j30_dedupe_near")
+def _walk(src: str) -> str:
+    """The greedy walk as a recursion over positions in a file, with what it has kept."""
+    near = """len(list_intersect(string_split(k.rule, '-'), string_split(s.rule, '-'))) > 0 AND CASE WHEN k.line > 0 AND s.line > 0 THEN abs(k.line - s.line) <= 2 ELSE k.category = s.category END"""
+    return f"""best AS (SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY repo_id, path, rule, category, line ORDER BY confidence DESC, ordinal, severity DESC, detail DESC) = 1),
+slim AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY confidence DESC, ordinal, line, rule, category) AS pos FROM best),
+walk(repo_id, path, pos, kept) AS (
+  SELECT repo_id, path, pos, [{{'rule': rule, 'category': category, 'line': line, 'severity': severity}}] FROM slim WHERE pos = 1
+  UNION ALL
+  SELECT s.repo_id, s.path, s.pos, CASE WHEN len(list_filter(w.kept, lambda k: {near})) > 0 THEN w.kept ELSE list_append(w.kept, {{'rule': s.rule, 'category': s.category, 'line': s.line, 'severity': s.severity}}) END
+  FROM walk w JOIN slim s ON s.repo_id = w.repo_id AND s.path = w.path AND s.pos = w.pos + 1),
+ends AS (SELECT repo_id, path, unnest(arg_max(kept, pos)) AS k FROM walk GROUP BY 1, 2)"""
+
+
+@query("j30_dedupe_near", f"WITH RECURSIVE {dt.FINDINGS}, {_walk('findings')} SELECT repo_id, k.rule AS rule, count(*) AS kept FROM ends GROUP BY 1, 2")
 def j30(spark, sf):
-    """Greedy, hence sequential inside a file; compared with a plain Python walk in the tests."""
     f = dt.findings(spark, sf)
     return ev.dedupe_near(f).groupBy("repo_id", "rule").agg(F.count("*").alias("kept"))
 
 
-@query("x4_verify_findings")
+_CAPPED = "capped AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY repo_id, path, category, rule ORDER BY confidence DESC, line, ordinal, detail) <= 1)"
+
+
+@query("x4_verify_findings", f"WITH RECURSIVE {dt.FINDINGS}, {_CAPPED}, {_walk('capped')} SELECT repo_id, k.severity AS severity, count(*) AS kept FROM ends GROUP BY 1, 2")
 def x4(spark, sf):
     return ev.verify_findings(dt.findings(spark, sf)).groupBy("repo_id", "severity").agg(F.count("*").alias("kept"))
 
