@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltscope.functions import numbers as nm
-from siltscope.operators.ordered import first_n, lag_in_key
+from siltscope.operators.ordered import first_n, lag_in_key, row_number_in_key
 
 GRADES = ("A+", "A", "B+", "B", "C", "D", "F")
 DRIFT = ("on-scope", "at-risk", "drifting", "blocked")
@@ -32,10 +32,6 @@ def latest_scan(scans: DataFrame, key: str = "repo_url") -> DataFrame:
     return scans.groupBy(key).agg(best.alias("b")).select(key, "b.*").select(*scans.columns)
 
 
-def _month(ts: str = "created_at") -> Column:
-    return F.date_trunc("month", F.col(ts))
-
-
 def score_trend(scans: DataFrame, mode: str = "previous") -> DataFrame:
     """Previous score, delta and up/down/same.
 
@@ -44,7 +40,7 @@ def score_trend(scans: DataFrame, mode: str = "previous") -> DataFrame:
     """
     s = complete(scans).filter(F.col("overall_score").isNotNull())
     if mode == "previous":
-        out = lag_in_key(s, ["repo_url"], _month(), ["created_at", "scan_id"], F.struct("overall_score", "scan_id"), "_p")
+        out = lag_in_key(s, ["repo_url"], None, ["created_at", "scan_id"], F.struct("overall_score", "scan_id"), "_p")
         out = out.withColumn("previous_score", F.col("_p.overall_score")).withColumn("previous_scan_id", F.col("_p.scan_id")).drop("_p")
     elif mode == "newest_other":
         two = first_n(s.select("repo_url", "scan_id", "overall_score", "created_at"), ["repo_url"], [F.desc("created_at"), F.desc("scan_id")], 2)
@@ -75,14 +71,13 @@ def score_band_trend(scans: DataFrame, band: int = 2) -> DataFrame:
 def scan_timeseries(scans: DataFrame, limit: int | None = None, keep: str = "oldest") -> DataFrame:
     """All scans (or ``limit``) per repository with defaults for missing values; position counts in time order."""
     order = [F.asc("created_at"), F.asc("scan_id")] if keep == "oldest" else [F.desc("created_at"), F.desc("scan_id")]
-    s = first_n(complete(scans), ["repo_url"], order, limit)
-    pos = F.row_number().over(W.partitionBy("repo_url").orderBy("created_at", "scan_id"))
+    s = row_number_in_key(first_n(complete(scans), ["repo_url"], order, limit), ["repo_url"], None, ["created_at", "scan_id"], "position")
     return s.select(
         "repo_url", "scan_id", "created_at",
         F.coalesce("overall_score", F.lit(0)).alias("overall_score"),
         F.coalesce("grade", F.lit("F")).alias("grade"),
         F.coalesce("vibe_score", F.lit(0)).alias("vibe_score"),
-        pos.alias("position"),
+        F.col("position").cast("int").alias("position"),
     )
 
 
@@ -220,9 +215,7 @@ def current_compliance(timeline: DataFrame) -> DataFrame:
 
 def approval_versions(approvals: DataFrame) -> DataFrame:
     """Version number of each approval: position in its brief."""
-    from siltscope.operators.ordered import row_number_in_key
-
-    return row_number_in_key(approvals, ["brief_id"], F.date_trunc("month", "approved_at"), ["approved_at", "approval_id"], "version")
+    return row_number_in_key(approvals, ["brief_id"], None, ["approved_at", "approval_id"], "version")
 
 
 def brief_overview(briefs: DataFrame, approvals: DataFrame, milestones: DataFrame, scans: DataFrame) -> DataFrame:

@@ -245,14 +245,8 @@ def hardcoded_secret(files: DataFrame, budget: int | None = None) -> DataFrame:
     )
     if budget is not None:
         from siltscope.operators.ordered import prefix_sum
-        from siltscope.session import shared_dir
-
-        # ranges of (repository, path): Spark samples their borders, so equal path beginnings do not pile up;
-        # the slim rows are written once, as another sample would draw other borders
-        spark, place = files.sparkSession, shared_dir(files.sparkSession, "secret-ranges")
-        flags.repartitionByRange("repo_id", "path").withColumn("chunk", F.spark_partition_id()).write.parquet(place)
-        ranged = spark.read.parquet(place)
-        flags = prefix_sum(ranged, keys=["repo_id"], chunk="chunk", order="path", value="n", out="cum", stop_after=budget).filter(F.col("cum") <= budget)
+
+        flags = prefix_sum(flags, keys=["repo_id"], chunk=None, order="path", value="n", out="cum", stop_after=budget).filter(F.col("cum") <= budget)
     found = flags.groupBy("repo_id").agg(F.max("hit").alias("hit"))
     return (
         files.select("repo_id").distinct()

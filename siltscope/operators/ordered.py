@@ -1,8 +1,8 @@
 """Order-dependent steps over hot keys.
 
 One key may hold a third of all rows, so a plain ``Window.partitionBy(key)`` would put them into
-one task.  These helpers split a key into chunks that sort like the rows themselves, work inside
-(key, chunk) and carry only one row per chunk across the key.
+one task.  These helpers split a key into ranges of the order itself (``ranged``): Spark samples the borders, so a key's ranges are
+of one size however its rows crowd together.  They work inside (key, range) and carry only one row per range across the key.
 """
 
 from __future__ import annotations
@@ -14,11 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltscope.session import stored
+
+
+CHUNK = "_range"
+
+
+def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` stored in ranges of (keys, order), numbered by ``CHUNK`` along the order; equal rows share a range.
+
+    Stored, because sampling again would draw other borders.
+    """
+    return stored(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id()), "ranges")
+
 
 def prefix_sum(
     df: DataFrame,
     keys: list[str],
-    chunk: str,
+    chunk: str | None,
     order: str | list[str],
     value: str,
     out: str,
@@ -26,10 +39,13 @@ def prefix_sum(
 ) -> DataFrame:
     """Running sum of ``value`` per key in (chunk, order).
 
-    ``chunk`` must not decrease along ``order``.  With ``stop_after`` chunks that begin beyond it are
-    dropped before any row of theirs is ordered.
+    ``chunk`` must not decrease along ``order``; without one, rows are dealt to ranges.  With ``stop_after`` chunks that begin
+    beyond it are dropped before any row of theirs is ordered.
     """
     order = [order] if isinstance(order, str) else order
+    if chunk is None:
+        df, chunk = ranged(df, keys, order), CHUNK
+        return prefix_sum(df, keys, chunk, order, value, out, stop_after).drop(CHUNK)
     totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_tot"))
     across = W.partitionBy(*keys).orderBy(chunk)
     starts = totals.select(
@@ -48,7 +64,7 @@ def prefix_sum(
 def lag_in_key(
     df: DataFrame,
     keys: list[str],
-    chunk: Column,
+    chunk: Column | None,
     order: list[str],
     value: Column,
     out: str,
@@ -56,8 +72,10 @@ def lag_in_key(
     """Previous row's ``value`` per key, computed inside (key, chunk).
 
     Only the last value of each chunk travels across the key; ``chunk`` must not decrease along
-    ``order``.  ``value`` may be null: a null previous value stays null, as with lag().
+    ``order``; without one, rows are dealt to ranges.  ``value`` may be null: a null previous value stays null, as with lag().
     """
+    if chunk is None:
+        return lag_in_key(ranged(df, keys, order), keys, F.col(CHUNK), order, value, out).drop(CHUNK)
     ord_struct = F.struct(*order)
     base = df.withColumn("_chunk", chunk).withColumn("_v", F.struct(value.alias("v")))
     ends = base.groupBy(*keys, "_chunk").agg(F.max_by("_v", ord_struct).alias("_end"))
@@ -73,8 +91,10 @@ def lag_in_key(
     )
 
 
-def row_number_in_key(df: DataFrame, keys: list[str], chunk: Column, order: list[str], out: str) -> DataFrame:
-    """1-based position of each row per key, computed inside (key, chunk)."""
+def row_number_in_key(df: DataFrame, keys: list[str], chunk: Column | None, order: list[str], out: str) -> DataFrame:
+    """1-based position of each row per key, computed inside (key, chunk); without ``chunk`` rows are dealt to ranges."""
+    if chunk is None:
+        return row_number_in_key(ranged(df, keys, order), keys, F.col(CHUNK), order, out).drop(CHUNK)
     base = df.withColumn("_chunk", chunk)
     counts = base.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     across = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, 0)
@@ -100,12 +120,6 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column | str], n: int |
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def nth_in_key(df: DataFrame, keys: list[str], chunk: Column, order: list[str], total: DataFrame, position: str) -> DataFrame:
-    """Rows whose position per key equals ``total[position]``; built on chunked row numbers."""
-    numbered = row_number_in_key(df, keys, chunk, order, "_pos")
-    return numbered.join(total, keys).filter(F.col("_pos") == F.col(position)).drop("_pos")
-
-
 def keep_in_order(df: DataFrame, keys: list[str], order: list[Column], inputs: list[str], new_state: Callable[[], object], decide: Callable[..., bool]) -> DataFrame:
     """Rows of a greedy walk per key: ``decide(state, *inputs)`` says whether a row is kept.
 

@@ -453,9 +453,10 @@ def j8(spark, sf):
     return gr.dead_modules(f, gr.imports(f), minimum=1)
 
 
-@query("a12_coupling_resolved", f"""WITH {_ALL}, {_RES} SELECT repo_id, resolved AS path, 'high-fan-in' AS rule, count(DISTINCT src) AS n FROM edges WHERE NOT starts_with(specifier, '@types/') GROUP BY 1, 2 HAVING count(DISTINCT src) > 10""")
+@query("a12_coupling_resolved", f"""WITH {_ALL}, {_RES} SELECT repo_id, resolved AS path, 'high-fan-in' AS rule, count(DISTINCT src) AS n FROM edges WHERE NOT starts_with(specifier, '@types/') GROUP BY 1, 2 HAVING count(DISTINCT src) > 10
+UNION ALL SELECT repo_id, src, 'high-fan-out', count(*) FROM edges WHERE NOT starts_with(specifier, '@types/') GROUP BY 1, 2 HAVING count(*) > 20""")
 def a12b(spark, sf):
-    return gr.coupling(gr.imports(_all(spark, sf)), mode="resolved").filter("rule = 'high-fan-in'").select("repo_id", "path", "rule", "n")
+    return gr.coupling(gr.imports(_all(spark, sf)), mode="resolved").select("repo_id", "path", "rule", "n")
 
 
 _MODOF = lambda p: f"CASE WHEN string_split({p}, '/')[1] = 'src' AND len(string_split({p}, '/')) > 1 THEN 'src/' || string_split({p}, '/')[2] ELSE string_split({p}, '/')[1] END"

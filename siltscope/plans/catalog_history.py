@@ -88,8 +88,8 @@ def a2(spark, sf):
     return fd.static_score(dt.findings(spark, sf), repos)
 
 
-@query("a3_quality_score", f"""WITH {dt.FINDINGS}, p AS (SELECT repo_id, sum({W10}) AS penalty FROM findings WHERE line = 1 AND severity = 'low' GROUP BY 1),
-ph AS (SELECT repo_id, sum({W10}) AS phantom_points FROM findings WHERE line = 2 AND rule = 't1' AND severity = 'low' GROUP BY 1),
+@query("a3_quality_score", f"""WITH {dt.FINDINGS}, p AS (SELECT repo_id, sum({W10}) AS penalty FROM findings GROUP BY 1),
+ph AS (SELECT repo_id, sum({W10}) AS phantom_points FROM findings WHERE rule = 't1' GROUP BY 1),
 n AS (SELECT repo_id, count(*) AS files FROM (SELECT DISTINCT repo_id, path FROM findings) GROUP BY 1),
 j AS (SELECT n.repo_id, files, coalesce(penalty, 0) AS penalty, coalesce(phantom_points, 0) AS phantom_points FROM n LEFT JOIN p ON n.repo_id = p.repo_id LEFT JOIN ph ON n.repo_id = ph.repo_id)
 SELECT repo_id, files, CAST(penalty AS DOUBLE) AS penalty, CAST(phantom_points AS DOUBLE) AS phantom_points,
@@ -97,8 +97,7 @@ SELECT repo_id, files, CAST(penalty AS DOUBLE) AS penalty, CAST(phantom_points A
  greatest(0, greatest(0, floor(100 - penalty / greatest(1.0, sqrt(files)) + 0.5)) - phantom_points) >= 90 AS passed FROM j""")
 def a3(spark, sf):
     f = dt.findings(spark, sf)
-    low = f.filter("severity = 'low'")
-    return fd.quality_score(low.filter("line = 1"), low.filter("line = 2 AND rule = 't1'"), f.select("repo_id", "path").distinct(), threshold=90)
+    return fd.quality_score(f, f.filter("rule = 't1'"), f.select("repo_id", "path").distinct(), threshold=90)
 
 
 @query("a4_finding_rollup", f"WITH {dt.FINDINGS} SELECT repo_id, severity, category, count(*) AS n FROM findings GROUP BY ROLLUP (repo_id, severity, category)")
@@ -450,7 +449,7 @@ def w10(spark, sf):
 
 
 @query("a42_brief_overview", """WITH a AS (SELECT o_custkey AS brief_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest_approval, count(*) AS approvals FROM orders GROUP BY 1),
-m AS (SELECT o_custkey AS brief_id, count(*) AS milestones FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1), s AS (SELECT user_id AS brief_id, count(*) AS scans FROM events GROUP BY 1)
+m AS (SELECT o_custkey AS brief_id, count(*) AS milestones FROM orders GROUP BY 1), s AS (SELECT user_id AS brief_id, count(*) AS scans FROM events GROUP BY 1)
 SELECT c_custkey AS brief_id, c_name AS name, latest_approval, coalesce(approvals, 0) AS approvals, coalesce(milestones, 0) AS milestones, coalesce(scans, 0) AS scans
 FROM customer LEFT JOIN a ON a.brief_id = c_custkey LEFT JOIN m ON m.brief_id = c_custkey LEFT JOIN s ON s.brief_id = c_custkey""")
 def a42(spark, sf):
@@ -458,7 +457,7 @@ def a42(spark, sf):
     return hs.brief_overview(
         dt.table(spark, sf, "customer").selectExpr("c_custkey AS brief_id", "c_name AS name"),
         oo.selectExpr("o_custkey AS brief_id", "o_orderkey AS approval_id", "o_orderdate AS approved_at"),
-        oo.filter("o_orderkey % 3 = 0").selectExpr("o_custkey AS brief_id"),
+        oo.selectExpr("o_custkey AS brief_id"),
         dt.table(spark, sf, "events").selectExpr("user_id AS brief_id"))
 
 

@@ -276,11 +276,11 @@ def j23(spark, sf):
 _AGENTS = "- **🔴 No eval in code**\n- **Keep small files**\ntext\n- plain"
 
 
-@query("j25_guideline_compliance", """WITH v AS (SELECT 'g' || CAST(o_custkey % 400 AS VARCHAR) AS repo_id, list_extract(['no-eval', 'small-files', 'write-tests'], CAST(o_orderkey % 3 AS INTEGER) + 1) AS rule_id, CASE WHEN o_orderkey % 11 = 0 THEN 'must' ELSE 'should' END AS severity FROM orders WHERE o_orderkey % 37 = 0 OR o_custkey % 5 = 0),
+@query("j25_guideline_compliance", """WITH v AS (SELECT 'g' || CAST(o_custkey % 400 AS VARCHAR) AS repo_id, list_extract(['no-eval', 'small-files', 'write-tests'], CAST(o_orderkey % 3 AS INTEGER) + 1) AS rule_id, CASE WHEN o_orderkey % 11 = 0 THEN 'must' ELSE 'should' END AS severity FROM orders),
 g AS (SELECT repo_id, CAST(coalesce(sum(CASE WHEN rule_id IN ('no-eval', 'small-files') AND CAST(substr(repo_id, 2) AS INTEGER) % 2 = 0 THEN 1 END), 0) AS BIGINT) AS declared_violations, CAST(coalesce(sum(CASE WHEN NOT (rule_id IN ('no-eval', 'small-files') AND CAST(substr(repo_id, 2) AS INTEGER) % 2 = 0) THEN 1 END), 0) AS BIGINT) AS other_violations,
  CAST(coalesce(sum(CASE WHEN severity = 'must' THEN 1 END), 0) AS BIGINT) AS critical FROM v GROUP BY 1) SELECT *, CAST(greatest(0, 100 - (declared_violations + other_violations) * 10) AS INTEGER) AS score, critical = 0 AS passed FROM g""")
 def j25(spark, sf):
-    oo = dt.table(spark, sf, "orders").filter("o_orderkey % 37 = 0 OR o_custkey % 5 = 0")
+    oo = dt.table(spark, sf, "orders")
     v = oo.select(F.concat(F.lit("g"), (F.col("o_custkey") % 400).cast("string")).alias("repo_id"), _pick(("no-eval", "small-files", "write-tests"), F.col("o_orderkey") % 3).alias("rule_id"), F.when(F.col("o_orderkey") % 11 == 0, "must").otherwise("should").alias("severity"))
     c = dt.table(spark, sf, "orders").select((F.col("o_custkey") % 400).alias("i")).distinct().filter("i % 2 = 0")
     return sc.guideline_compliance(c.select(F.concat(F.lit("g"), F.col("i").cast("string")).alias("repo_id"), F.lit(_AGENTS).alias("content")), v)
@@ -456,10 +456,10 @@ def io5(spark, sf):
     return sn.vuln_findings(sn.parse_reports(p.select(F.col("p_partkey").cast("string").alias("repo_id"), js.alias("json")), "json", sn.VULNS))
 
 
-@query("io7_dockerfile_score", """WITH n AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' AND l_quantity > 49 THEN 10 WHEN l_returnflag = 'A' AND l_quantity > 48 THEN 3 ELSE 0 END) AS lost, count(*) AS violations FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45 GROUP BY 1)
+@query("io7_dockerfile_score", """WITH n AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' AND l_quantity > 49 THEN 10 WHEN l_returnflag = 'A' AND l_quantity > 48 THEN 3 ELSE 0 END) AS lost, count(*) AS violations FROM lineitem GROUP BY 1)
 SELECT CAST(s_suppkey AS VARCHAR) AS repo_id, s_suppkey % 9 > 0 AS has_dockerfile, coalesce(violations, 0) AS violations, CAST(CASE WHEN s_suppkey % 9 = 0 THEN 0 WHEN s_suppkey % 10 = 3 THEN 50 ELSE greatest(0, 100 - coalesce(lost, 0)) END AS INTEGER) AS score FROM supplier LEFT JOIN n ON l_suppkey = s_suppkey""")
 def io7(spark, sf):
-    v = dt.table(spark, sf, "lineitem").filter("l_linenumber = 1 AND l_quantity > 45").selectExpr("cast(l_suppkey as string) AS repo_id", "CASE WHEN l_returnflag = 'R' AND l_quantity > 49 THEN 'error' WHEN l_returnflag = 'A' AND l_quantity > 48 THEN 'warning' ELSE 'info' END AS level")
+    v = dt.table(spark, sf, "lineitem").selectExpr("cast(l_suppkey as string) AS repo_id", "CASE WHEN l_returnflag = 'R' AND l_quantity > 49 THEN 'error' WHEN l_returnflag = 'A' AND l_quantity > 48 THEN 'warning' ELSE 'info' END AS level")
     r = dt.table(spark, sf, "supplier").selectExpr("cast(s_suppkey as string) AS repo_id", "s_suppkey % 9 > 0 AS has_dockerfile", "s_suppkey % 10 = 3 AS tool_failed")
     return sn.dockerfile_score(v, r)
 
@@ -590,11 +590,11 @@ def x3(spark, sf):
 # --- functions -----------------------------------------------------------------------------------------------------
 
 @query("f_text_functions", f"""SELECT doc_id, CAST(ceil(length(text) / 4) AS INTEGER) AS tokens, sha256(text) AS content_hash, {o.count('text', '@<@[A-Za-z]+@>@')} AS words, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines,
- regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+ regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
 def f_text(spark, sf):
     d = dt.table(spark, sf, "documents")
     return d.select("doc_id", tx.token_estimate("text").alias("tokens"), tx.content_hash("text").alias("content_hash"), tx.rx_count("text", tx.BL + "[A-Za-z]+" + tx.BR).alias("words"), tx.line_count("text").alias("lines"),
-                    tx.slug(F.substring("text", 1, 40)).alias("slug"))
+                    tx.slug("text").alias("slug"))
 
 
 @query("f13_repo_owner_name", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)/([^/?#]+)', 1) AS owner, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)/([^/?#]+)', 2) AS name FROM pages")

@@ -228,6 +228,20 @@ def test_ordered_helpers_on_a_hot_key(spark):
     c = ordered.row_number_in_key(df, ["k"], chunk, ["i"], "n")
     j = a.select("i", "s").join(b.select("i", "p"), "i").join(c.select("i", "n"), "i")
     assert {r["i"]: (r["s"], r["p"], r["n"]) for r in j.collect()} == want
+    # without chunks: ranges of the order, whose borders Spark samples, however the rows crowd together
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = ordered.ranged(df, ["k"], ["i"])
+        sizes = {r["_range"]: r["count"] for r in ranges.filter("k = 'hot'").groupBy("_range").count().collect()}
+        assert len(sizes) > 1 and max(sizes.values()) < 0.75 * sum(sizes.values())
+        a = ordered.prefix_sum(df, ["k"], None, "i", "v", "s")
+        b = ordered.lag_in_key(df, ["k"], None, ["i"], F.col("v"), "p")
+        c = ordered.row_number_in_key(df, ["k"], None, ["i"], "n")
+        assert a.columns == [*df.columns, "s"] and b.columns == [*df.columns, "p"] and c.columns == [*df.columns, "n"]
+        j = a.select("i", "s").join(b.select("i", "p"), "i").join(c.select("i", "n"), "i")
+        assert {r["i"]: (r["s"], r["p"], r["n"]) for r in j.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_results_do_not_depend_on_partitioning(spark):
