@@ -209,12 +209,13 @@ def j22(spark, sf):
     return m.select("brief_id", "repo_id", *[F.array_join(c, "|").alias(c) for c in ("in_scope", "missing_planned", "out_of_scope", "promised_found")])
 
 
-@query("a39_drift_status", f"""WITH {_SCOPE}, f AS (SELECT brief_id, repo_id, len(deliverables) AS n, n_in, n_mis, len(outs) AS n_out, (brief_id % 7) * 20 > 80 AND NOT regexp_matches(cons, '(?i)dep|librar|package|bundle|size') AS creep FROM sm)
+@query("a39_drift_status", f"""WITH {_SCOPE}, f AS (SELECT brief_id, repo_id, len(deliverables) AS n, n_in, n_mis, len(outs) AS n_out, coalesce(CAST(substr(repo_id, 5) AS INTEGER) % 7 * 20, 0) > 80 AND NOT regexp_matches(cons, '(?i)dep|librar|package|bundle|size') AS creep FROM sm)
 SELECT brief_id, repo_id, CASE WHEN n = 0 THEN CASE WHEN n_out > 0 THEN 'at-risk' ELSE 'on-scope' END WHEN n_mis > 0 AND n_in = 0 THEN 'blocked' WHEN n_out = 0 AND n_mis = 0 THEN 'on-scope' WHEN n_out > 2 OR n_mis > 3 THEN 'drifting' ELSE 'at-risk' END AS status,
- concat_ws(',', CASE WHEN n_out > 0 THEN 'feature-creep' END, CASE WHEN n_mis > 0 THEN 'missing-planned' END) AS drift_categories, CAST(n_out AS INTEGER) AS n_out_of_scope FROM f""")
+ concat_ws(',', CASE WHEN n_out > 0 THEN 'feature-creep' END, CASE WHEN n_mis > 0 THEN 'missing-planned' END, CASE WHEN creep THEN 'dependency-creep,technical-complexity-creep' END) AS drift_categories, CAST(n_out AS INTEGER) AS n_out_of_scope FROM f""")
 def a39(spark, sf):
     m, b = _match(spark, sf)
-    return sc.drift_status(m, b).select("brief_id", "repo_id", "status", F.array_join("drift_categories", ",").alias("drift_categories"), "n_out_of_scope")
+    deps = b.select("repo_id").distinct().withColumn("dependencies", F.substring("repo_id", 5, 9).cast("int") % 7 * 20)
+    return sc.drift_status(m, b, deps).select("brief_id", "repo_id", "status", F.array_join("drift_categories", ",").alias("drift_categories"), "n_out_of_scope")
 
 
 _INTENTS = ("Users can upload files. Must not store secrets. We use stripe and aws.", "- checkout page\n## Goals\nAs a manager, see reports. Must be fast.", "Build search; without downtime. Role: admin\nlatency below 10 ms.", "plain words only")
