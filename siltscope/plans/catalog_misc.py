@@ -12,16 +12,19 @@ from siltscope.operators import impact as im
 from siltscope.operators import matching
 from siltscope.operators import production
 from siltscope.operators import scope as sc
+from siltscope.operators.findings import distinct_values
 from siltscope.plans import driver_tables as dt
 from siltscope.plans import oracle as o
 from siltscope.plans.catalog_code import _AI
 from siltscope.plans.catalog_text import PROSE_RULES
 from siltscope.plans.registry import lit, query
 from siltscope.rules import tables as rt
+from siltscope.session import shared_dir
 from siltscope.sources import files as sfiles
 from siltscope.sources import quality as sq
 from siltscope.sources import scanners as sn
 from siltscope.sources import sinks
+from siltscope.sources import tree
 from siltscope.streaming import jobs as st
 
 # --- evaluation ------------------------------------------------------------------------------------------
@@ -444,6 +447,38 @@ def _sarif_reports(spark, sf):
     return li.select(F.col("l_suppkey").cast("string").alias("repo_id"), js.alias("json"))
 
 
+_TREE_DIR = ("src/lib", "node_modules/x", "app", "dist/js", "src/build")
+_TREE_EXT = (".ts", ".md", ".py", ".min.js", "")
+
+
+@query("io1_read_tree", f"""WITH f AS (SELECT source AS repo_id, list_extract({list(_TREE_DIR)}, CAST(doc_id % 5 AS INTEGER) + 1) || '/f' || CAST(doc_id AS VARCHAR) || list_extract({list(_TREE_EXT)}, CAST(doc_id // 5 % 5 AS INTEGER) + 1) AS path, coalesce(text, '') AS content FROM documents)
+SELECT repo_id, path, sha256(content) AS content_hash, CAST(length(content) AS INTEGER) AS n_chars FROM f WHERE regexp_matches(path, '[.](ts|py|js)$') AND NOT regexp_matches(path, '(^|/)(node_modules|dist|build)/')""")
+def io1(spark, sf):
+    """The documents are written as a tree of files first."""
+    k = F.col("doc_id")
+    path = F.concat(_pick(_TREE_DIR, k % 5), F.lit("/f"), k.cast("string"), _pick(_TREE_EXT, F.floor(k / 5) % 5))
+    root = shared_dir(spark, "tree")
+    tree.write_tree(dt.table(spark, sf, "documents").select(F.col("source").alias("repo_id"), path.alias("path"), F.col("text").alias("content")), root)
+    return tree.read_tree(spark, root).select("repo_id", "path", tx.content_hash("content").alias("content_hash"), F.length("content").alias("n_chars"))
+
+
+@query("io6_secret_hits", """SELECT 'det' || CAST(l_suppkey % 5 AS VARCHAR) AS detector, l_linenumber % 2 = 0 AS verified, CASE WHEN l_returnflag = 'A' THEN '' ELSE 'raw-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-value' END AS raw, count(*) AS n
+FROM lineitem WHERE l_quantity % 7 <> 0 GROUP BY 1, 2, 3""")
+def io6(spark, sf):
+    """The line items are written as JSON lines first; a seventh of the lines is broken."""
+    li = dt.table(spark, sf, "lineitem")
+    raw = F.when(F.col("l_returnflag") != "A", F.concat(F.lit("raw-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"), F.lit("-value")))
+    good = F.to_json(F.struct(F.concat(F.lit("det"), (F.col("l_suppkey") % 5).cast("string")).alias("DetectorName"), (F.col("l_linenumber") % 2 == 0).alias("Verified"), raw.alias("Raw")))
+    path = shared_dir(spark, "hits")
+    li.select(F.when(F.col("l_quantity") % 7 != 0, good).otherwise(F.lit('{"DetectorName": "det'))).write.text(path)
+    return sn.read_secret_hits(spark, path, cut=None).groupBy("detector", "verified", "raw").agg(F.count("*").alias("n"))
+
+
+@query("u2_distinct_values", f"WITH {dt.FINDINGS} SELECT DISTINCT rule, category, severity FROM findings")
+def u2(spark, sf):
+    return distinct_values(dt.findings(spark, sf), "rule", "category", "severity")
+
+
 @query("io4_sarif_findings", "SELECT CAST(l_suppkey AS VARCHAR) AS repo_id, 't' || CAST(l_orderkey % 7 AS VARCHAR) AS rule, CASE l_returnflag WHEN 'R' THEN 'ERROR' WHEN 'A' THEN 'NOTE' ELSE 'WARNING' END AS severity, 'p' || CAST(l_partkey AS VARCHAR) AS path, 'm' AS detail, CAST(CASE l_returnflag WHEN 'R' THEN 0.9 WHEN 'A' THEN 0.3 ELSE 0.6 END AS DOUBLE) AS confidence FROM lineitem")
 def io4(spark, sf):
     return sn.sarif_findings(sn.parse_reports(_sarif_reports(spark, sf), "json", sn.SARIF))
@@ -689,8 +724,6 @@ def st4(spark, sf):
 
 @query("st5_watch_and_scan", f"WITH {dt.DOC_LINES} SELECT repo_id, path, line, rule, severity FROM ({o.line_hits(PROSE_RULES, 'doc_lines')})")
 def st5(spark, sf):
-    from siltscope.session import shared_dir
-
     d = st.read_stream(spark, sf, "documents").select(F.col("source").alias("repo_id"), F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
     q, _, found = st.watch_and_scan(d, shared_dir(spark, "watch"), lambda f: matching.match_lines(f, PROSE_RULES).select("repo_id", "path", "line", "rule", "severity"), "repo_id string, path string, line int, rule string, severity string")
     q.awaitTermination()

@@ -58,12 +58,13 @@ def read_vulns(spark: SparkSession, path: str) -> DataFrame:
     return vuln_findings(raw.select(_stem().alias("repo_id"), "Results"))
 
 
-def read_secret_hits(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; lines that do not parse are dropped and raw values cut to 20 characters."""
+def read_secret_hits(spark: SparkSession, path: str, cut: int | None = 20) -> DataFrame:
+    """One JSON object per line; lines that do not parse are dropped. Raw values are cut to ``cut`` characters for the report, or whole without it."""
     raw = spark.read.schema("DetectorName string, Verified boolean, Raw string").option("mode", "DROPMALFORMED").json(path)
+    value = F.coalesce("Raw", F.lit(""))
     return raw.select(
         _stem().alias("repo_id"), F.coalesce("DetectorName", F.lit("unknown")).alias("detector"), F.coalesce("Verified", F.lit(False)).alias("verified"),
-        F.substring(F.coalesce("Raw", F.lit("")), 1, 20).alias("raw"),
+        (value if cut is None else F.substring(value, 1, cut)).alias("raw"),
     )
 
 
