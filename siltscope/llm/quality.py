@@ -15,10 +15,8 @@ from siltscope.llm.common import documents, saved
 
 BLANKS = r"[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
-#: a line is boilerplate of a host if it stands in at least so many of its documents ...
+#: a line is boilerplate of a host if it stands in at least so many of its documents, however many the host has
 LINE_DOCS = 20
-#: ... and in at least this share of them
-LINE_SHARE = 0.01
 #: a document is depleted if less than this share of its words is left
 KEPT_SHARE = 0.3
 MIN_WORDS = 10
@@ -77,24 +75,26 @@ def own_rules(docs: DataFrame) -> DataFrame:
     return c.withColumn("lines", lines)
 
 
-def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
+def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, kept_share: float = KEPT_SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept.
 
-    ``n_line_words`` are the words on lines that stand in at least ``line_docs`` documents of the host (``source``) and
-    in at least ``line_share`` of them. ``kept`` is false if the base rules fail or fewer than ``kept_share`` of the words, or
-    fewer than ten, are left without those lines. Null text: no words, fails. A null host is a host. Rows that repeat a doc_id or lack one
-    are judged each by itself; an empty table gives an empty result.
+    ``n_line_words`` are the words on lines that stand in at least ``line_docs`` documents of the host (``source``); a host that
+    grows never gets a line back. ``kept`` is false if the base rules fail or fewer than ``kept_share`` of the words, or
+    fewer than ten, are left without those lines. Null text: no words, fails. A null host is a host of its own, apart from an empty
+    one. Rows that repeat a doc_id are judged each by itself but count as one document; a row without a doc_id counts as one. An
+    empty table gives an empty result.
     """
     own = saved(own_rules(docs).withColumn("row", F.monotonically_increasing_id()), "line-rules")
-    flat = own.select("row", F.coalesce("host", F.lit("")).alias("host"), F.explode("lines").alias("l")).select("row", "host", "l.line", "l.words")
-    # a document counts once a line: lines are made distinct in the row, so no row ids travel here
-    shared = (
-        own.select(F.coalesce("host", F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-        .groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= line_docs)
+    host = F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("")).alias("host")
+    # rows a line, at least as many as documents: lines are made distinct in the row, so no row ids travel here
+    often = (
+        own.select(host, F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+        .groupBy("host", "line").agg(F.count("*").alias("rows")).filter(F.col("rows") >= line_docs).select("host", "line")
     )
-    hosts = own.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("host_docs"))
-    limits = shared.join(hosts, "host").filter(F.col("docs") >= F.col("host_docs") * line_share).select("host", "line")
-    taken = flat.join(limits, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_line_words"))
+    document = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", "row").alias("id")).alias("document")
+    hits = own.select("row", host, document, F.explode("lines").alias("l")).select("row", "host", "document", "l.line", "l.words").join(often, ["host", "line"])
+    limits = hits.groupBy("host", "line").agg(F.countDistinct("document").alias("docs")).filter(F.col("docs") >= line_docs).select("host", "line")
+    taken = hits.join(limits, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_line_words"))
     r = own.drop("lines", "host").join(taken, "row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")
@@ -110,7 +110,7 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 #: the base columns and the verdict in DuckDB; windows and lines are compared as text
 OP9_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS host, coalesce(text, '') AS text,
                   list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS l FROM documents),
 win AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
@@ -119,9 +119,7 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 5) AS r(k)
 nl AS (SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS line,
               len(list_filter(string_split_regex(x, '[ \\t\\n\\x0B\\f\\r]+'), lambda v: v <> '')) AS n
        FROM (SELECT doc_id, host, unnest(l) AS x FROM d)),
-hosts AS (SELECT host, count(*) AS c FROM d GROUP BY 1),
-freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS c FROM nl GROUP BY 1, 2) freq_ JOIN hosts h USING (host)
-         WHERE freq_.c >= {LINE_DOCS} AND freq_.c >= h.c * {LINE_SHARE}),
+freq AS (SELECT host, line FROM nl GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {LINE_DOCS}),
 gone AS (SELECT doc_id, sum(n) AS n FROM nl JOIN freq USING (host, line) GROUP BY 1),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
