@@ -346,7 +346,7 @@ def linked(active: DataFrame, sets: DataFrame, limit: int | None = None) -> Data
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, limit: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, text_key (the text's xxhash64, which tells rows of one doc_id apart).
 
     ``component_id`` is the smallest doc_id that links reach; ``limit`` sets the boundary between light and heavy. Null, empty
     and blank texts have no set and link with nothing. Rows without a doc_id link like others but name a group only
@@ -368,7 +368,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, limit: int | None = None) ->
     named = of.join(names, "c").select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), "component")
     r = m.join(named, (m.k1 == named.s1) & (m.k2 == named.s2) & (m.n > 0), "left")
     shown = lambda c: F.when(c != LAST, c)
-    return r.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("component", "doc_id")).alias("component_id"))
+    return r.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), shown(F.coalesce("component", "doc_id")).alias("component_id"), F.col("key").alias("text_key"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
