@@ -43,13 +43,6 @@ def severity_weight(col: Column | str, table: str, default: float = 0.0) -> Colu
     return out.otherwise(F.lit(default))
 
 
-def severity_rank(col: Column | str) -> Column:
-    out = None
-    for name, value in SEVERITY_RANK.items():
-        out = F.when(_c(col) == name, value) if out is None else out.when(_c(col) == name, value)
-    return out.otherwise(F.lit(9))
-
-
 # fixed values: lower bounds of the grades
 GRADE_LADDERS = {
     "trust": ((95, "A+"), (85, "A"), (70, "B"), (55, "C"), (40, "D"), (None, "F")),

@@ -45,10 +45,6 @@ def rx_all(col: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(java(pattern)), F.lit(group))
 
 
-def rx_group(col: Column | str, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract(_c(col), java(pattern), group)
-
-
 def has(col: Column | str, *needles: str) -> Column:
     """Any of the literal substrings occurs (byte search, no regex)."""
     out = None

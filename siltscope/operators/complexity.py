@@ -48,10 +48,6 @@ def nesting_depth(content: Column | str, mode: str = "braces") -> Column:
     raise ValueError(mode)
 
 
-def max_nesting(files: DataFrame, mode: str = "braces") -> DataFrame:
-    return files.select("repo_id", "path", nesting_depth("content", mode).alias("max_depth"))
-
-
 def _any_word(low: Column, body: str) -> Column:
     """A whole word of ``body`` occurs in lower-cased text: byte search first, regex to confirm."""
     return tx.has(low, *body.replace("\\", "").split("|")) & tx.rx(low, tx.word(f"(?:{body})"))
@@ -124,20 +120,6 @@ def file_complexity(files: DataFrame) -> DataFrame:
     return m.withColumn("size_class", size_class).withColumn("score", score.cast("int")).withColumn("reasons", reasons)
 
 
-def complexity_hotspots(complexity: DataFrame) -> DataFrame:
-    """Findings of the files that are too wide, too deep, mixed or over-connected."""
-    live = ~tx.ends_with_any("path", *SKIP_EXT)
-    return emit(
-        complexity,
-        [
-            spec(live & (F.col("exports") > 15), "god-file", "high", F.col("exports"), category="complexity"),
-            spec(live & (F.col("depth") > 6), "deep-nesting", "high", F.col("depth"), category="complexity"),
-            spec(live & (F.size("topics") > 3) & (F.col("lines") > 200), "low-cohesion", "medium", F.array_join("topics", ","), category="complexity"),
-            spec(live & (F.col("import_dirs") > 8), "import-spread", "low", F.col("import_dirs"), category="complexity"),
-        ],
-    ).drop("points")
-
-
 def size_distribution(complexity: DataFrame) -> DataFrame:
     """Files per size class and average length, per repository."""
     classes = ("small", "medium", "large", "xlarge")

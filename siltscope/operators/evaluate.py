@@ -214,10 +214,6 @@ def verify_findings(findings: DataFrame, max_per_type: int = 1, cap_first: bool
     return cap_findings(dedupe_near(findings), max_per_type)
 
 
-def finding_similarity(a: Column, b: Column) -> Column:
-    return tx.jaccard(F.array_distinct(tx.tokens(a)), F.array_distinct(tx.tokens(b)))
-
-
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, nm.js_round(F.col(c), digits))

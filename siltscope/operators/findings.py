@@ -68,10 +68,6 @@ def quality_score(findings: DataFrame, phantoms: DataFrame, files: DataFrame, th
     return out.withColumn("passed", F.col("score") >= threshold)
 
 
-def finding_counts(findings: DataFrame, by: Sequence[str] = ("severity",)) -> DataFrame:
-    return findings.groupBy(*by).agg(F.count("*").alias("n"))
-
-
 def finding_rollup(findings: DataFrame, by: Sequence[str] = ("repo_id", "severity", "category")) -> DataFrame:
     """Counts for every prefix of ``by``; the totals rows carry nulls."""
     return findings.rollup(*by).agg(F.count("*").alias("n"))

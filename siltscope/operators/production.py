@@ -239,12 +239,6 @@ def db_abstraction(flags: DataFrame) -> DataFrame:
     return _repo_findings(flags, [spec(F.col("direct_db") & ~F.col("repository_layer"), "no-strangler-fig", "medium", category="debt", points=10)])
 
 
-def dimension_score(findings: DataFrame, repos: DataFrame, name: str, points: str = "points") -> DataFrame:
-    """100 minus the deductions, floored at zero, for every repository."""
-    lost = findings.groupBy("repo_id").agg(F.sum(points).alias("_lost"))
-    return repos.join(lost, "repo_id", "left").select("repo_id", F.greatest(F.lit(0), 100 - F.coalesce("_lost", F.lit(0))).cast("int").alias(name))
-
-
 # fixed values
 ENTERPRISE_WEIGHTS = {"api": 0.15, "observability": 0.20, "build": 0.20, "coupling": 0.10, "license": 0.20, "debt": 0.15}
 
