@@ -72,7 +72,7 @@ def daily_trend(scans: DataFrame, delay: str = "1 day") -> DataFrame:
         below = acc["below"] + bar["n"]
         return F.struct(below.alias("below"), F.coalesce(acc["score"], F.when(below > F.floor(F.col("scans") / 2), bar["score"])).alias("score"))
 
-    median = F.aggregate("bars", start, step)["score"].alias("median_score")
+    median = F.aggregate("bars", start, step)["score"].cast("int").alias("median_score")
     return day.select(F.to_date("w.start").alias("day"), "org_id", "scans", "avg_score", median)
 
 
