@@ -85,35 +85,34 @@ def _match_lines(files: DataFrame, rules: Sequence[Rule], first: int) -> DataFra
     )
 
 
-def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-
-
 def _bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once in a row."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
+#: marks the place of a match in a copy of the text
+_MARK = "\x01"
+#: lines whose results one fold gathers; results are joined by block, so appending stays linear in the lines
+BLOCK = 256
+
+
 def match_starts(content: Column, pattern: str) -> Column:
     """Every match of a pattern in a text as (line, detail); a match belongs to the line that it starts on.
 
-    The text between matches comes from splitting at them, so starts are found without offsets: the lines before a
-    match are the line ends in all that precedes it.
+    In a copy of the text each match gets a mark before it, and all but marks and line ends goes: what is left between
+    two line ends are the matches that start on that line. Nothing is carried from match to match.
     """
     rx = tx.java(pattern)
 
-    def walk(found: Column) -> Column:
-        between = F.split(content, rx, -1)
-        steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, before: F.struct(
-            _newlines(before).cast("int").alias("before"), _newlines(m).cast("int").alias("inside"), m.alias("detail")))
-        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,detail:string>>").alias("out"))
-        return F.aggregate(steps, start, lambda a, x: F.struct(
-            (a["line"] + x["before"] + x["inside"]).alias("line"),
-            F.concat(a["out"], F.array(F.struct((a["line"] + x["before"]).alias("line"), x["detail"].alias("detail")))).alias("out"),
-        ), lambda a: a["out"])
+    def place(found: Column) -> Column:
+        # a text that has the mark already gives it away to another control character
+        marked = F.regexp_replace(F.translate(content, _MARK, "\x02"), F.lit(rx), F.lit(_MARK + "$0"))
+        per_line = F.split(F.regexp_replace(marked, f"[^\n{_MARK}]++", ""), "\n", -1)
+        at = F.flatten(F.transform(per_line, lambda marks, i: F.array_repeat(i + 1, F.length(marks))))
+        return F.zip_with(at, found, lambda line, m: F.struct(line.alias("line"), m.alias("detail")))
 
     none = F.array().cast("array<struct<line:int,detail:string>>")
-    return _bind(F.regexp_extract_all(content, F.lit(rx), F.lit(0)), lambda found: F.when(F.size(found) > 0, walk(found)).otherwise(none))
+    return _bind(F.regexp_extract_all(content, F.lit(rx), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
 
 
 def match_files(files: DataFrame, rules: Sequence[Rule], guarded: dict[str, Column] | None = None) -> DataFrame:
@@ -166,8 +165,16 @@ def try_lines(content: Column) -> Column:
         out = F.when(F.size(a["s"]["open"]) > 0, F.concat(a["out"], F.array(a["no"]))).otherwise(a["out"])
         return F.struct((a["no"] + 1).alias("no"), F.aggregate(found, a["s"], brace).alias("s"), out.alias("out"))
 
-    start = F.struct(F.lit(1).alias("no"), F.struct(F.lit(0).alias("depth"), ints.alias("open")).alias("s"), ints.alias("out"))
-    return F.aggregate(F.transform(tx.split_lines(content), tokens), start, line, lambda a: a["out"])
+    def block(a: Column, lines: Column) -> Column:
+        done = F.aggregate(lines, F.struct(a["no"].alias("no"), a["s"].alias("s"), ints.alias("out")), line)
+        return _bind(done, lambda r: F.struct(r["no"].alias("no"), r["s"].alias("s"), F.concat(a["outs"], F.array(r["out"])).alias("outs")))
+
+    def fold(found: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(found), F.lit(BLOCK))
+        start = F.struct(F.lit(1).alias("no"), F.struct(F.lit(0).alias("depth"), ints.alias("open")).alias("s"), F.array().cast("array<array<int>>").alias("outs"))
+        return F.aggregate(F.transform(firsts, lambda i: F.slice(found, i, BLOCK)), start, block, lambda a: F.flatten(a["outs"]))
+
+    return _bind(F.transform(tx.split_lines(content), tokens), fold)
 
 
 def in_try_block(files: DataFrame) -> DataFrame:

@@ -616,11 +616,29 @@ def p34(spark, sf):
     return sinks.sample_checks(s, t).drop("task_id", "passed")
 
 
-@query("x3_chunk_files")
+# pointers from each line to the first line of the chunk after one that starts there, then a walk along them
+_X3_LIMIT = 400 * 4
+_X3 = f"""WITH RECURSIVE {dt.DOC_LINES},
+l0 AS (SELECT repo_id, path, line - 1 AS i, text, length(text) AS n, regexp_matches(text, '^[ \\t\\v\\f\\r]*$') AS blank FROM doc_lines),
+l1 AS (SELECT *, sum(n + 1) OVER w AS z,
+  min(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY repo_id, path ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM l0 WINDOW w AS (PARTITION BY repo_id, path ORDER BY i ROWS UNBOUNDED PRECEDING)),
+l2 AS (SELECT a.*, a.i > 0 AND a.blank AND b.i IS NOT NULL AND NOT regexp_matches(b.text, '^[ \\t\\v\\f\\r]') AS gap FROM l1 a LEFT JOIN l0 b ON a.repo_id = b.repo_id AND a.path = b.path AND b.i = a.nxt),
+l3 AS (SELECT repo_id, path, i, n, z, z - n - 1 AS x, text, max(CASE WHEN gap THEN i END) OVER (PARTITION BY repo_id, path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_gap FROM l2),
+size AS (SELECT repo_id, path, count(*) AS lines, max(z) - 1 AS chars FROM l3 GROUP BY 1, 2),
+ptr AS MATERIALIZED (SELECT s.repo_id, s.path, s.i, greatest(e.i, s.i + 1) AS full FROM l3 s ASOF JOIN l3 e ON s.repo_id = e.repo_id AND s.path = e.path AND s.x + {_X3_LIMIT} + 1 < e.z),
+hop AS MATERIALIZED (SELECT p.repo_id, p.path, p.i, CASE WHEN f.last_gap > p.i THEN f.last_gap ELSE p.full END AS nxt FROM ptr p JOIN l3 f ON f.repo_id = p.repo_id AND f.path = p.path AND f.i = p.full),
+walk AS (SELECT repo_id, path, 0 AS chunk, CAST(0 AS BIGINT) AS a, lines, chars FROM size
+  UNION ALL SELECT w.repo_id, w.path, w.chunk + 1, CAST(h.nxt AS BIGINT), lines, chars FROM walk w JOIN hop h ON h.repo_id = w.repo_id AND h.path = w.path AND h.i = w.a WHERE chars > {_X3_LIMIT}),
+c AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY repo_id, path ORDER BY chunk), lines) AS z FROM walk)
+SELECT c.repo_id, c.path, chunk, CAST(a + 1 AS INTEGER) AS start_line, CAST(c.z AS INTEGER) AS end_line,
+ sha256(string_agg(CASE WHEN i + 1 < 1000 THEN lpad(CAST(i + 1 AS VARCHAR), 4, ' ') ELSE CAST(i + 1 AS VARCHAR) END || ' | ' || text, chr(10) ORDER BY i)) AS text_hash
+FROM c JOIN l3 ON l3.repo_id = c.repo_id AND l3.path = c.path AND i >= a AND i < c.z GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query("x3_chunk_files", _X3)
 def x3(spark, sf):
-    """Packing is sequential inside a file; checked against its invariants in the tests."""
     c = sfiles.chunk_files(dt.doc_files(spark, sf), max_tokens=400)
-    return c.select("repo_id", "path", "chunk", "start_line", "end_line", F.length("text").alias("n"))
+    return c.select("repo_id", "path", "chunk", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"))
 
 
 # --- functions -----------------------------------------------------------------------------------------------------

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,66 +121,77 @@ def extract_deps(files: DataFrame) -> DataFrame:
 
 # --- chunks ------------------------------------------------------------------------------------------------
 
-def pack_chunks(code: str, max_tokens: int) -> list[tuple[int, int, str]]:
-    """(start_line, end_line, numbered text) pieces within a token budget, cut at blank lines before
-    unindented code, else hard before the line that overflows."""
-    ls = code.split("\n")
-    limit = max_tokens * 4
-    out: list[tuple[int, int, str]] = []
-
-    def add(a: int, b: int) -> None:
-        body = ls[a:b]
-        out.append((a + 1, b if b > a else a + 1, "\n".join(f"{a + 1 + i:>4} | {x}" for i, x in enumerate(body or [""]))))
-
-    if len(code) <= limit:
-        add(0, len(ls))
-        return out
-    # boundary[i]: blank line whose next non-blank line is not indented
-    boundary = [False] * len(ls)
-    nxt = None
-    for i in range(len(ls) - 1, -1, -1):
-        blank = ls[i].strip() == ""
-        boundary[i] = i > 0 and blank and nxt is not None and not nxt[:1].isspace()
-        if not blank:
-            nxt = ls[i]
-    start, size, last = 0, 0, -1
-    i = 0
-    while i < len(ls):
-        grown = size + len(ls[i]) + (1 if i > start else 0)
-        if grown > limit and i > start:
-            cut = last if last > start else i
-            add(start, cut)
-            start, last = cut, -1
-            # lines from the cut up to this one stay in the buffer
-            size = sum(len(x) for x in ls[cut:i]) + max(0, i - cut - 1)
-            for j in range(cut + 1, i):
-                if boundary[j]:
-                    last = j
-            if i == cut:
-                size = 0
-            continue
-        size = grown
-        if boundary[i] and i > start:
-            last = i
-        i += 1
-    if start < len(ls):
-        add(start, len(ls))
-    return out
-
-
-_CHUNK = "repo_id string, path string, chunk int, start_line int, end_line int, text string"
+#: ASCII white space, as everywhere in the library
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _newlines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def top_level_gaps(content: Column) -> Column:
+    """Per line of a text: is it a blank line, not the first, whose next line with text is not indented?
+
+    Cut before each line that is not indented, a text falls into blocks; the blank lines that end a block are the gaps.
+    """
+    blocks = F.split(content, r"(?<=\n)(?=[^ \t\n\x0B\f\r])", -1)
+
+    def flags(block: Column, i: Column) -> Column:
+        lines = _newlines(block)  # a block but the last ends in a line end
+        tail = F.replace(F.substring(block, F.length(F.rtrim(block, F.lit(_BLANK))) + 1, F.length(block)), F.lit(" "), F.lit(""))
+        bare = F.rtrim(block, F.lit(_BLANK)) == ""
+        gaps = F.when(bare, lines - F.when(i == 0, 1).otherwise(0)).otherwise(_newlines(tail) - 1)
+        return F.concat(F.array_repeat(F.lit(False), lines - gaps), F.array_repeat(F.lit(True), gaps))
+
+    last = F.array_repeat(F.lit(False), _newlines(F.element_at(blocks, -1)) + 1)
+    return F.concat(F.flatten(F.transform(F.slice(blocks, F.lit(1), F.size(blocks) - 1), flags)), last)
+
+
+def chunk_cuts(content: Column, limit: int) -> Column:
+    """First lines, from 0, of the chunks after the first one.
+
+    A chunk that would pass ``limit`` characters ends before its last gap, else before the line that does not fit; a
+    single longer line is a chunk of its own. One fold over the lines carries the chunk's start and its last gap.
+    """
+    lines = F.zip_with(F.transform(tx.split_lines(content), lambda x: F.length(x)), top_level_gaps(content), lambda n, gap: F.struct(n.alias("n"), gap.alias("gap")))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("at"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("first_at"),
+                     F.lit(-1).alias("gap"), F.lit(0).cast("long").alias("gap_at"), none.alias("cuts"))
+
+    def over(s: Column, n: Column, first_at: Column) -> Column:
+        return s["at"] + n - first_at > limit
+
+    def step(s: Column, x: Column) -> Column:
+        no, at, n = s["no"], s["at"], x["n"]
+        full = (no > s["first"]) & over(s, n, s["first_at"])
+        at_gap = full & (s["gap"] > s["first"])
+        # what follows the gap may itself leave no room for this line
+        twice = at_gap & (no > s["gap"]) & over(s, n, s["gap_at"])
+        here = (full & ~at_gap) | twice
+        first = F.when(here, no).when(at_gap, s["gap"]).otherwise(s["first"])
+        cuts = F.when(twice, F.concat(s["cuts"], F.array(s["gap"], no))).when(full, F.concat(s["cuts"], F.array(first))).otherwise(s["cuts"])
+        mark = x["gap"] & (no > first)
+        return F.struct(
+            (no + 1).alias("no"), (at + n + 1).alias("at"), first.alias("first"),
+            F.when(here, at).when(at_gap, s["gap_at"]).otherwise(s["first_at"]).alias("first_at"),
+            F.when(mark, no).when(full, -1).otherwise(s["gap"]).alias("gap"), F.when(mark, at).otherwise(s["gap_at"]).alias("gap_at"), cuts.alias("cuts"),
+        )
+
+    return F.when(F.length(content) <= limit, none).otherwise(F.aggregate(lines, start, step, lambda s: s["cuts"]))
 
 
 def chunk_files(files: DataFrame, max_tokens: int = 6000) -> DataFrame:
-    """One row per chunk of a file.  Packing is sequential inside a file, and a file is one row, so
-    the rows go through Arrow batches without any grouping."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for repo, path, content in pdf.itertuples(index=False):
-                for n, (a, b, t) in enumerate(pack_chunks(content, max_tokens)):
-                    rows.append((repo, path, n, a, b, t))
-            yield pd.DataFrame(rows, columns=["repo_id", "path", "chunk", "start_line", "end_line", "text"])
-
-    return files.select("repo_id", "path", "content").mapInPandas(run, schema=_CHUNK)
+    """One row per chunk of a file: repo_id, path, chunk, start_line, end_line, text (lines with their numbers).
+
+    A file is one row, and its cuts and chunks are columns of that row: nothing is grouped and no Python runs. An empty file
+    is one chunk of one empty line; a file without content (null) has none.
+    """
+    cut = files.filter(F.col("content").isNotNull()).select("repo_id", "path", "content", chunk_cuts(F.col("content"), max_tokens * 4).alias("cuts"))
+    firsts = F.concat(F.array(F.lit(0)), F.col("cuts"))
+    ends = F.concat(F.col("cuts"), F.array(F.size("lines")))
+    spans = F.zip_with(firsts, ends, lambda a, z: F.struct(a.alias("a"), z.alias("z")))
+    rows = cut.withColumn("lines", tx.split_lines("content")).select("repo_id", "path", "lines", F.posexplode(spans).alias("chunk", "s"))
+    number = lambda i: F.lpad(i.cast("string"), F.greatest(F.lit(4), F.length(i.cast("string"))), F.lit(" "))
+    a, z = F.col("s.a"), F.col("s.z")
+    numbered = F.transform(F.slice("lines", a + 1, z - a), lambda x, i: F.concat(number(i + a + 1), F.lit(" | "), x))
+    return rows.select("repo_id", "path", "chunk", (a + 1).alias("start_line"), z.alias("end_line"), F.array_join(numbered, "\n").alias("text"))

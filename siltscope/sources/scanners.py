@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,40 +82,36 @@ def dockerfile_score(violations: DataFrame, repos: DataFrame) -> DataFrame:
 
 # --- model responses ------------------------------------------------------------------------------------------
 
-def balanced_object(raw: str | None) -> str | None:
-    """First balanced {...} of a text, quotes and escapes respected."""
-    if raw is None:
-        return None
-    start = raw.find("{")
-    if start < 0:
-        return None
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(raw)):
-        ch = raw[i]
-        if escaped:
-            escaped = False
-        elif ch == "\\":
-            escaped = True
-        elif ch == '"':
-            quoted = not quoted
-        elif not quoted and ch == "{":
-            depth += 1
-        elif not quoted and ch == "}":
-            depth -= 1
-            if depth == 0:
-                return raw[start : i + 1]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def first_object(s: pd.Series) -> pd.Series:
-    return s.map(balanced_object)
+# an escaped character, a quote, a brace, or a run of anything else
+_JSON_TOKEN = r'\\[\s\S]|["{}]|[^\\"{}]++|\\'
+
+
+def first_object(raw: Column) -> Column:
+    """First balanced {...} of a text, quotes and escapes respected, else null: a fold over quotes, braces and escapes.
+
+    The fold carries how far it has come, so the object is cut from the text once, at its end.
+    """
+    body = F.regexp_extract(raw, r"(?s)\{.*", 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, token: Column) -> Column:
+        open_, close = ~s["quoted"] & (token == "{"), ~s["quoted"] & (token == "}")
+        at = s["at"] + F.length(token)
+        return F.when(s["end"] > 0, s).otherwise(F.struct(
+            (s["depth"] + F.when(open_, 1).when(close, -1).otherwise(0)).alias("depth"),
+            (s["quoted"] != (token == '"')).alias("quoted"),
+            at.alias("at"),
+            F.when(close & (s["depth"] == 1), at).otherwise(0).alias("end"),
+        ))
+
+    end = F.aggregate(F.regexp_extract_all(body, F.lit(_JSON_TOKEN), F.lit(0)), start, step, lambda s: s["end"])
+    return F.get(F.transform(F.array(end), lambda n: F.when(n > 0, F.substring(body, F.lit(1), n))), 0)
 
 
 def parse_responses(df: DataFrame, col: str, ddl: str) -> DataFrame:
     """Adds ``parsed``: the whole text, else its fenced block, else the first balanced object.
 
-    Only texts the JVM parsers cannot read reach Python.
+    Only texts that the parsers cannot read whole are searched for an object.
     """
     raw = F.trim(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""))
     fence = F.regexp_extract(raw, r"```(?:json)?\s*([\s\S]+?)\s*```", 1)

@@ -13,7 +13,8 @@ from siltscope.operators import evaluate as ev
 from siltscope.operators import graph as gr
 from siltscope.operators import ordered, vibe
 from siltscope.operators.complexity import nesting_depth
-from siltscope.sources.files import pack_chunks
+from siltscope.sources import files as sfiles
+from siltscope.sources import scanners
 
 BLANKS = " \t\r\n\f\x0b"
 
@@ -196,16 +197,85 @@ def test_nearest_names(spark):
     assert [(r["name"], r["nearest"], r["distance"]) for r in got] == [(long, long[:-1] + "c", 1)]
 
 
-def test_chunks_keep_every_line_and_the_budget():
+def naive_cuts(code, limit):
+    """First lines of all chunks, by trying every line in turn."""
+    lines = code.split("\n")
+    if len(code) <= limit:
+        return [0]
+    ws = " \t\x0b\f\r"
+    gaps = set()
+    for i, line in enumerate(lines):
+        after = [x for x in lines[i + 1 :] if x.strip(ws)]
+        if i and not line.strip(ws) and after and after[0][0] not in ws:
+            gaps.add(i)
+    firsts = [0]
+    while True:
+        a = firsts[-1]
+        over = [i for i in range(a + 1, len(lines)) if len("\n".join(lines[a : i + 1])) > limit]
+        if not over:
+            return firsts
+        inside = [g for g in gaps if a < g < over[0]]
+        firsts.append(max(inside) if inside else over[0])
+
+
+def test_chunks_against_trying_every_line(spark):
     rnd = random.Random(8)
-    for _ in range(200):
-        code = "\n".join(rnd.choice(["", "x = 1", "    y", "def f():", "z" * rnd.randint(1, 60)]) for _ in range(rnd.randint(1, 80)))
-        parts = pack_chunks(code, 20)
-        back = [ln.split(" | ", 1)[1] for _, _, t in parts for ln in t.split("\n")]
-        assert back == code.split("\n")
-        assert [a for a, _, _ in parts] == [1] + [b + 1 for _, b, _ in parts][:-1]
-        for a, b, _ in parts:
-            assert b == a or len("\n".join(code.split("\n")[a - 1 : b])) <= 80
+    parts = ["", "", " ", "\t\r", "x = 1", "    y", "def f():", "\ré", "中文😀"]
+    texts = ["", "\n", "\n\n\n" + "z" * 90, "z" * 90 + "\n\n", " \n" * 200, "a" * 81, None]
+    texts += ["\n".join(rnd.choice([*parts, "z" * rnd.randint(1, 100)]) for _ in range(rnd.randint(1, 80))) for _ in range(300)]
+    texts.append("\n".join(f"line {i}" if i % 7 else "" for i in range(12000)))
+    df = spark.createDataFrame([("r", str(i), t, i) for i, t in enumerate(texts)], "repo_id string, path string, content string, chunk int")
+    got = defaultdict(list)
+    for r in sfiles.chunk_files(df, 20).collect():
+        got[int(r["path"])].append((r["chunk"], r["start_line"], r["end_line"], r["text"]))
+    assert set(got) == {i for i, t in enumerate(texts) if t is not None}
+    for i, chunks in got.items():
+        lines = texts[i].split("\n")
+        firsts = naive_cuts(texts[i], 80) if i < len(texts) - 1 else [s - 1 for _, s, _, _ in sorted(chunks)]
+        want = []
+        for n, (a, z) in enumerate(zip(firsts, [*firsts[1:], len(lines)])):
+            want.append((n, a + 1, z, "\n".join(f"{j + 1:>4} | {lines[j]}" for j in range(a, z))))
+        assert sorted(chunks) == want
+
+
+def naive_object(raw):
+    at = raw.find("{")
+    depth, quoted, i = 0, False, at
+    while 0 <= i < len(raw):
+        if raw[i] == "\\":
+            i += 1
+        elif raw[i] == '"':
+            quoted = not quoted
+        elif not quoted and raw[i] in "{}":
+            depth += 1 if raw[i] == "{" else -1
+            if depth == 0:
+                return raw[at : i + 1]
+        i += 1
+    return None
+
+
+def test_first_object_against_a_character_loop(spark):
+    rnd = random.Random(12)
+    texts = ["", "{", "}{}", 'say {"a": "}"} then', '{"a\\"}"}', "{\\", "no", "x" * 300_000 + '{"k": [' + '{"v": "}"},' * 20_000 + "{}]} tail {"]
+    texts += ["".join(rnd.choice(['{', '}', '"', "\\", "a", "é😀", "\n"]) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r["i"]: r["o"] for r in df.select("i", scanners.first_object(F.col("t")).alias("o")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: naive_object(t) for i, t in enumerate(texts)}
+
+
+def test_many_matches_and_long_try_blocks_of_one_file(spark):
+    """200,000 matches or guarded lines in one file are placed in time linear in them."""
+    from siltscope.operators import matching
+
+    n = 200_000
+    text = "\x01\n" + "try {\n" + "  go(x); go(y);\n" * n + "}\nlast go(z)"
+    df = spark.createDataFrame([("r", "a.ts", text)], "repo_id string, path string, content string")
+    hits = df.select(F.explode(matching.match_starts(F.col("content"), r"go\(\w\)")).alias("h")).select("h.line", "h.detail")
+    s = hits.agg(F.count("*").alias("c"), F.sum("line").alias("s"), F.max("line").alias("m"), F.min("line").alias("l")).first()
+    assert (s["c"], s["s"], s["m"], s["l"]) == (2 * n + 1, 2 * sum(range(3, n + 3)) + n + 4, n + 4, 3)
+    g = matching.in_try_block(df).agg(F.count("*").alias("c"), F.min("line").alias("l"), F.max("line").alias("m")).first()
+    assert (g["c"], g["l"], g["m"]) == (n + 1, 3, n + 3)
 
 
 def test_ordered_helpers_on_a_hot_key(spark):
