@@ -42,13 +42,25 @@ BANDS = 6
 
 
 def packed(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+    """Compressed with the numbers' first bytes together, then their second ones, and so on: high bytes are mostly alike."""
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, kind: type, n: int) -> np.ndarray:
     if not n:
         return np.empty(0, kind)
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def packed_words(words: np.ndarray) -> bytes:
+    """Sorted hashes as their number and their differences."""
+    return len(words).to_bytes(4, "little") + packed(np.diff(words, prepend=U(0)))
+
+
+def unpacked_words(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw[4:], U, int.from_bytes(raw[:4], "little")), dtype=U)
 
 
 CHUNKS = "chunk long, words binary, train binary, ids binary, held binary, sizes binary, tokens binary"
@@ -70,7 +82,7 @@ def encoded(t: DataFrame) -> DataFrame:
             tokens = np.concatenate([to[a + p[1]] for a, p in zip(shift, parts)]).astype(np.int32)
             ids, held, sizes = (np.concatenate([p[i] for p in parts]) for i in (2, 3, 4))
             train = np.bincount(tokens[np.repeat(held & 1 == 0, sizes)], minlength=len(words))
-            row = (chunk, words.tobytes(), packed(train), ids.tobytes(), held.tobytes(), sizes.astype(np.int32).tobytes(), packed(tokens))
+            row = (chunk, packed_words(words), packed(train), ids.tobytes(), held.tobytes(), sizes.astype(np.int32).tobytes(), packed(tokens))
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], [c.split()[0] for c in CHUNKS.split(", ")])
 
         for b in slices(batches):
@@ -102,16 +114,16 @@ def counted(chunks: DataFrame, n_groups: int, vocabulary: int) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, words, train in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "train"))):
-                words = np.frombuffer(words, U)
+                words = unpacked_words(words)
                 train = unpacked(train, np.int64, len(words))
-                rows = [(p, chunk, words[i].tobytes(), packed(train[i])) for p, i in deal(words, n_groups)]
+                rows = [(p, chunk, packed_words(words[i]), packed(train[i])) for p, i in deal(words, n_groups)]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["p", "chunk", "words", "train"])
 
     def total(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
         chunks_ = table.column("chunk").to_pylist()
-        words = [np.frombuffer(x, U) for x in table.column("words").to_pylist()]
+        words = [unpacked_words(x) for x in table.column("words").to_pylist()]
         train = [unpacked(x, np.int64, len(w)) for x, w in zip(table.column("train").to_pylist(), words)]
         all_, to = np.unique(np.concatenate(words), return_inverse=True)
         count = np.bincount(to, np.concatenate(train).astype(np.float64), minlength=len(all_)).astype(np.int64)
@@ -156,7 +168,7 @@ def resolved(chunks: DataFrame, counts: DataFrame, top: np.ndarray, where: np.nd
     def join(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         base = next(r for r in rows if r["words"] is not None)
-        words = np.frombuffer(base["words"], U)
+        words = unpacked_words(base["words"])
         got = {r["p"]: r["counts"] for r in rows if r["counts"] is not None}
         n_groups = table.column("groups")[0].as_py()
         count = np.zeros(len(words), np.int64)
@@ -286,7 +298,7 @@ class Classes:
 
     def words(self, r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, whether in the vocabulary, classes."""
-        words = np.frombuffer(r["words"], U)
+        words = unpacked_words(r["words"])
         cls = self.of[unpacked(r["units"], np.int16, len(words))]
         me = is_member(words, unpacked(r["counts"], np.int64, len(words)), self.floor)
         start = me & (cls >= self.k)
@@ -336,7 +348,7 @@ def beside(chunks: DataFrame, classes: Classes, n_groups: int) -> DataFrame:
                     place[i - i[0]] = np.arange(len(i))
                     x, z = np.searchsorted(cells, [i[0] * width, (i[-1] + 1) * width])
                     local = place[cells[x:z] // width - i[0]] * width + cells[x:z] % width
-                    rows.append((p, r["chunk"], words[i].tobytes(), packed(cls[i].astype(np.int16)), packed(np.diff(local, prepend=0)), packed(n[x:z].astype(np.int32)), z - x))
+                    rows.append((p, r["chunk"], packed_words(words[i]), packed(cls[i].astype(np.int16)), packed(np.diff(local, prepend=0)), packed(n[x:z].astype(np.int32)), z - x))
                 if rows:
                     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], [*(x.split()[0] for x in BESIDE.split(", ")), "n"])
@@ -351,7 +363,7 @@ def moved(near: DataFrame, a: np.ndarray, k: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         got = {x: table.column(x).to_pylist() for x in table.column_names}
-        words = [np.frombuffer(x, U) for x in got["words"]]
+        words = [unpacked_words(x) for x in got["words"]]
         all_, to = np.unique(np.concatenate(words), return_inverse=True)
         cuts = np.cumsum([0, *(len(w) for w in words)])
         total = np.zeros(len(all_) * width)
