@@ -29,6 +29,8 @@ REASONS = {
     "no-content": ("complexity", None, None, None),
 }
 EFFORT_RANK = {"trivial": 0, "small": 1, "medium": 2, "large": 3}
+#: what names a changed file
+CHANGE = ("pr_id", "path", "kind")
 
 
 def _lookup(pos: int) -> Column:
@@ -39,15 +41,13 @@ def _lookup(pos: int) -> Column:
 def pr_reasons(changes: DataFrame) -> DataFrame:
     """One row per reason a changed file gains or loses points.
 
-    changes(pr_id, path, kind, content, previous_content, lines_added, lines_removed).
+    changes(pr_id, path, kind, content, previous_content, lines_added, lines_removed).  Reasons come out of the row of
+    their change: nothing is joined back, and a path listed twice has the reasons of each of its rows once.
     """
     c = F.coalesce("content", F.lit(""))
-    keys = ["pr_id", "path", "kind"]
-    scanned = changes.filter((F.col("kind") != "removed") & (c != "")).select(F.col("pr_id").alias("repo_id"), "path", "kind", "content")
-    f = ai_pattern_scan(scanned.select("repo_id", "path", "content"))
+    f = ai_pattern_scan(changes.filter((F.col("kind") != "removed") & (c != "")), CHANGE)
     loss = nm.severity_weight("severity", "impact", 0.5) * F.col("occurrences")
-    found = f.select(F.col("repo_id").alias("pr_id"), "path", F.col("rule").alias("reason"), (-loss).alias("points"), loss.alias("vibe_points"))
-    found = found.join(changes.select(*keys), ["pr_id", "path"])
+    found = f.select(*CHANGE, F.col("rule").alias("reason"), (-loss).alias("points"), loss.alias("vibe_points"))
     n = tx.line_count("content")
     live = (F.col("kind") != "removed") & (c != "")
     removed_lines = F.coalesce("lines_removed", F.when(F.col("previous_content").isNotNull(), tx.line_count("previous_content")), F.lit(0))
@@ -59,17 +59,20 @@ def pr_reasons(changes: DataFrame) -> DataFrame:
         F.when(live & (n > 600), item("large-file", -F.least(F.lit(3.0), (n - 600) / 200))),
         F.when(live & c.rlike(r"async\s+function|async\s*\(") & ~c.rlike(r"try\s*\{|\.catch\("), item("async-unguarded", F.lit(-1.5))),
     ))
-    other = changes.select(*keys, F.explode(items).alias("i")).select("pr_id", "path", "i.reason", "i.points", F.lit(0.0).alias("vibe_points"), "kind")
-    return found.select("pr_id", "path", "reason", "points", "vibe_points", "kind").unionByName(other)
+    other = changes.select(*CHANGE, F.explode(items).alias("i")).select(*CHANGE, "i.reason", "i.points", F.lit(0.0).alias("vibe_points"))
+    return found.unionByName(other)
 
 
 def pr_file_impact(changes: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
-    """Points per changed file, clamped to [-15, 10] and rounded to one decimal."""
+    """Points per changed file (pr_id, path, kind), clamped to [-15, 10] and rounded to one decimal.
+
+    Changes without a reason come in as rows without one, so that one aggregation gives all files.
+    """
     r = pr_reasons(changes) if reasons is None else reasons
     # sums in ten-thousandths do not depend on the order of the rows
     total = lambda c: F.sum(nm.js_round(F.col(c) * 10000)) / 10000
-    agg = r.groupBy("pr_id", "path", "kind").agg(total("points").alias("_p"), total("vibe_points").alias("_v"), F.count("*").alias("n_reasons"))
-    out = changes.select("pr_id", "path", "kind").join(agg, ["pr_id", "path", "kind"], "left").na.fill(0)
+    bare = changes.select(*CHANGE, F.lit(None).cast("string").alias("reason"), F.lit(0.0).alias("points"), F.lit(0.0).alias("vibe_points"))
+    out = r.unionByName(bare).groupBy(*CHANGE).agg(total("points").alias("_p"), total("vibe_points").alias("_v"), F.count("reason").alias("n_reasons"))
     return out.select(
         "pr_id", "path", "kind", nm.js_round(nm.clamp("_p", -15.0, 10.0), 1).alias("score_delta"), nm.js_round("_v", 1).alias("vibe_contribution"), "n_reasons"
     )
@@ -104,7 +107,7 @@ def top_changes(file_impact: DataFrame, k: int | None = None) -> DataFrame:
 
 def impact_breakdown(file_impact: DataFrame, reasons: DataFrame) -> DataFrame:
     """Delta and files per category; a file's delta is divided evenly over its reasons."""
-    j = reasons.select("pr_id", "path", "reason").join(file_impact.filter("n_reasons > 0").select("pr_id", "path", "score_delta", "n_reasons"), ["pr_id", "path"])
+    j = reasons.select(*CHANGE, "reason").join(file_impact.filter("n_reasons > 0").select(*CHANGE, "score_delta", "n_reasons"), [*CHANGE])
     j = j.withColumn("category", _lookup(0)).withColumn("_s", nm.js_round(F.col("score_delta") / F.col("n_reasons") * 1000000))
     g = j.groupBy("pr_id", "category").agg((F.sum("_s") / 1000000).alias("_d"), F.countDistinct("path").alias("files"))
     return g.select("pr_id", "category", nm.js_round("_d", 1).alias("delta"), "files")
@@ -112,8 +115,8 @@ def impact_breakdown(file_impact: DataFrame, reasons: DataFrame) -> DataFrame:
 
 def fix_recommendations(file_impact: DataFrame, reasons: DataFrame) -> DataFrame:
     """Fixes for files that lose points: type, effort, points saved, rank by points over effort."""
-    bad = file_impact.filter((F.col("score_delta") < 0) & (F.col("kind") != "removed")).select("pr_id", "path", "score_delta")
-    j = reasons.select("pr_id", "path", "reason").join(bad, ["pr_id", "path"])
+    bad = file_impact.filter((F.col("score_delta") < 0) & (F.col("kind") != "removed")).select(*CHANGE, "score_delta")
+    j = reasons.select(*CHANGE, "reason").join(bad, [*CHANGE])
     j = j.withColumn("fix", _lookup(1)).filter(F.col("fix").isNotNull()).withColumn("effort", _lookup(2))
     saved = nm.js_round(F.abs(F.col("score_delta")) * _lookup(3), 1)
     rank = F.create_map(*[x for k, v in EFFORT_RANK.items() for x in (F.lit(k), F.lit(v))])[F.col("effort")]

@@ -319,19 +319,19 @@ def _changes(spark, sf):
         F.when(n % 4 == 0, (n % 50).cast("int")).alias("lines_added"), F.when(n % 12 == 0, (n % 30).cast("int")).alias("lines_removed")).drop("path0")
 
 
-_CHG = f"""chg AS (SELECT repo_id || '-' || CAST(n % 300 AS VARCHAR) AS pr_id, path, kind, CASE WHEN n % 17 = 0 THEN '' WHEN kind <> 'removed' THEN content END AS content, CASE WHEN kind = 'removed' THEN content END AS previous_content,
+_CHG = f"""chg AS (SELECT repo_id, repo_id || '-' || CAST(n % 300 AS VARCHAR) AS pr_id, path, kind, CASE WHEN n % 17 = 0 THEN '' WHEN kind <> 'removed' THEN content END AS content, CASE WHEN kind = 'removed' THEN content END AS previous_content,
   CASE WHEN n % 4 = 0 THEN n % 50 END AS lines_added, CASE WHEN n % 12 = 0 THEN n % 30 END AS lines_removed FROM (SELECT *, CASE WHEN n % 9 = 0 THEN 'removed' WHEN n % 2 = 0 THEN 'added' ELSE 'modified' END AS kind FROM (SELECT *, CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) AS n FROM code_files)))"""
 _PEN = "CASE h.severity WHEN 'critical' THEN 4.0 WHEN 'high' THEN 2.5 WHEN 'medium' THEN 1.0 WHEN 'low' THEN 0.25 ELSE 0.5 END * h.n"
 _LC = "len(string_split(content, chr(10)))"
 _REASONS = f"""{dt.CODE_LINES}, {_AI}, {_CHG}, live AS (SELECT * FROM chg WHERE kind <> 'removed' AND coalesce(content, '') <> ''),
-rs AS (SELECT l.pr_id, l.path, l.kind, h.rule AS reason, -CAST({_PEN} AS DOUBLE) AS points, CAST({_PEN} AS DOUBLE) AS vp FROM ai JOIN live l ON l.path = ai.path AND starts_with(l.pr_id, ai.repo_id || '-')
+rs AS (SELECT l.pr_id, l.path, l.kind, h.rule AS reason, -CAST({_PEN} AS DOUBLE) AS points, CAST({_PEN} AS DOUBLE) AS vp FROM ai JOIN live l ON l.path = ai.path AND l.repo_id = ai.repo_id
   UNION ALL SELECT pr_id, path, kind, 'removed', least(2.0, 0.2 * log2(1 + coalesce(lines_removed, len(string_split(previous_content, chr(10))), 0))), 0 FROM chg WHERE kind = 'removed'
   UNION ALL SELECT pr_id, path, kind, 'no-content', 0, 0 FROM chg WHERE kind <> 'removed' AND coalesce(content, '') = ''
   UNION ALL SELECT pr_id, path, kind, 'test-file', least(3.0, {_LC} * 0.05), 0 FROM live WHERE regexp_matches(path, '\\.(?:test|spec)\\.[jt]sx?$')
   UNION ALL SELECT pr_id, path, kind, 'large-file', -least(3.0, ({_LC} - 600) / 200), 0 FROM live WHERE {_LC} > 600
   UNION ALL SELECT pr_id, path, kind, 'async-unguarded', -1.5, 0 FROM live WHERE regexp_matches(content, 'async\\s+function|async\\s*\\(') AND NOT regexp_matches(content, 'try\\s*\\{{|\\.catch\\(')),
 fi AS (SELECT c.pr_id, c.path, c.kind, floor(greatest(-15.0, least(10.0, coalesce(sum(floor(points * 10000 + 0.5)) / 10000, 0))) * 10 + 0.5) / 10 AS score_delta, floor(coalesce(sum(floor(vp * 10000 + 0.5)) / 10000, 0) * 10 + 0.5) / 10 AS vibe_contribution, count(reason) AS n_reasons
-  FROM chg c LEFT JOIN rs ON rs.pr_id = c.pr_id AND rs.path = c.path AND rs.kind = c.kind GROUP BY 1, 2, 3)"""
+  FROM (SELECT DISTINCT pr_id, path, kind FROM chg) c LEFT JOIN rs ON rs.pr_id = c.pr_id AND rs.path = c.path AND rs.kind = c.kind GROUP BY 1, 2, 3)"""
 
 
 @query("a25_pr_file_impact", f"WITH {_REASONS} SELECT * FROM fi")
@@ -361,7 +361,7 @@ _EFF = "CASE reason " + " ".join(f"WHEN {lit(k)} THEN {lit(v[2])}" for k, v in i
 _MUL = "CASE reason " + " ".join(f"WHEN {lit(k)} THEN {v[3]}::DOUBLE" for k, v in im.REASONS.items() if v[3]) + " END"
 
 
-@query("a27_impact_breakdown", f"""WITH {_REASONS}, b AS (SELECT rs.pr_id, {_CAT} AS category, sum(floor(score_delta / n_reasons * 1000000 + 0.5)) / 1000000 AS d, count(DISTINCT rs.path) AS files FROM rs JOIN fi ON fi.pr_id = rs.pr_id AND fi.path = rs.path WHERE n_reasons > 0 GROUP BY 1, 2)
+@query("a27_impact_breakdown", f"""WITH {_REASONS}, b AS (SELECT rs.pr_id, {_CAT} AS category, sum(floor(score_delta / n_reasons * 1000000 + 0.5)) / 1000000 AS d, count(DISTINCT rs.path) AS files FROM rs JOIN fi ON fi.pr_id = rs.pr_id AND fi.path = rs.path AND fi.kind = rs.kind WHERE n_reasons > 0 GROUP BY 1, 2)
 SELECT pr_id, category, floor(d * 10 + 0.5) / 10 AS delta, files FROM b""")
 def a27(spark, sf):
     c = _changes(spark, sf)
@@ -369,7 +369,7 @@ def a27(spark, sf):
     return im.impact_breakdown(im.pr_file_impact(c, r), r)
 
 
-_RECS = f"""rec AS (SELECT rs.pr_id, rs.path, reason, {_FIX} AS fix, {_EFF} AS effort, floor(abs(score_delta) * {_MUL} * 10 + 0.5) / 10 AS points_saved FROM rs JOIN fi ON fi.pr_id = rs.pr_id AND fi.path = rs.path WHERE score_delta < 0 AND fi.kind <> 'removed' AND {_FIX} IS NOT NULL),
+_RECS = f"""rec AS (SELECT rs.pr_id, rs.path, reason, {_FIX} AS fix, {_EFF} AS effort, floor(abs(score_delta) * {_MUL} * 10 + 0.5) / 10 AS points_saved FROM rs JOIN fi ON fi.pr_id = rs.pr_id AND fi.path = rs.path AND fi.kind = rs.kind WHERE score_delta < 0 AND fi.kind <> 'removed' AND {_FIX} IS NOT NULL),
 rv AS (SELECT *, points_saved / (CASE effort WHEN 'trivial' THEN 0 WHEN 'small' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END + 1) AS value FROM rec)"""
 
 

@@ -96,6 +96,23 @@ def test_pr_impact(spark):
     assert out["p"]["predicted_score"] == 45 and out["none"]["total_delta"] == 0 and out["none"]["vibe_direction"] == "insufficient-data"
 
 
+def test_pr_impact_of_a_path_listed_twice(spark):
+    """Each row's reasons count once: under another kind as a file of its own, under the same kind added up."""
+    bad = "async function f() { eval(x); }"
+    ch = spark.createDataFrame(
+        [("p", "a.ts", "removed", None, "x", None, None), ("p", "a.ts", "added", bad, None, None, None), ("p", "b.ts", "modified", bad, None, None, None), ("p", "b.ts", "modified", "eval(y)", None, None, None), ("p", "c.ts", "added", "ok", None, 1, 0)],
+        "pr_id string, path string, kind string, content string, previous_content string, lines_added int, lines_removed int")
+    r = im.pr_reasons(ch)
+    f = im.pr_file_impact(ch, r)
+    got = {(x["path"], x["kind"]): (x["score_delta"], x["n_reasons"]) for x in f.collect()}
+    assert f.count() == 4
+    assert got == {("a.ts", "removed"): (0.2, 1), ("a.ts", "added"): (-8.0, 3), ("b.ts", "modified"): (-12.0, 4), ("c.ts", "added"): (0.0, 0)}
+    fixes = sorted((x["path"], x["reason"], x["points_saved"]) for x in im.fix_recommendations(f, r).collect())
+    assert fixes == [("a.ts", "async-unguarded", 5.6), ("a.ts", "missing-error-boundary", 5.6), ("a.ts", "security-naivety", 6.8),
+                     ("b.ts", "async-unguarded", 8.4), ("b.ts", "missing-error-boundary", 8.4), ("b.ts", "security-naivety", 10.2), ("b.ts", "security-naivety", 10.2)]
+    assert {x["category"]: x["delta"] for x in im.impact_breakdown(f, r).collect()}["code-removal"] == 0.2
+
+
 def test_path_helpers(spark):
     df = spark.createDataFrame([("src/a.b/c.test.ts",), ("README",), ("x/.env",)], "p string")
     got = [tuple(r) for r in df.select(tx.base_name("p"), tx.extension("p"), tx.directory("p"), tx.stem("p")).collect()]
