@@ -90,7 +90,8 @@ def copy_paste(files: DataFrame, triple_limit: int = 20) -> DataFrame:
     they share a triple of them, and the first partner only needs the two smallest paths per triple,
     which a partial aggregation yields however many files own it.  Equal signature sets are reduced to
     one representative first, and signatures only one set has are dropped.  The few sets with more
-    than ``triple_limit`` shared signatures are compared by counting common signatures instead.
+    than ``triple_limit`` shared signatures are compared by counting common signatures instead.  Triples
+    are named by two 64-bit hashes.
     """
     base = signatures(files).withColumn("set_id", F.sha2(F.to_json("sigs"), 256))
     sets = base.groupBy("repo_id", "set_id").agg(F.min("path").alias("first"), F.first("sigs").alias("sigs"), F.count("*").alias("copies"))
@@ -106,7 +107,7 @@ def copy_paste(files: DataFrame, triple_limit: int = 20) -> DataFrame:
 
     s = F.col("sigs")
     triples = F.flatten(F.transform(s, lambda a, i: F.flatten(F.transform(
-        F.slice(s, i + 2, F.size(s)), lambda b, j: F.transform(F.slice(s, i + j + 3, F.size(s)), lambda c: F.xxhash64(a, b, c))))))
+        F.slice(s, i + 2, F.size(s)), lambda b, j: F.transform(F.slice(s, i + j + 3, F.size(s)), lambda c: F.struct(F.xxhash64(a, b, c), F.xxhash64(F.lit(1), a, b, c)))))))
     t = small.select("repo_id", "set_id", "first", "sigs", F.explode(triples).alias("triple"))
     keyed = t.select("repo_id", "set_id", "first", "triple")
     lo = keyed.groupBy("repo_id", "triple").agg(F.min("first").alias("lo"), F.max("first").alias("mx")).filter("lo < mx")
