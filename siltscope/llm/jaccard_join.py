@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltscope.llm.common import documents, saved, slices, texts
 from siltscope.llm.components import components
@@ -189,12 +190,10 @@ def token_sets(t: DataFrame, sets: DataFrame, k: int) -> DataFrame:
             same = (k1 == b.column("k1").to_numpy()) & (k2 == b.column("k2").to_numpy())
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-            bits = parity(doc, h, len(n))
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH, dtype=np.int32)), pa.array(bits.reshape(-1)))
-            out = pa.RecordBatch.from_arrays([b.column("sid"), pa.array(n.astype(np.int32)), tokens, sketch], ["sid", "n", "tokens", "bits"])
+            out = pa.RecordBatch.from_arrays([b.column("sid"), pa.array(n.astype(np.int32)), tokens], ["sid", "n", "tokens"])
             yield out.filter(pa.array(same))
 
-    return j.select("sid", "text", "k1", "k2").mapInArrow(make, "sid long, n int, tokens array<long>, bits array<long>")
+    return j.select("sid", "text", "k1", "k2").mapInArrow(make, "sid long, n int, tokens array<long>")
 
 
 def parity(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
@@ -211,10 +210,32 @@ def fits(n_a: Column, s_a: Column, n_b: Column, s_b: Column) -> Column:
     return 100 * most >= PERCENT * (n_a + n_b - most)
 
 
+def apart(a: str, b: str) -> Column:
+    """Tokens in which two sets differ, at least: those that no other set has, and the bits in which the sketches of the others differ."""
+    own = F.col(f"{a}.n") - F.col(f"{a}.s") + F.col(f"{b}.n") - F.col(f"{b}.s")
+    return sum((F.bit_count(F.get(f"{a}.bits", i).bitwiseXOR(F.get(f"{b}.bits", i))) for i in range(SKETCH)), own)
+
+
 def near(a: str, b: str) -> Column:
-    """The parity sketches allow a link: linked sets differ in at most (100 - PERCENT) / (100 + PERCENT) of their summed sizes."""
-    apart = sum((F.bit_count(F.get(f"{a}.bits", i).bitwiseXOR(F.get(f"{b}.bits", i))) for i in range(SKETCH)), F.lit(0))
-    return apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    """``apart`` allows a link: linked sets differ in at most (100 - PERCENT) / (100 + PERCENT) of their summed sizes."""
+    return apart(a, b) * (100 + PERCENT) <= (100 - PERCENT) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def sketched(active: DataFrame) -> DataFrame:
+    """``active`` with ``bits``, the parity sketch of its column ``all_shared``, which goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("all_shared")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens = pc.list_flatten(lists).to_numpy(zero_copy_only=False).view(U)
+            bits = parity(np.repeat(np.arange(len(n)), n), tokens, len(n))
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, SKETCH, dtype=np.int32)), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], sketch], [*kept, "bits"])
+
+    kept = [c for c in active.columns if c != "all_shared"]
+    schema = T.StructType([*active.select(*kept).schema.fields, T.StructField("bits", T.ArrayType(T.LongType()))])
+    return active.select(*kept, "all_shared").mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,36 +272,45 @@ def boundary(active: DataFrame) -> int:
     return min(cost, key=lambda b: (cost[b], -b))
 
 
+def salted(j: int):
+    # a function of one argument: a second one would be the place in the array
+    return lambda x: F.xxhash64(x["token"], F.lit(j))
+
+
 def rarest(sets: DataFrame) -> DataFrame:
-    """Sets that share enough tokens for a partner: sid, n, s (shared tokens), bits, one (rarest tokens), one_df, mins, small (tokens)."""
+    """Sets that share enough tokens for a partner: sid, n, s (shared tokens), bits, rank, one (rarest tokens), one_df, mins, small (tokens).
+
+    ``rank`` is least for sets whose tokens most other sets have: the middle of a group of near copies.
+    """
     tok = sets.select("sid", "n", F.explode("tokens").alias("token"))
     df = tok.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     by_set = tok.join(df, "token").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     need = F.floor((F.col("n") * PERCENT + 99) / 100).cast("int")
     a = by_set.withColumn("s", F.size("shared")).filter(F.col("s") >= need)
     room = F.col("n") - need - (F.col("n") - F.col("s")) + 1  # of the n - need + 1 rarest, those that no other set has come first
-    mins = [F.array_min(F.transform("shared", lambda x, j=j: F.xxhash64(x["token"], F.lit(j)))) for j in range(HASHES * ROUNDS)]
+    mins = [F.array_min(F.transform("shared", salted(j))) for j in range(HASHES * ROUNDS)]
+    weight = F.aggregate("shared", F.lit(0.0), lambda x, y: x + F.log2(y["df"].cast("double")))
     a = a.select(
-        "sid", "n", "s",
+        "sid", "n", "s", (-weight / F.col("n")).alias("rank"),
+        F.transform("shared", lambda x: x["token"]).alias("all_shared"),
         F.transform(F.slice("shared", F.lit(1), room), lambda x: x["token"]).alias("one"),
         F.transform(F.slice("shared", F.lit(1), room), lambda x: x["df"]).alias("one_df"),
         F.array(*mins).alias("mins"),
         F.when(F.col("n") <= SMALL, F.sort_array(F.transform("shared", lambda x: x["token"]))).alias("small"),
     )
-    return a.join(sets.select("sid", "bits"), "sid")
+    return sketched(a)
 
 
 def hub_links(active: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Verified links (a: hub, b): at most one for each set, to the hub of one of its min-hashes of this turn that is not ``joined`` with it."""
-    m = active.select("sid", "n", "s", "bits", "joined", F.posexplode(F.slice("mins", turn * HASHES + 1, HASHES)).alias("j", "h"))
-    of = F.struct((F.col("n") - F.col("s")).alias("own"), "sid", "n", "s", "joined", "bits")
-    hub = m.groupBy("j", "h").agg(F.min(of).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    h = F.col("hub")
-    best = m.join(hub, ["j", "h"]).filter(h["joined"] != F.col("joined")).filter(fits(F.col("n"), F.col("s"), h["n"], h["s"]))
-    best = best.select("sid", "n", "bits", "hub").alias("x").select("x.*", F.col("x.hub.n").alias("hn"), F.col("x.hub.bits").alias("hbits"))
-    apart = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("hbits", i))) for i in range(SKETCH)), F.lit(0))
-    best = best.filter(apart * (100 + PERCENT) <= (100 - PERCENT) * (F.col("n") + F.col("hn"))).groupBy("sid").agg(F.min("hub").alias("hub"))
-    return verified(best.select(F.col("hub.sid").alias("a"), F.col("sid").alias("b")), sets)
+    """Verified links (a: hub, b): at most one for each set, to the nearest hub of its min-hashes of this turn that is not ``joined`` with it."""
+    m = active.select("sid", "n", "s", "bits", "joined", "rank", F.posexplode(F.slice("mins", turn * HASHES + 1, HASHES)).alias("j", "h"))
+    of = F.struct("rank", "sid", "n", "s", "joined", "bits")
+    hub = m.groupBy("j", "h").agg(F.min(of).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("j", "h", "hub.*")
+    x, y = m.alias("x"), hub.alias("y")
+    met = x.join(y, (F.col("x.j") == F.col("y.j")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.joined") != F.col("y.joined")))
+    met = met.filter(fits(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")) & near("x", "y"))
+    best = met.groupBy(F.col("x.sid").alias("b")).agg(F.min(F.struct(apart("x", "y").alias("apart"), F.col("y.sid").alias("sid"))).alias("hub"))
+    return verified(best.select(F.col("hub.sid").alias("a"), "b"), sets)
 
 
 def subset_keys(active: DataFrame, limit: int) -> DataFrame:
