@@ -523,3 +523,44 @@ def test_substring_dedup_on_odd_input(odd, empty):
 
 def test_ten_operators_are_registered():
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_jaccard_join_leaves_few_candidates_of_one_large_group(docs, monkeypatch):
+    """Copies of one text, each with one or two words changed: hubs join them, so pairs do not grow with the group's square."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+
+    def copy(i):
+        words_ = list(base)
+        for at in rng.sample(range(len(base)), 1 + i % 2):
+            words_[at] = f"c{i}at{at}"
+        return " ".join(words_)
+
+    n = 800
+    counted, light_heavy = [], jaccard_join.light_heavy
+
+    def counting(active, limit):
+        pairs = light_heavy(active, limit)
+        counted.append((active.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "light_heavy", counting)
+    got = jaccard_join.jaccard_join(docs(*[(i, copy(i)) for i in range(n)])).collect()
+    assert len(got) == n and {r.component_id for r in got} == {0}
+    assert counted[0][0] == n and counted[0][1] <= n
+
+
+def test_jaccard_join_min_hashes_have_salts_of_their_own(spark):
+    """A min-hash depends on the token and its salt, not on the token's place in a set's order."""
+    rows = [(0, 3, [5, 6, 7]), (1, 4, [5, 6, 7, 8]), (2, 3, [8, 9, 5]), (3, 3, [9, 5, 6])]
+    sets = spark.createDataFrame(rows, "sid long, n int, tokens array<long>")
+    got = {r.sid: r.mins for r in jaccard_join.rarest(sets).collect()}
+    df = collections.Counter(t for _, _, ts in rows for t in ts)
+    tok = sets.select("sid", F.explode("tokens").alias("t"))
+    for j in range(jaccard_join.HASHES * jaccard_join.ROUNDS):
+        least = {}
+        for r in tok.select("sid", "t", F.xxhash64("t", F.lit(j)).alias("h")).collect():
+            if df[r.t] > 1:
+                least[r.sid] = min(least.get(r.sid, r.h), r.h)
+        assert {s: m[j] for s, m in got.items()} == {s: least[s] for s in got}
+    assert len(set(got[1])) > 1
