@@ -4,12 +4,12 @@
    tokens of those prefixes are dealt out once, as arrays; a set with too few prefix tokens in other sets has no partner.
    Equal sets are one set from here on.
 2. *Order.* The sets left are put in order of rarity. A partner shares 80 % of a set, so sets with fewer shared tokens go.
-3. *Hubs.* Sets with an equal min-hash point to the one with the fewest tokens of its own. Verified at once, these few
-   links join most near copies, one link a set and round.
+3. *Hubs.* Sets with an equal min-hash point to the one whose tokens most other sets have, the middle of a group of near
+   copies. Each set's nearest hub is verified at once; these few links join most near copies, one link a set and round.
 4. *Light.* Small sets enumerate their subsets of each fixed size that a partner must share, and meet by equality. *Heavy*: large sets
    would enumerate too many, and scan the inverted lists of their rarest tokens. The boundary is where the summed cost of
    both is least. Pairs that hubs have joined already are not candidates, nor are pairs that sizes, shared tokens, the place of the
-   token or a parity sketch rule out; none of these tests can lose a link. Candidates are verified on the sets.
+   token or a parity sketch (of the tokens that other sets have) rule out; none of these tests can lose a link. Candidates are verified on the sets.
 5. *Components* of the verified links.
 """
 
