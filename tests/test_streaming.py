@@ -171,3 +171,29 @@ def test_daily_trend_equals_the_batch_operator(spark, sf):
     rows = got.collect()
     assert len(rows) > 10
     assert all(want[r["org_id"], r["day"]] == (r["avg_score"], r["median_score"], r["scans"]) for r in rows)
+
+
+def test_rows_of_one_path_are_all_scanned_when_repeats_are_kept(spark, tmp_path):
+    src, ddl = str(tmp_path / "in"), "repo_id string, path string, content string"
+    _land(spark, src, [("r", "a", "bad"), ("r", "a", "bad"), ("r", "a", "fine\nbad"), (None, "b", "bad"), ("r", None, "bad"), ("r", None, None)], ddl)
+    q, _, found = _watch(spark, tmp_path, _bad_lines, keep_repeats=True)
+    q.awaitTermination()
+    assert q.exception() is None
+    want = [(None, "b", 1), ("r", None, 1), ("r", "a", 1), ("r", "a", 1), ("r", "a", 2)]
+    assert sorted((tuple(r) for r in found.read().select("repo_id", "path", "line").collect()), key=repr) == sorted(want, key=repr)
+    # the same rows again are no change; one more copy is
+    _land(spark, src, [("r", "a", "fine\nbad"), ("r", "a", "bad"), ("r", "a", "bad"), (None, "b", "bad"), (None, "b", "bad")], ddl)
+    q, _, found = _watch(spark, tmp_path, _bad_lines, keep_repeats=True)
+    q.awaitTermination()
+    want.append((None, "b", 1))
+    assert sorted((tuple(r) for r in found.read().select("repo_id", "path", "line").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_watch_query_scans_every_row_of_a_repeated_document(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    d = spark.createDataFrame([(1, "contact a@b.org", "en", "s"), (1, "contact a@b.org", "en", "s"), (1, "#####", "en", "s"), (2, "license", "en", None), (3, "license", None, "s")], "doc_id long, text string, lang string, source string")
+    d.coalesce(1).toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = sorted((tuple(r) for r in entry.queries()["st5_watch_and_scan"](spark, str(tmp_path)).select("repo_id", "path", "rule").collect()), key=repr)
+    want = [("s", "en/1", "contact-mail"), ("s", "en/1", "contact-mail"), ("s", "en/1", "junk-run"), (None, "en/2", "license-line"), ("s", None, "license-line")]
+    assert got == sorted(want, key=repr)
