@@ -43,18 +43,18 @@ def _needle_filter(rules: Sequence[Rule], text: Column) -> Column | None:
     return tx.has(text, *needles)
 
 
-def match_lines(files: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
-    """Each rule against each line, one finding per (rule, line).
+def match_lines(files: DataFrame, rules: Sequence[Rule] | DataFrame, with_text: bool = False) -> DataFrame:
+    """Each rule against each line, one finding per (rule, line), ``with_text`` with the line as ``old_text``.
 
     The rule table is unrolled into one expression, so the text is never joined with the rules.
     Output: repo_id, path, line, rule, category, severity, confidence, detail, ordinal.
     """
     rules = _as_rules(rules)
-    parts = [_match_lines(files, rules[i : i + BATCH], i) for i in range(0, max(len(rules), 1), BATCH)]
+    parts = [_match_lines(files, rules[i : i + BATCH], i, with_text) for i in range(0, max(len(rules), 1), BATCH)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _match_lines(files: DataFrame, rules: Sequence[Rule], first: int) -> DataFrame:
+def _match_lines(files: DataFrame, rules: Sequence[Rule], first: int, with_text: bool = False) -> DataFrame:
     pre = _needle_filter(rules, F.col("content"))
     src = files if pre is None else files.filter(pre)
     ln = lines(src)
@@ -79,9 +79,10 @@ def _match_lines(files: DataFrame, rules: Sequence[Rule], first: int) -> DataFra
             for i, r in enumerate(rules)
         ]
     )
+    more = [F.col("text").alias("old_text")] if with_text else []
     return (
-        ln.select("repo_id", "path", "line", F.explode(F.array_compact(hits)).alias("h"))
-        .select("repo_id", "path", "line", "h.*")
+        ln.select("repo_id", "path", "line", F.explode(F.array_compact(hits)).alias("h"), *more)
+        .select("repo_id", "path", "line", "h.*", *(["old_text"] if with_text else []))
     )
 
 
@@ -126,11 +127,12 @@ def match_files(files: DataFrame, rules: Sequence[Rule], guarded: dict[str, Colu
 
     def hits(i: int, r: Rule) -> Column:
         facts = (F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(float(r.confidence)).alias("confidence"), F.lit(i).alias("ordinal"))
-        starts = match_starts(content, r.pattern)
+        starts = match_starts(content, r.start + r.pattern)
         if guarded and r.name in guarded:
             starts = _bind(starts, lambda ms: F.when(F.size(ms) > 0, _bind(guarded[r.name], lambda g: F.filter(ms, lambda m: ~F.array_contains(g, m["line"])))).otherwise(ms))
         found = F.transform(starts, lambda m: F.struct(*facts, m["line"].alias("line"), m["detail"].alias("detail")))
         tests = [tx.has(content, *r.needles)] if r.needles else []
+        tests += [tx.has(F.lower(content), *r.folded)] if r.folded else []
         tests += [tx.rx(content, p) for p in r.also]
         return F.when(reduce(Column.__and__, tests), found).otherwise(none) if tests else found
 

@@ -24,6 +24,8 @@ class Rule:
     ``unless_text``   literals that must not occur in the line
     ``last_tail``     what follows the last occurrence of ``pattern`` must not match this
     ``needles``       literals of which one must occur (cheap pre-test before any regex)
+    ``folded``        lower-case literals of which one must occur in the lower-cased text (the same for patterns without case)
+    ``start``         Java pattern of the places where a match can start, to be put before ``pattern``; leaves out none
     ``path_unless``   literals in the path that exempt the file
     """
 
@@ -37,6 +39,8 @@ class Rule:
     unless_text: tuple[str, ...] = ()
     last_tail: str | None = None
     needles: tuple[str, ...] = ()
+    folded: tuple[str, ...] = ()
+    start: str = ""
     path_unless: tuple[str, ...] = ()
     trimmed: bool = False
     message: str = ""
