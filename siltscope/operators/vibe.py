@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltscope.functions import numbers as nm
 from siltscope.functions import text as tx
 from siltscope.operators.emit import flag_any
+from siltscope.operators.matching import _bind
 
 REACT_IMPORT = tx.BL + r"""from\s+["']react["']|""" + tx.BL + r"""require\s*\(\s*["']react["']\s*\)|<\s*[A-Z][A-Za-z0-9]*"""
 WARNING = r"(?i)" + tx.word("(?:TODO|FIXME|HACK|TASK|FIX_NOW)")
@@ -54,29 +55,33 @@ def comment_counts(files: DataFrame) -> DataFrame:
         end = F.call_function("locate", F.lit("*/"), tail, F.lit(3))
         return tx.strip(F.when(start == 0, raw).when(end == 0, tail).otherwise(F.substring(tail, F.lit(1), end + 1)))
 
-    def step(acc, x):
-        raw = F.regexp_replace(x, "\r$", "")
-        line = tx.strip(raw)
+    def line_of(acc, raw, line):
         inside = acc["block"]
         line_comment = ~inside & line.startswith("//")
-        opens = ~inside & ~line_comment & line.startswith("/*")
+        opens = ~inside & line.startswith("/*")
         code = ~inside & ~line_comment & ~opens & (line != "")
         at = F.instr(raw, "/*")
         unclosed = (at > 0) & (F.call_function("locate", F.lit("*/"), raw, at + 2) == 0)
-        tail_comment = code & unclosed
-        note = F.when(inside | opens, portion(raw)).when(line_comment, line).when(tail_comment, tx.strip(F.substring(raw, at, F.length(raw))))
-        closed = raw.contains("*/")
-        block = F.when(inside, ~closed).when(opens, ~closed).when(code, unclosed).otherwise(F.lit(False))
+        note = F.when(inside | opens, portion(raw)).when(line_comment, line).when(code & unclosed, tx.strip(F.substring(raw, at, F.length(raw))))
+        block = F.when(inside | opens, ~raw.contains("*/")).when(code, unclosed).otherwise(F.lit(False))
         plain = F.regexp_replace(F.regexp_replace(raw, r"/\*.*?\*/", " "), "//.*$", "")
-        note_at = F.when((line != "") & note.isNotNull(), note)
-        return F.struct(
+        console = F.when(code & raw.contains("console."), tx.rx_count(plain, CONSOLE)).otherwise(0)
+        return _bind(F.when((line != "") & note.isNotNull(), note), lambda n: F.struct(
             block.alias("block"),
-            (acc["code"] + F.when(note_at.rlike(tx.java(COMMENTED_CODE)), 1).otherwise(0)).alias("code"),
-            (acc["warn"] + F.when(tx.rx(note_at, WARNING), 1).otherwise(0)).alias("warn"),
-            (acc["con"] + F.when(code & raw.contains("console."), tx.rx_count(plain, CONSOLE)).otherwise(0)).alias("con"),
-        )
-
-    r = F.aggregate(tx.split_lines("content"), zero, step)
+            (acc["code"] + F.when(n.rlike(tx.java(COMMENTED_CODE)), 1).otherwise(0)).alias("code"),
+            (acc["warn"] + F.when(tx.rx(n, WARNING), 1).otherwise(0)).alias("warn"),
+            (acc["con"] + console).alias("con"),
+        ))
+
+    def step(acc, raw):
+        # a line outside of comments that has none of these changes nothing
+        plain_line = ~acc["block"] & ~tx.has(raw, *marks)
+        return F.when(plain_line, acc).otherwise(_bind(tx.strip(raw), lambda line: line_of(acc, raw, line)))
+
+    marks = ("/*", "//", "console.")
+    # lambda bodies are evaluated as written, so what is used twice is bound once
+    raws = F.transform(tx.split_lines("content"), lambda x: F.when(x.contains("\r"), F.regexp_replace(x, "\r$", "")).otherwise(x))
+    r = F.when(tx.has("content", *marks), F.aggregate(raws, zero, step)).otherwise(F.when(F.col("content").isNotNull(), zero))
     return files.select("repo_id", "path", r.alias("r")).select(
         "repo_id", "path", F.col("r.code").alias("commented_code"), F.col("r.warn").alias("warning_comments"), F.col("r.con").alias("console_calls")
     )

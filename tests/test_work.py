@@ -29,6 +29,12 @@ def test_derived_files_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
     assert len(per_task) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in per_task) < n / 2
 
 
+def test_comment_walk_trims_a_line_once(spark, files):
+    c = vibe.comment_counts(files(("a.ts", "x = 1;\r\n/* const a = 1;\nTODO\r\n*/ console.log(1)\n// return a;\nconsole.log(2); /* open\nfoo();\n*/"), ("b.ts", "plain\n*/"), ("c.ts", None)))
+    assert sorted(map(tuple, c.collect()), key=repr) == [("r", "a.ts", 2, 1, 1), ("r", "b.ts", 0, 0, 0), ("r", "c.ts", None, None, None)]
+    assert _plan(c).count("\r$") <= 1
+
+
 def test_start_of_a_rule_leaves_no_match_out(spark, files):
     text = "\n".join((
         "const token = Math.random();", "Math.random() // key", "no word Math.random()", "key random.random() Math.random ( ) token", "a key Math.random(", ") key; Math.random() secret",
