@@ -29,6 +29,17 @@ def test_derived_files_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
     assert len(per_task) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in per_task) < n / 2
 
 
+def test_few_symbols_are_searched_before_words_are_taken(spark, files, monkeypatch):
+    f = files(("a.ts", "function go() {}\nago go\ngoing"), ("b.test.ts", "go(go)\nnothing"), ("c.ts", "none"))
+    sy = spark.createDataFrame([("go",), ("Nope",), (None,)], "symbol string")
+    few = gr.blast_radius(f, sy)
+    assert "Contains(content" in _plan(few)
+    got = sorted(map(tuple, few.collect()))
+    assert got == [("go", "r", "a.ts", 2, 1, False), ("go", "r", "b.test.ts", 1, 2, True)]
+    monkeypatch.setattr(gr, "FEW_SYMBOLS", 0)
+    assert sorted(map(tuple, gr.blast_radius(f, sy).collect())) == got
+
+
 def test_comment_walk_trims_a_line_once(spark, files):
     c = vibe.comment_counts(files(("a.ts", "x = 1;\r\n/* const a = 1;\nTODO\r\n*/ console.log(1)\n// return a;\nconsole.log(2); /* open\nfoo();\n*/"), ("b.ts", "plain\n*/"), ("c.ts", None)))
     assert sorted(map(tuple, c.collect()), key=repr) == [("r", "a.ts", 2, 1, 1), ("r", "b.ts", 0, 0, 0), ("r", "c.ts", None, None, None)]
