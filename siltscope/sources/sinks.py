@@ -65,15 +65,21 @@ def review_rows(findings: DataFrame) -> DataFrame:
 AUTO_FIXABLE = ("any-type-abuse", "debug-code", "TASK-comment", "hardcoded-secret")
 
 
-def propose_patches(findings: DataFrame, files: DataFrame) -> DataFrame:
+def propose_patches(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Old and new text of the cited line for the four fixable types.
 
-    Findings are reduced to the fixable ones and to one row per (path, line, type) before they meet
-    the contents, and only files they name are read.
+    Findings are reduced to the fixable ones and to one row per (path, line, type). Those that bring their line along (``old_text``, see
+    ``matching.match_lines``) need no files; others meet the contents in a merge join, as contents must never be broadcast, whatever
+    size the planner guesses for texts that are computed.
     """
-    f = findings.filter(F.col("rule").isin(*AUTO_FIXABLE) & (F.col("line") >= 1)).select("repo_id", "path", "line", "rule").distinct()
-    j = f.join(files.select("repo_id", "path", "content"), ["repo_id", "path"])
-    j = j.select("repo_id", "path", "line", "rule", F.get(tx.split_lines("content"), F.col("line") - 1).alias("old_text")).filter(F.col("old_text").isNotNull())
+    f = findings.filter(F.col("rule").isin(*AUTO_FIXABLE) & (F.col("line") >= 1))
+    if "old_text" in findings.columns:
+        j = f.select("repo_id", "path", "line", "rule", "old_text").distinct()
+    else:
+        f = f.select("repo_id", "path", "line", "rule").distinct()
+        j = f.join(files.select("repo_id", "path", "content").hint("merge"), ["repo_id", "path"])
+        j = j.select("repo_id", "path", "line", "rule", F.get(tx.split_lines("content"), F.col("line") - 1).alias("old_text"))
+    j = j.filter(F.col("old_text").isNotNull())
     old, indent = F.col("old_text"), F.regexp_extract("old_text", r"^(\s*)", 1)
     new = (
         F.when((F.col("rule") == "any-type-abuse") & old.contains(": any"), F.regexp_replace("old_text", tx.java(": any" + tx.BR), ": unknown"))

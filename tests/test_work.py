@@ -29,6 +29,21 @@ def test_derived_files_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
     assert len(per_task) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in per_task) < n / 2
 
 
+def test_patches_neither_join_nor_broadcast_contents(spark, sf):
+    rules = [Rule("debug-code", "low", r"console\.log", needles=("console.log",)), Rule("hardcoded-secret", "high", "AKIA", needles=("AKIA",))]
+    f = dt.code_files(spark, sf)
+    own = sinks.propose_patches(matching.match_lines(f, rules, with_text=True))
+    joined = sinks.propose_patches(matching.match_lines(f, rules), f)
+    assert "Join" not in _plan(own)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    cols = ["repo_id", "path", "line", "rule", "old_text", "new_text"]
+    got = sorted(map(tuple, own.select(*cols).collect()))
+    assert got and got == sorted(map(tuple, joined.select(*cols).collect()))
+    import __spark_entry__ as entry
+
+    assert "Join" not in _plan(entry.queries()["p38_propose_patches"](spark, sf))
+
+
 def test_few_symbols_are_searched_before_words_are_taken(spark, files, monkeypatch):
     f = files(("a.ts", "function go() {}\nago go\ngoing"), ("b.test.ts", "go(go)\nnothing"), ("c.ts", "none"))
     sy = spark.createDataFrame([("go",), ("Nope",), (None,)], "symbol string")
