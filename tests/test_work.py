@@ -73,3 +73,11 @@ def test_start_of_a_rule_leaves_no_match_out(spark, files):
     both = [f.select("path", F.explode(matching.match_starts(F.col("content"), p)).alias("m")).select("path", "m.*") for p in (rule.pattern, rule.start + rule.pattern)]
     a, b = (sorted(map(tuple, d.collect())) for d in both)
     assert len(a) > 5 and a == b
+
+
+def test_members_of_change_classes_form_no_pairs(spark, monkeypatch):
+    touched = spark.createDataFrame([("r", "s1", "a"), ("r", "s1", "b"), ("r", "s2", "a"), ("r", "s2", "b"), ("r", "s2", "c")], "repo_id string, sha string, path string")
+    log = touched.select("repo_id", "sha").distinct().withColumn("authored_at", F.lit("2024-01-01").cast("timestamp"))
+    want = sorted(map(tuple, cm.co_change_classes(log, touched)[1].collect()))
+    monkeypatch.setattr(cm, "stored", lambda *a: (_ for _ in ()).throw(AssertionError("pairs were stored")))
+    assert sorted(map(tuple, cm.co_change_members(log, touched).collect())) == want == [("r", "a", "a"), ("r", "a", "b"), ("r", "c", "c")]
