@@ -10,8 +10,9 @@ from __future__ import annotations
 import zlib
 from bisect import insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,6 @@ from siltscope.llm.common import saved, slices, texts
 CAPACITY = 1024
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int"
-#: rounds of the local search; each passes over all underfull classes
-ROUNDS = 200
-#: underfull classes that one round compares pairwise, emptiest and fullest first
-WIDTH = 400
 
 Bins = dict[tuple[int, ...], int]
 
@@ -95,33 +92,58 @@ def _gain(fuller: tuple[int, ...], other: tuple[int, ...], capacity: int) -> tup
     return best
 
 
-def local_search(bins: Bins, capacity: int, rounds: int = ROUNDS, width: int = WIDTH) -> Bins:
-    """Exchange and move items between underfull bins while the sum of squared fills grows; emptied bins go."""
+def _partners(under: list[tuple[int, ...]], capacity: int) -> Callable[[tuple[int, ...]], list[int]]:
+    """A function that gives the places in ``under`` of all classes that an exchange can fill up from a class, last first.
+
+    The largest shift that fits gains most, and it gains if the fuller bin ends above what the other one had.
+    """
+    fill = np.array([sum(h) for h in under])
+    backs = [(0, *set(h)) for h in under]
+    of = np.repeat(np.arange(len(under)), [len(b) for b in backs])
+    back = np.array([x for b in backs for x in b])
+    fits = back + (capacity - fill)[of]
+
+    def largest(gives: list[int]) -> np.ndarray:
+        at = np.searchsorted(gives := np.sort(gives), fits, "right") - 1
+        return np.where(at < 0, -1, gives[at])
+
+    def partners(other: tuple[int, ...]) -> list[int]:
+        one = [*set(other)]
+        two = [a + b for i, a in enumerate(other) for b in set(other[i + 1 :])]
+        shift = np.where(back == 0, largest(one), largest(one + two)) - back
+        return np.unique(of[shift > np.maximum(0, sum(other) - fill[of])])[::-1].tolist()
+
+    return partners
+
+
+def local_search(bins: Bins, capacity: int) -> Bins:
+    """Exchange and move items between underfull bins while the sum of squared fills grows; emptied bins go.
+
+    Every underfull class is tried with every other one, and the rounds end when none of them gains or no bin is left to save.
+    """
     bins = dict(bins)
     total = sum(sum(held) * n for held, n in bins.items())
     least = -(-total // capacity)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
+    changed = True
+    while changed and sum(bins.values()) > least:
         under = sorted((h for h in bins if sum(h) < capacity), key=lambda h: (sum(h), h))
-        under = under if len(under) <= width else under[: width // 2] + under[-(width // 2) :]
+        partners = _partners(under, capacity)
         changed = False
         for other in under:  # the emptiest gives first
-            for fuller in reversed(under):
+            if not bins.get(other, 0):
+                continue
+            for at in partners(other):
+                fuller = under[at]
                 have = bins.get(other, 0), bins.get(fuller, 0)
                 n = min(have) if other != fuller else have[0] // 2
                 if not n:
                     continue
-                gain, a, b = _gain(fuller, other, capacity)
-                if gain <= 0:
-                    continue
+                _, a, b = _gain(fuller, other, capacity)
                 for held, d in ((fuller, -n), (other, -n), (a, n), (b, n)):
                     if held:
                         bins[held] = bins.get(held, 0) + d
                 changed = True
         bins = {h: n for h, n in bins.items() if n}
-        if not changed:
-            break
     return bins
 
 

@@ -149,6 +149,19 @@ def test_swaps_empty_a_bin():
         assert sum(got.values()) <= sum(fit.values())
 
 
+def test_search_tries_every_underfull_class():
+    # 900 bins that nothing can move between, and in the middle of them by fill one whose 500 another takes, which frees a bin
+    bins = {(size,): 1 for size in range(1501, 2401)} | {(1450, 500): 1}
+    out = packing.local_search(bins, 3000)
+    assert sum(out.values()) == 900
+    assert sorted(x for h, n in out.items() for x in h * n) == sorted(x for h in bins for x in h)
+    # what is left has no exchange that gains
+    rng = random.Random(9)
+    out = packing.local_search(packing.best_fit(collections.Counter(rng.randrange(300, 1000) for _ in range(900)), 1000), 1000)
+    under = [h for h in out if sum(h) < 1000]
+    assert all(packing._gain(a, b, 1000)[0] == 0 for a in under for b in under if a != b or out[a] > 1)
+
+
 def test_packing_nothing(empty):
     assert packing.pack(empty, byte_bpe()).collect() == []
 
