@@ -152,6 +152,17 @@ def test_copy_paste_is_exact(spark):
     assert {r["path"]: r["partner"] for r in gr.copy_paste(df, triple_limit=10).collect()} == want
 
 
+def test_copy_paste_broadcasts_nothing_and_reads_files_once(spark):
+    # the planner takes the size of slim keys for that of the signatures made of them
+    keys = spark.range(60)
+    df = keys.select(
+        F.lit("r").alias("repo_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"),
+        F.concat(*[F.concat(F.lit("function f"), (F.col("id") % m).cast("string"), F.lit("() {}\n")) for m in (2, 3, 5, 7)], F.repeat(F.lit("// pad"), F.lit(40))).alias("content"),
+    )
+    plan = gr.copy_paste(df)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "Range" not in plan and "SortMergeJoin" in plan
+
+
 def test_co_change_is_exact(spark):
     rnd = random.Random(6)
     cf, cs = [], []
