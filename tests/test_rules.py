@@ -1,7 +1,11 @@
 """One positive and one negative line per rule."""
 
+import itertools
+
 import pytest
+from pyspark.sql import functions as F
 
+from siltscope.functions import text as tx
 from siltscope.operators import hygiene, invisible, matching
 from siltscope.rules import tables as rt
 from siltscope.rules.model import rules_from_df
@@ -172,3 +176,21 @@ def test_lines_inside_try_blocks(files):
     for r in matching.in_try_block(files(*[(f"f{i}", t) for i, t in enumerate(texts)])).collect():
         got.setdefault(r["path"], []).append(r["line"])
     assert {p: sorted(x) for p, x in got.items()} == {f"f{i}": inside_try(t) for i, t in enumerate(texts) if inside_try(t)}
+
+
+def test_word_edges_are_looked_for_where_letters_are(spark):
+    """A left edge is tested behind letters, never at every character, and finds the same places."""
+    words = ["if (", "elif x", "for ", "_try {", "a.catch (", "switch\n", "function f", "xfunction g", "type", "types", "9type", "anything any", "\u00e9any", "TRY ", ""]
+    text = [" ".join(p) for p in itertools.product(words, repeat=2)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "id int, t string")
+    edge = tx.BL
+    patterns = [
+        edge + r"(?:if|for|while|switch|catch|try)\s", edge + r"function\s+\w+", tx.word("types?"), tx.word("any"), r"(?i)" + edge + "try", edge + "(?:an|y)?any",
+        edge + "(?:el(?:if|x)|f[or)]+)", edge + "(?:a+|t)", "x|" + edge + "type|" + edge, edge + r"(?=(?:function|type)(\w*))", edge + "(?:" + edge + "type|if)",
+    ]
+    for p in patterns:
+        plain = p.replace(tx.BL, "(?<![A-Za-z0-9_])").replace(tx.BR, "(?![A-Za-z0-9_])")
+        bad = df.filter(F.regexp_count("t", F.lit(plain)) != tx.rx_count("t", p))
+        bad = bad.unionByName(df.filter(F.regexp_replace("t", plain, "#") != F.regexp_replace("t", tx.java(p), "#")))
+        assert bad.collect() == [], p
+    assert all(not tx.java(p).startswith("(?<!") for p in patterns[:4])
