@@ -29,6 +29,16 @@ def test_derived_files_of_one_row_group_are_dealt_to_all_tasks(spark, tmp_path):
     assert len(per_task) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in per_task) < n / 2
 
 
+def test_briefs_of_one_row_group_are_dealt_to_all_tasks_and_paths_make_no_text(spark, sf):
+    from siltscope.plans import catalog_misc
+
+    per_task = catalog_misc._briefs(spark, sf).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(per_task) >= spark.sparkContext.defaultParallelism
+    paths = dt.code_paths(spark, sf)
+    assert "Generate" not in _plan(paths) and "o_custkey" not in paths._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, paths.collect())) == sorted(map(tuple, dt.code_files(spark, sf).select("repo_id", "path").collect()))
+
+
 def test_patches_neither_join_nor_broadcast_contents(spark, sf):
     rules = [Rule("debug-code", "low", r"console\.log", needles=("console.log",)), Rule("hardcoded-secret", "high", "AKIA", needles=("AKIA",))]
     f = dt.code_files(spark, sf)
