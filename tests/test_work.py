@@ -91,3 +91,12 @@ def test_members_of_change_classes_form_no_pairs(spark, monkeypatch):
     want = sorted(map(tuple, cm.co_change_classes(log, touched)[1].collect()))
     monkeypatch.setattr(cm, "stored", lambda *a: (_ for _ in ()).throw(AssertionError("pairs were stored")))
     assert sorted(map(tuple, cm.co_change_members(log, touched).collect())) == want == [("r", "a", "a"), ("r", "a", "b"), ("r", "c", "c")]
+
+
+def test_reasons_of_changes_are_searched_once(spark, sf):
+    from siltscope.plans import catalog
+
+    for name in ("a27_impact_breakdown", "t4_fix_recommendations", "t4_fix_shortlists"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        # the files' names are read once more for changes without a reason
+        assert plan.count("/orders.parquet") == 1 and "innerHTML" not in plan.replace("el.innerHTML = html", ""), name
