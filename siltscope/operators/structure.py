@@ -126,14 +126,14 @@ def structure_findings(files: DataFrame) -> DataFrame:
     c = F.col("content")
     fn = tx.rx_all(c, r"(?:async\s+)?function\s+\w+\s*\([\s\S]*?(?=\n\})")
     long_fn = (
-        files.filter(c.contains("function")).select("repo_id", "path", F.explode(fn).alias("m"))
+        files.filter(c.contains("function") & (tx.line_count(c) > 50)).select("repo_id", "path", F.explode(fn).alias("m"))  # no longer than its file
         .withColumn("n", tx.line_count("m")).filter(F.col("n") > 50)
         .select("repo_id", "path", F.lit("large-function").alias("rule"), F.lit("medium").alias("severity"), F.concat_ws(":", F.regexp_extract("m", r"function\s+(\w+)", 1), F.col("n").cast("string")).alias("detail"))
     )
-    imp = F.filter(tx.split_lines(c), lambda x: x.rlike(r"""^import\s.*from\s['"].*['"]"""))
+    imp = F.filter(tx.split_lines(c), lambda x: x.startswith("import") & x.rlike(r"""^import\s.*from\s['"].*['"]"""))
     stmt = F.transform(imp, lambda x: F.regexp_extract(x, r"""^import\s.*from\s['"].*['"]""", 0))
-    # the second and later copies of a statement in the file's own array
-    dup = F.filter(stmt, lambda x, i: F.array_contains(F.slice(stmt, F.lit(1), i), x))
+    # the second and later copies of a statement in the file's own array, which is bound once
+    dup = F.flatten(F.transform(F.array(stmt), lambda s: F.filter(s, lambda x, i: F.array_contains(F.slice(s, F.lit(1), i), x))))
     dups = (
         files.filter(c.contains("import")).select("repo_id", "path", F.explode(dup).alias("m"))
         .select("repo_id", "path", F.lit("duplicate-import").alias("rule"), F.lit("low").alias("severity"), F.substring("m", 1, 60).alias("detail"))

@@ -100,3 +100,32 @@ def test_reasons_of_changes_are_searched_once(spark, sf):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         # the files' names are read once more for changes without a reason
         assert plan.count("/orders.parquet") == 1 and "innerHTML" not in plan.replace("el.innerHTML = html", ""), name
+
+
+def test_only_texts_that_can_hold_a_long_function_are_walked(spark):
+    from siltscope.operators import sessions, structure
+
+    body = lambda n: "function f(a) {\n" + "  x();\n" * n + "}"
+    texts = [body(n) for n in (0, 10, 48, 49, 50, 51, 52, 80)] + [body(60) + "\n" + body(70), "import a from 'a';\n" * 3 + body(2), body(51) + "}", body(48) + "}\n" + body(50) + "}", body(47) + "\n}", None]
+    df = spark.createDataFrame([("r", f"{i:02d}", t) for i, t in enumerate(texts)], "repo_id string, path string, content string")
+    got = [r[0] for r in df.orderBy("path").select(sessions.long_functions(F.col("content"))).collect()]
+
+    def walked(text):
+        depth, start, n = 0, -1, 0
+        for i, x in enumerate(text.split("\n")):
+            if depth == 0 and "function f" in x:
+                depth, start = 1, i
+            depth += x.count("{") - x.count("}")
+            if depth == 0 and start >= 0 and i - start > 50:
+                n, start = n + 1, -1
+        return n
+
+    assert got == [None if t is None else walked(t) for t in texts] and sum(g or 0 for g in got) == 2
+    found = structure.structure_findings(df)
+    rows = sorted((r["path"], r["rule"], r["detail"]) for r in found.collect())
+    long_ = [(f"{i:02d}", "large-function", f"f:{n}") for i, n in ((4, 51), (5, 52), (6, 53), (7, 81), (8, 61), (8, 71), (10, 52), (11, 51))]
+    assert rows == sorted(long_ + [("09", "duplicate-import", "import a from 'a'")] * 2)
+    # lines are counted before functions are looked for
+    plan = _plan(found.filter("rule = 'large-function'"))
+    assert "replace(content" in plan.split("Generate explode(regexp_extract_all")[1]
+    assert "CASE WHEN" in _plan(df.select(sessions.long_functions(F.col("content"))))
