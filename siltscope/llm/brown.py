@@ -239,6 +239,60 @@ def gains(a: np.ndarray, r: np.ndarray, l: np.ndarray, s: float, k: int) -> np.n
     return gain - (xlogx(out + r.sum() + s) - xlogx(out) + xlogx(into + l.sum() + s) - xlogx(into))
 
 
+def settled(a: np.ndarray, total: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """Classes after one turn over words of classes ``of``: each moves where ``gains`` is largest, later ones see its move.
+
+    ``total``: of each word the counts of classes to the right, to the left, and of the word beside itself. All terms of a word's gains
+    lie in one table and take one logarithm: most words have few neighbours, so calls cost more than numbers.
+    """
+    c = len(a)
+    of = of.copy()
+    g = np.concatenate((a[:k].T, a[:, :k]))  # of each class, what stands to its right, then to its left
+    d = g[:k].diagonal()
+    sums = np.stack((a.sum(axis=1)[:k], a.sum(axis=0)[:k]))
+    sides = np.stack((total[:, :c].sum(axis=1), total[:, c : 2 * c].sum(axis=1)), axis=1)
+    table = np.empty((4 * c + 8, k))
+    sign = np.concatenate((np.ones(2 * c), -np.ones(2 * c)))
+    signs = [np.concatenate((sign[:n], sign[2 * c : 2 * c + n], [1, 1, -1, -1, -1, -1, 1, 1])) for n in range(2 * c + 1)]
+
+    def shift(j: int, v: np.ndarray, s: float) -> None:
+        g[:, j] += v
+        g[j] += v[c : c + k]
+        g[c + j] += v[:k]
+        g[j, j] += s
+        g[c + j, j] += s
+
+    for w, side in enumerate(sides):
+        old, v, s = of[w], total[w, :-1].copy(), total[w, -1]
+        v[old] -= s
+        v[c + old] -= s
+        shift(old, -v, -s)
+        sums[:, old] -= side
+        on = np.flatnonzero(v)
+        n = len(on)
+        x = table[: 2 * n + 8]
+        r, l = v[:k], v[c : c + k]
+        beside = x[n : 2 * n]
+        g.take(on, axis=0, out=beside, mode="clip")
+        np.add(beside, v[on, None], out=x[:n])
+        x[2 * n], x[2 * n + 1] = d + (r + l + s), d
+        np.add(d, r, out=x[2 * n + 2])
+        np.add(d, l, out=x[2 * n + 3])
+        np.add(sums, side[:, None], out=x[2 * n + 4 : 2 * n + 6])
+        x[2 * n + 6 :] = sums
+        y = np.maximum(x, 1)
+        np.log(y, out=y)
+        y *= x
+        gain = signs[n] @ y
+        new = int(gain.argmax())
+        if gain[new] <= gain[old] + 1e-9:
+            new = old
+        shift(new, v, s)
+        sums[:, new] += side
+        of[w] = new
+    return of
+
+
 def exchange(m: np.ndarray, n_words: int, classes: int, sweeps: int) -> np.ndarray:
     """The class of each unit: units from ``n_words`` on have classes of their own; each word is moved to the class
     that raises the class-bigram likelihood most, in turns over all words, until none moves."""
@@ -372,23 +426,7 @@ def moved(near: DataFrame, a: np.ndarray, k: int) -> DataFrame:
             at = np.cumsum(unpacked(cells, np.int64, size))
             total[to[x:z][at // width] * width + at % width] += unpacked(n, np.int32, size)
             of[to[x:z]] = unpacked(cls, np.int16, z - x)
-        total = total.reshape(-1, width)
-        m = a.copy()
-        for w in range(len(all_)):
-            old, r, l, s = of[w], total[w, :c], total[w, c : 2 * c], total[w, -1]
-            m[old] -= r
-            m[:, old] -= l
-            m[old, old] += s
-            r[old] -= s
-            l[old] -= s
-            gain = gains(m, r, l, s, k)
-            new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-9:
-                new = old
-            m[new] += r
-            m[:, new] += l
-            m[new, new] += s
-            of[w] = new
+        of = settled(a, total.reshape(-1, width), of, k)
         back = of[to].astype(np.int16)
         return pa.table([pa.array(got["p"], pa.int32()), pa.array(got["chunk"], pa.int64()), pa.array([packed(back[x:z]) for x, z in zip(cuts, cuts[1:])], pa.binary())], names=["p", "chunk", "classes"])
 

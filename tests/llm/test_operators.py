@@ -299,6 +299,34 @@ def test_brown_scores(odd, docs):
     assert brown.class_scores(d.limit(0)).collect() == []
 
 
+def test_brown_words_settle_as_gains_say_one_by_one():
+    rng = np.random.default_rng(5)
+    k, c, n = 6, 6 + 1 + brown.BANDS, 300
+    a = np.floor(rng.exponential(300, (c, c)))
+    total = np.zeros((n, 2 * c + 1))
+    of = rng.integers(0, k, n)
+    for w in range(n):
+        places, sizes = rng.integers(0, 2 * c, 1 + w % 12), rng.integers(1, 9, 1 + w % 12)
+        np.add.at(total[w], places, sizes)
+        total[w, -1] = min(total[w, of[w]], total[w, c + of[w]])
+    m, want = a.copy(), of.copy()
+    for w in range(n):
+        old, r, l, s = want[w], total[w, :c].copy(), total[w, c : 2 * c].copy(), total[w, -1]
+        m[old] -= r
+        m[:, old] -= l
+        m[old, old] += s
+        r[old] -= s
+        l[old] -= s
+        gain = brown.gains(m, r, l, s, k)
+        new = int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else old
+        m[new] += r
+        m[:, new] += l
+        m[new, new] += s
+        want[w] = new
+    got = brown.settled(a, total, of, k)
+    assert (got == want).all() and (want != of).sum() > 50
+
+
 def test_brown_clusters_words_beyond_the_seed(docs):
     rng = random.Random(8)
     is_held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
