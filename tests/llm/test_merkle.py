@@ -1,8 +1,10 @@
 """Merkle manifests against a plain tree, on odd rows, and with proofs checked one by one."""
 
 import hashlib
+import os
 import random
 import zlib
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -112,3 +114,12 @@ def test_row_limit_is_put_back(docs, spark):
     before = spark.conf.get(merkle.ROW_LIMIT)
     manifest(docs((1, "a"))).count()
     assert spark.conf.get(merkle.ROW_LIMIT) == before
+
+
+def test_only_the_manifest_stays_stored(docs, monkeypatch):
+    tables = []
+    keep = merkle.saved
+    monkeypatch.setattr(merkle, "saved", lambda df, name: tables.append((name, keep(df, name))) or tables[-1][1])
+    assert manifest(docs(*[(i, f"{i}\n", "en", f"s{i % 4}") for i in range(40)])).count() == 40
+    left = {name for name, t in tables if any(os.path.exists(urlparse(f).path) for f in t.inputFiles())}
+    assert left == {"merkle-manifest"}
