@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -9,6 +11,8 @@ DEPTH = 3
 TOP = 255
 #: bytes of a piece
 PIECE = 1 << 16
+#: pieces that travel together
+TOGETHER = 16
 _ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
 
@@ -32,8 +36,14 @@ class CountMin:
 
     def pieces(self) -> list[tuple[int, bytes]]:
         """The pieces that hold any count."""
+        return [p for b in self.batches() for p in b]
+
+    def batches(self) -> Iterator[list[tuple[int, bytes]]]:
+        """``pieces``, a few at a time: a task that hands them on holds no second copy of the sketch."""
         flat = self.table.reshape(-1, min(PIECE, 1 << self.bits))
-        return [(int(i), flat[i].tobytes()) for i in np.flatnonzero(flat.any(axis=1))]
+        at = [i for i, x in enumerate(flat) if x.any()]
+        for k in range(0, len(at), TOGETHER):
+            yield [(i, flat[i].tobytes()) for i in at[k : k + TOGETHER]]
 
     @staticmethod
     def merge(pieces: list[bytes]) -> bytes:

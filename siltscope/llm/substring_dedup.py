@@ -60,8 +60,7 @@ def sketch_anchors(t: DataFrame, bits: int, window: int) -> CountMin:
             order = np.lexsort((low, doc))
             once = group_starts(doc[order], low[order]) if len(low) else order
             s.add(low[order][once])
-        p = s.pieces()
-        if p:
+        for p in s.batches():
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in p], pa.int32()), pa.array([x for _, x in p], pa.binary())], ["piece", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:

@@ -299,6 +299,14 @@ def test_brown_scores(odd, docs):
     assert brown.class_scores(d.limit(0)).collect() == []
 
 
+def test_sketch_leaves_a_task_in_small_batches():
+    s = sketch.CountMin(22)
+    s.add(words.mix(np.arange(1, 40_000, dtype=np.uint64)))
+    batches = list(s.batches())
+    assert len(batches) > 2 and max(sum(len(x) for _, x in b) for b in batches) <= 1 << 20
+    assert (sketch.CountMin.of(22, [p for b in batches for p in b]).table == s.table).all()
+
+
 def test_brown_words_settle_as_gains_say_one_by_one():
     rng = np.random.default_rng(5)
     k, c, n = 6, 6 + 1 + brown.BANDS, 300
