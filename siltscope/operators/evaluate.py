@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltscope.functions import numbers as nm
 from siltscope.functions import text as tx
 from siltscope.operators.ordered import keep_in_order
-from siltscope.operators.rounds import assign, first_apart
+from siltscope.operators.rounds import WALK, assign, first_apart, many_rows
 
 # fixed values
 WEIGHTS = {"type": 0.6, "line": 0.3, "description": 0.1}
@@ -159,15 +159,59 @@ def calibration_accuracy(calibrated: DataFrame, by: Sequence[str] = ()) -> DataF
 
 # --- near duplicates ---------------------------------------------------------------------------
 
-def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path")) -> DataFrame:
+def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path"), walk: int = WALK, counted: DataFrame | None = None) -> DataFrame:
     """Greedy near-duplicate removal inside a file, the most confident finding first.
 
     Two findings are near when they share a type word and lie within two lines of each other; if
     either has no line, when they have the same category.  What is kept decides what is dropped, so
-    the walk is sequential in a file.  Exact repeats of (type, category, line) are near each other by
-    definition and are reduced to their best row before the grouping, map-side.  The walk is decided in rounds (``rounds.first_apart``).
+    the walk is sequential in a file.  Files of at most ``walk`` findings are walked, each within one task, after one shuffle; a
+    larger file is decided in rounds that are spread over all tasks (``rounds.first_apart``).  ``counted`` may give rows that hold
+    the findings and are cheaper to count.
     """
     keys = list(keys)
+    rest = [c for c in findings.columns if c not in (*keys, "rule", "category", "line", "confidence", "ordinal")]
+    # the first of exact repeats is the best of them, and whatever drops it drops the others
+    order = [F.desc("confidence"), F.asc_nulls_last("ordinal"), F.asc("line"), F.asc("rule"), F.asc("category"), *[F.desc(c) for c in rest]]
+
+    def decide(state, rule, category, line) -> bool:
+        at_line, whole, in_category, untyped = state
+        line = max(line or 0, 0)
+        if rule is None:  # shares no word with any
+            new = (category, line) not in untyped
+            untyped.add((category, line))
+            return new
+        words = rule.split("-")
+        if line > 0:
+            near = [at_line[at] for at in range(line - 2, line + 3) if at in at_line]
+            if category in whole:
+                near.append(whole[category])
+        else:
+            near = [in_category[category]] if category in in_category else []
+        if any(not seen.isdisjoint(words) for seen in near):
+            return False
+        if line > 0:
+            at_line.setdefault(line, set()).update(words)
+        else:
+            whole.setdefault(category, set()).update(words)
+        in_category.setdefault(category, set()).update(words)
+        return True
+
+    def walked(df: DataFrame) -> DataFrame:
+        return keep_in_order(df, keys, order, ["rule", "category", "line"], lambda: ({}, {}, {}, set()), decide)
+
+    large = many_rows(findings if counted is None else counted, keys, walk)
+    if large is None:
+        return walked(findings)
+    same = F.lit(True)
+    for k in keys:
+        same = same & findings[k].eqNullSafe(large[k])
+    kept, undecided = _apart(findings.join(F.broadcast(large), same, "left_semi"), keys)
+    # what rounds leave is little, or one long chain: nothing kept so far is near it, so it is walked by itself
+    return kept.unionByName(walked(undecided)).unionByName(walked(findings.join(F.broadcast(large), same, "left_anti")))
+
+
+def _apart(findings: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, undecided) findings of large files; exact repeats are reduced to their best row first, map-side."""
     rest = [c for c in findings.columns if c not in (*keys, "rule", "category", "line")]
     best = F.max_by(F.struct(*rest), F.struct(F.col("confidence"), -F.col("ordinal"), *[c for c in rest if c not in ("confidence", "ordinal")]))
     slim = findings.groupBy(*keys, "rule", "category", "line").agg(best.alias("b")).select(*keys, "rule", "category", "line", "b.*")
@@ -183,26 +227,11 @@ def dedupe_near(findings: DataFrame, keys: Sequence[str] = ("repo_id", "path"))
         F.concat(F.transform(words, lambda w: of("whole", w)), in_category)
     )
     checks = F.when(line > 0, F.concat(F.transform(words, lambda w: at_line(line, w)), F.transform(words, lambda w: of("whole", w)))).otherwise(in_category)
-    order = F.struct(F.col("confidence").isNull().alias("n"), (-F.col("confidence")).alias("c"), F.col("ordinal").alias("o"), F.col("line").alias("l"), F.col("rule").alias("r"), F.col("category").alias("k"))
-    kept, undecided = first_apart(slim, keys, order, covers, checks)
-
-    def decide(state, rule, category, line) -> bool:
-        by_line, by_category = state
-        words, line = set(rule.split("-")), int(line)
-        if line > 0:
-            near = [w for at in range(max(1, line - 2), line + 3) for w, _ in by_line.get(at, ())]
-            near += [w for w, c in by_line.get(0, ()) if c == category]
-        else:
-            near = by_category.get(category, ())
-        if any(w & words for w in near):
-            return False
-        by_line.setdefault(max(line, 0), []).append((words, category))
-        by_category.setdefault(category, []).append(words)
-        return True
-
-    # what is left is little, or one long chain: nothing kept so far is near it, so it is walked by itself
-    rest_order = [F.desc("confidence"), F.asc("ordinal"), F.asc("line"), F.asc("rule"), F.asc("category")]
-    return kept.unionByName(keep_in_order(undecided, keys, rest_order, ["rule", "category", "line"], lambda: ({}, {}), decide))
+    order = F.struct(
+        F.col("confidence").isNull().alias("n"), (-F.col("confidence")).alias("c"), F.col("ordinal").isNull().alias("m"), F.col("ordinal").alias("o"),
+        F.col("line").alias("l"), F.col("rule").alias("r"), F.col("category").alias("k"),
+    )
+    return first_apart(slim, keys, order, covers, checks)
 
 
 def verify_findings(findings: DataFrame, max_per_type: int = 1, cap_first: bool = True) -> DataFrame:
@@ -210,7 +239,7 @@ def verify_findings(findings: DataFrame, max_per_type: int = 1, cap_first: bool
     from siltscope.operators.findings import cap_findings
 
     if cap_first:
-        return dedupe_near(cap_findings(findings, max_per_type))
+        return dedupe_near(cap_findings(findings, max_per_type), counted=findings)
     return cap_findings(dedupe_near(findings), max_per_type)
 
 

@@ -22,6 +22,25 @@ ROUNDS = 50
 WALK = 50_000
 
 
+#: ranges of key hashes that are counted to find keys with many rows
+BUCKETS = 1 << 18
+
+
+def many_rows(df: DataFrame, keys: Sequence[str], limit: int = WALK) -> DataFrame | None:
+    """Keys with more than ``limit`` rows; None if there are none.
+
+    Rows are counted per range of key hashes, so each task sends at most ``BUCKETS`` numbers; only keys of ranges beyond the limit are
+    counted themselves.
+    """
+    keys = list(keys)
+    slim = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("_bucket"))
+    full = [r[0] for r in slim.groupBy("_bucket").count().filter(F.col("count") > limit).select("_bucket").collect()]
+    if not full:
+        return None
+    inside = slim.join(F.broadcast(df.sparkSession.createDataFrame([(b,) for b in full], "_bucket long")), "_bucket")
+    return stored(inside.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys), "many-rows")
+
+
 def assign(pairs: DataFrame, keys: Sequence[str], taker: str, taken: str, wish: Column, rounds: int = ROUNDS, walk: int = WALK) -> DataFrame:
     """One-to-one assignment per key: takers in ascending order each take their first free choice by ``wish`` (a struct, ascending,
     that ends in ``taken`` so that no two choices of a taker are equal).

@@ -86,3 +86,27 @@ def test_no_rows(spark):
     assert ev.greedy_match(spark.createDataFrame([], PAIRS)).count() == 0
     ddl = "repo_id string, path string, rule string, category string, line int, confidence double, ordinal int"
     assert ev.dedupe_near(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_small_files_are_walked_and_large_ones_decided_in_rounds(spark, monkeypatch):
+    """Only a file beyond the limit takes rounds; nulls, repeats and files at the limit give what the walk gives."""
+    seen = []
+    apart = rounds.first_apart
+    monkeypatch.setattr(ev, "first_apart", lambda items, *a: seen.append({r["path"] for r in items.select("path").distinct().collect()}) or apart(items, *a, rounds=3, walk=0))
+    rng = random.Random(4)
+    ddl = "repo_id string, path string, rule string, category string, line int, confidence double, ordinal int, detail string"
+    size = {"hot": 300, "edge": 100, **{f"s{i}": 7 for i in range(40)}}
+    data = [("r", p, rng.choice(["a-b", "b-c", "d", "c-e"]), rng.choice("xyz"), rng.randrange(0, n // 2), round(rng.random(), 2), i, f"d{i}") for p, n in size.items() for i in range(n)]
+    df = spark.createDataFrame(data, ddl)
+    want = set()
+    for p in size:
+        best = {}
+        for r in data:
+            if r[1] == p:
+                best[r[2:5]] = max(best.get(r[2:5], r), r, key=lambda v: (v[5], -v[6]))
+        want |= {(p, *k) for k in near_twin([(r[2], r[3], r[4], r[5], r[6]) for r in best.values()])}
+    found = lambda rows: {(r["path"], r["rule"], r["category"], r["line"]) for r in rows}
+    assert found(ev.dedupe_near(df, walk=100).collect()) == want and seen == [{"hot"}]
+    assert found(ev.dedupe_near(df).collect()) == want and len(seen) == 1
+    odd = spark.createDataFrame([("r", None, None, "x", 1, 0.5, 1, "d"), ("r", None, None, "x", 1, 0.9, 2, "e"), ("r", None, "a", "x", None, 0.5, 3, "f"), ("r", None, "a", "x", 4, 0.4, 4, "g")], ddl)
+    assert sorted(r["detail"] for r in ev.dedupe_near(odd).collect()) == ["e", "f"]
