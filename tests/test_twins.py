@@ -335,3 +335,27 @@ def test_results_do_not_depend_on_partitioning(spark):
         out.append(sorted(map(repr, ev.verify_findings(f.repartition(n)).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_dead_exports_do_not_ship_words(spark):
+    """Without broadcasts a word that all files hold leaves a task as one row of numbers; the results stay the same."""
+    from siltscope.operators import graph as gr
+
+    common = " ".join(f"word{i}" for i in range(400))
+    data = [("r", f"src/f{i:03}.ts", f"export const a{i} = 1;\nexport const b{i} = 2;\nuse(b{i - 1});\n{common}") for i in range(200)]
+    f = spark.createDataFrame(data, "repo_id string, path string, content string").repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = {r["symbol"] for r in gr.dead_exports(f, gr.imports(f)).collect()}
+        assert shuffled() - before < 20_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {f"a{i}" for i in range(200)} | {"b199"}
