@@ -7,7 +7,8 @@ matrices combine by the associative max-plus product. Running products give the
 is then traced back by itself.
 
 Pieces have their mark of a blank in front, so the lattice is cut before each blank that follows another character; the units
-between are solved once per worker and remembered. A chunk without any blank is solved as a whole.
+between are solved once per worker and remembered, in runs of letters and of others if no piece holds both. A chunk without any blank
+is solved as a whole.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ UNITS = 1_000_000
 #: how far the score of a character without a piece lies below the lowest piece
 UNKNOWN = 10.0
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# letters of Latin; a run of others may hold letters of other scripts
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LETTER, _OTHER = f"[{_LATIN}]", f"[^{_LATIN}{MARK}]"
+_PART = re.compile(f"{MARK}*(?:{_LETTER}+|{_OTHER}+)|{MARK}+")
 _open: dict[str, "Lattice"] = {}
 
 
@@ -60,9 +65,12 @@ class Lattice:
         self.longest = max(map(len, self.piece))
         # pieces that the model all but forbids, by a score far below all ranks, do not set the price of an unknown character
         self.unknown = min((s for _, s in self.piece.values() if s > -1e6), default=0.0) - UNKNOWN
-        #: pieces and their beginnings, the latter with a score that no path takes
-        self.starts = {p[:i]: (-1, -np.inf) for p in self.piece for i in range(1, len(p))} | self.piece
+        #: scores of pieces and of their beginnings, the latter a score that no path takes
+        self.starts = {p[:i]: -np.inf for p in self.piece for i in range(1, len(p))} | {p: s for p, (_, s) in self.piece.items()}
+        self.packed = {p: i.to_bytes(4, "little") for p, (i, _) in self.piece.items()}
+        self.packed_byte = [i.to_bytes(4, "little") for i in self.byte_id]
         self.cut_at_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.piece)
+        self.cut_at_letters = not any(re.search(f"{_LETTER}{_OTHER}|{_OTHER}{_LETTER}", p) for p in self.piece)
         self.units: dict[str, tuple[bytes, float]] = {}
 
     def arcs(self, z: str, i: int) -> Iterator[tuple[int, float]]:
@@ -89,17 +97,23 @@ class Lattice:
         return np.array(score), np.array(came)
 
     def ids_between(self, z: str, back: np.ndarray | list[int], start: int, end: int) -> bytes:
-        parts: list[list[int]] = []
+        parts: list[bytes] = []
         while end > start:
             i = back[end]
-            p = self.piece.get(z[i:end])
-            parts.append([p[0]] if p else [self.byte_id[b] for b in z[i:end].encode()])
+            p = self.packed.get(z[i:end])
+            parts.append(p if p is not None else b"".join([self.packed_byte[b] for b in z[i:end].encode()]))
             end = i
-        return b"".join(x.to_bytes(4, "little") for p in reversed(parts) for x in p)
+        parts.reverse()
+        return b"".join(parts)
 
     def unit(self, u: str) -> tuple[bytes, float]:
+        """Ids and score of a unit; where no piece holds letters beside others, runs of either are solved and remembered by themselves."""
         got = self.units.get(u)
         if got is None:
+            parts = _PART.findall(u) if self.cut_at_letters else [u]
+            if len(parts) > 1:
+                solved = [self.units.get(p) or self.unit(p) for p in parts]
+                return b"".join([s[0] for s in solved]), sum([s[1] for s in solved])
             if len(self.units) >= UNITS:
                 self.units.clear()
             score, back = self.best(u)
@@ -108,25 +122,32 @@ class Lattice:
 
     def best(self, u: str) -> tuple[float, list[int]]:
         """``forward`` over a whole unit, without arrays: most units are a few characters."""
-        get, longest, n = self.starts.get, self.longest, len(u)
-        score, back = [0.0] * (n + 1), [-1] * (n + 1)
-        score[1:] = [-np.inf] * n
+        get, longest, n, never = self.starts.get, self.longest, len(u), -np.inf
+        score, back = [never] * (n + 1), [-1] * (n + 1)
+        score[0] = 0.0
         for i in range(n):
             here = score[i]
-            if u[i] not in self.piece and here + self.unknown > score[i + 1]:
-                score[i + 1], back[i + 1] = here + self.unknown, i
-            for j in range(i + 1, min(i + longest, n) + 1):
-                p = get(u[i:j])
-                if p is None:
+            s = get(u[i])
+            arc = here + (self.unknown if s is None or s == never else s)
+            if arc > score[i + 1]:
+                score[i + 1], back[i + 1] = arc, i
+            if s is None:
+                continue
+            for j in range(i + 2, min(i + longest, n) + 1):
+                s = get(u[i:j])
+                if s is None:
                     break  # neither a piece nor the beginning of one
-                if here + p[1] > score[j]:
-                    score[j], back[j] = here + p[1], i
+                s += here
+                if s > score[j]:
+                    score[j] = s
+                    back[j] = i
         return score[n], back
 
     def solve(self, z: str) -> tuple[bytes, float]:
         """Ids and score of a text that stands by itself; z has marks for blanks."""
-        solved = [self.unit(u) for u in (_UNIT.findall(z) if self.cut_at_marks else [z])]
-        return b"".join(s[0] for s in solved), float(sum(s[1] for s in solved))
+        known, unit = self.units.get, self.unit
+        solved = [known(u) or unit(u) for u in (_UNIT.findall(z) if self.cut_at_marks else [z])]
+        return b"".join([s[0] for s in solved]), float(sum([s[1] for s in solved]))
 
     def cuts(self, chunk: str) -> tuple[int, int] | None:
         """The first and last place in a chunk that no piece crosses."""

@@ -239,6 +239,18 @@ def test_max_plus_products_are_associative():
 
 # --- 4 licences ----------------------------------------------------------------------------------------
 
+def test_sentencepiece_runs_of_letters_are_remembered_once():
+    lat = sentencepiece_scan.Lattice(sentencepiece_scan.piece_bpe())
+    text = " ".join(f"bortelun{x}" for x in ("", ",", ".", "!!", "%%%", ".\nÜber", "²."))
+    z = sentencepiece_scan.marked(text)
+    ids, score = lat.solve(z)
+    best, back = lat.forward(z, 0, len(z))
+    assert ids == lat.ids_between(z, back, 0, len(z)) and score == best[-1]
+    assert [u for u in lat.units if "bortelun" in u] == ["▁bortelun"]
+    lat.cut_at_letters, lat.units = False, {}
+    assert lat.solve(z) == (ids, score)
+
+
 def license_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     places, labels = [], set()
