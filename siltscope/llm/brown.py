@@ -35,6 +35,8 @@ MOD, REST = 7, 2
 END = U(0xE11D0F7E47)
 #: tokens after which a task starts a new dictionary
 CHUNK_TOKENS = 1_200_000
+#: tokens that are scored at once
+SCORED_TOKENS = 100_000
 #: documents whose dictionaries one group of the counting pass holds
 GROUP_DOCS = 1500
 #: classes of words outside the vocabulary: unseen, seen once to four times, more often
@@ -189,6 +191,19 @@ def read_chunk(r: dict, units: np.ndarray | None = None) -> tuple[np.ndarray, ..
     return ids, held, sizes, count[tokens], unit[tokens].astype(np.int64)
 
 
+def by_documents(ids: np.ndarray, held: np.ndarray, sizes: np.ndarray, count: np.ndarray, unit: np.ndarray, limit: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """A chunk's documents in runs of at most ``limit`` tokens, or of one document, so that scores take little room at once."""
+    limit = SCORED_TOKENS if limit is None else limit
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        first = int(ends[start] - sizes[start])
+        stop = max(start + 1, int(np.searchsorted(ends, first + limit, side="right")))
+        last = int(ends[stop - 1])
+        yield ids[start:stop], held[start:stop], sizes[start:stop], count[first:last], unit[first:last]
+        start = stop
+
+
 def before(unit: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The unit before each token; a text begins after an end."""
     prev = np.empty_like(unit)
@@ -532,18 +547,18 @@ def scored(chunks: DataFrame, model_: Model, whole: np.ndarray, classes: Classes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, held, sizes, count, unit = read_chunk(r, classes and classes.words(r)[2])
-                at = np.cumsum(sizes) - sizes
-                base = (count + 1) / (model_.n + model_.v + 1)
-                word = model_.emit[unit] * np.where((unit == last) | (unit < end), count / per[unit], 1)
-                p = model_.step[model_.of[before(unit, sizes, end)], model_.of[unit]] * word if model_.n else base
-                p = (1 - UNIGRAM) * p + UNIGRAM * base
-                sums = [np.add.reduceat(x, at) for x in ((count > 0).astype(np.int64), np.log10(base), np.log10(p))]
-                none = held & 2 > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64(), mask=none), pa.array((held & 1).astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(ids), model_.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                for ids, held, sizes, count, unit in by_documents(*read_chunk(r, classes and classes.words(r)[2])):
+                    at = np.cumsum(sizes) - sizes
+                    base = (count + 1) / (model_.n + model_.v + 1)
+                    word = model_.emit[unit] * np.where((unit == last) | (unit < end), count / per[unit], 1)
+                    p = model_.step[model_.of[before(unit, sizes, end)], model_.of[unit]] * word if model_.n else base
+                    p = (1 - UNIGRAM) * p + UNIGRAM * base
+                    sums = [np.add.reduceat(x, at) for x in ((count > 0).astype(np.int64), np.log10(base), np.log10(p))]
+                    none = held & 2 > 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, pa.int64(), mask=none), pa.array((held & 1).astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(ids), model_.n, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
 
     return chunks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

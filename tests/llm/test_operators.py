@@ -239,6 +239,15 @@ def test_max_plus_products_are_associative():
 
 # --- 4 licences ----------------------------------------------------------------------------------------
 
+def test_brown_scores_runs_of_whole_documents():
+    sizes = np.array([3, 250, 2, 2, 1, 4, 4, 1], dtype=np.int32)
+    n = int(sizes.sum())
+    got = list(brown.by_documents(np.arange(8), np.zeros(8, np.uint8), sizes, np.arange(n), np.arange(n) * 2, limit=5))
+    assert [g[2].tolist() for g in got] == [[3], [250], [2, 2, 1], [4], [4, 1]]
+    assert np.concatenate([g[0] for g in got]).tolist() == list(range(8)) and all(len(g[3]) == len(g[4]) == g[2].sum() for g in got)
+    assert np.concatenate([g[3] for g in got]).tolist() == list(range(n))
+
+
 def test_sentencepiece_runs_of_letters_are_remembered_once():
     lat = sentencepiece_scan.Lattice(sentencepiece_scan.piece_bpe())
     text = " ".join(f"bortelun{x}" for x in ("", ",", ".", "!!", "%%%", ".\nÜber", "²."))
