@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltscope.operators import matching
@@ -197,3 +198,14 @@ def test_watch_query_scans_every_row_of_a_repeated_document(spark, tmp_path):
     got = sorted((tuple(r) for r in entry.queries()["st5_watch_and_scan"](spark, str(tmp_path)).select("repo_id", "path", "rule").collect()), key=repr)
     want = [("s", "en/1", "contact-mail"), ("s", "en/1", "contact-mail"), ("s", "en/1", "junk-run"), (None, "en/2", "license-line"), ("s", None, "license-line")]
     assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_watch_query_reads_a_table_of_one_file_or_a_folder(spark, tmp_path, folder):
+    import __spark_entry__ as entry
+
+    d = spark.createDataFrame([(i, "license", "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string")
+    path = str(tmp_path / "documents.parquet")
+    d.repartition(3).write.parquet(path) if folder else d.toPandas().to_parquet(path)
+    got = sorted(r.path for r in entry.queries()["st5_watch_and_scan"](spark, str(tmp_path)).collect())
+    assert got == [f"en/{i}" for i in range(6)]
