@@ -97,23 +97,80 @@ _MARK = "\x01"
 BLOCK = 256
 
 
-def match_starts(content: Column, pattern: str) -> Column:
-    """Every match of a pattern in a text as (line, detail); a match belongs to the line that it starts on.
+#: matches of a text whose lines are found by counting line ends before each; more are found line by line
+FEW = 32
+
+
+def unmarked(content: Column) -> Column:
+    """The text without marks: one that has the mark already gives it away to another control character."""
+    return F.when(content.contains(_MARK), F.translate(content, _MARK, "\x02")).otherwise(content)
+
+
+def match_lines_of(content: Column, pattern: str) -> Column:
+    """The line that each match of a pattern in an ``unmarked`` text starts on, in order; one regex pass.
 
-    In a copy of the text each match gets a mark before it, and all but marks and line ends goes: what is left between
-    two line ends are the matches that start on that line. Nothing is carried from match to match.
+    In a copy of the text each match gets a mark before it. The line ends between the marks of a few matches are counted; with more, all
+    but marks and line ends goes, and what is left between two line ends are the matches that start on that line. Nothing is carried
+    from match to match.
     """
-    rx = tx.java(pattern)
+    marked = F.regexp_replace(content, F.lit(tx.java(pattern)), F.lit(_MARK + "$0"))
+
+    def ends(t: Column) -> Column:
+        return F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
+
+    def few(parts: Column) -> Column:
+        before = F.slice(parts, 1, F.size(parts) - 1)
+        return _bind(F.transform(before, ends), lambda n: F.transform(n, lambda _, i: F.aggregate(F.slice(n, 1, i + 1), F.lit(1), lambda a, x: a + x)))
+
+    def many(text: Column) -> Column:
+        per_line = F.split(F.regexp_replace(text, f"[^\n{_MARK}]++", ""), "\n", -1)
+        return F.flatten(F.transform(per_line, lambda marks, i: F.array_repeat(i + 1, F.length(marks))))
+
+    def place(text: Column) -> Column:
+        by_parts = _bind(F.split(text, _MARK, -1), lambda parts: F.when(F.size(parts) <= FEW, few(parts)).otherwise(many(text)))
+        return F.when(F.octet_length(text) > F.octet_length(content), by_parts).otherwise(F.array().cast("array<int>"))
+
+    return _bind(marked, place)
 
-    def place(found: Column) -> Column:
-        # a text that has the mark already gives it away to another control character
-        marked = F.regexp_replace(F.translate(content, _MARK, "\x02"), F.lit(rx), F.lit(_MARK + "$0"))
-        per_line = F.split(F.regexp_replace(marked, f"[^\n{_MARK}]++", ""), "\n", -1)
-        at = F.flatten(F.transform(per_line, lambda marks, i: F.array_repeat(i + 1, F.length(marks))))
-        return F.zip_with(at, found, lambda line, m: F.struct(line.alias("line"), m.alias("detail")))
 
+def match_starts(content: Column, pattern: str) -> Column:
+    """Every match of a pattern in a text as (line, detail); a match belongs to the line that it starts on."""
     none = F.array().cast("array<struct<line:int,detail:string>>")
-    return _bind(F.regexp_extract_all(content, F.lit(rx), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
+    place = lambda found: F.zip_with(match_lines_of(unmarked(content), pattern), found, lambda line, m: F.struct(line.alias("line"), m.alias("detail")))
+    return _bind(F.regexp_extract_all(content, F.lit(tx.java(pattern)), F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
+
+
+def _tests(r: Rule, content: Column) -> list[Column]:
+    """Cheap tests that every text with a match of the rule passes."""
+    tests = [F.octet_length(content) >= r.at_least] if r.at_least else []
+    tests += [tx.has_rarely(content, *r.needles)] if r.needles else []
+    tests += [tx.has_rarely(F.lower(content), *r.folded)] if r.folded else []
+    return tests + [tx.rx(content, p) for p in r.also]
+
+
+def match_places(files: DataFrame, rules: Sequence[Rule], guarded: dict[str, Column] | None = None) -> DataFrame:
+    """(repo_id, path, ordinal, line) of every match of each rule in whole files; ``match_files`` without the texts of the matches.
+
+    ``guarded`` has, by rule name, a column of lines whose matches do not count.
+    """
+    content, none = F.col("content"), F.array().cast("array<struct<ordinal:int,line:int>>")
+
+    def hits(i: int, r: Rule) -> Column:
+        at = match_lines_of(content, r.in_files)
+        if guarded and r.name in guarded:
+            at = _bind(at, lambda ls: F.when(F.size(ls) > 0, _bind(guarded[r.name], lambda g: F.filter(ls, lambda x: ~F.array_contains(g, x)))).otherwise(ls))
+        found = F.transform(at, lambda x: F.struct(F.lit(i).alias("ordinal"), x.alias("line")))
+        return F.when(F.col(f"_t{i}"), found).otherwise(none)
+
+    parts = []
+    for a in range(0, len(rules), BATCH):
+        few = list(enumerate(rules))[a : a + BATCH]
+        # the tests are columns of their own: what an explosion is made of is not compiled
+        passed = [reduce(Column.__and__, _tests(r, content) or [F.lit(True)]).alias(f"_t{i}") for i, r in few]
+        tested = files.select("repo_id", "path", unmarked(content).alias("content"), *passed)
+        all_hits = F.flatten(F.array(*[hits(i, r) for i, r in few]))
+        parts.append(tested.select("repo_id", "path", F.explode(all_hits).alias("h")).select("repo_id", "path", "h.ordinal", "h.line"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match_files(files: DataFrame, rules: Sequence[Rule], guarded: dict[str, Column] | None = None) -> DataFrame:
@@ -127,13 +184,11 @@ def match_files(files: DataFrame, rules: Sequence[Rule], guarded: dict[str, Colu
 
     def hits(i: int, r: Rule) -> Column:
         facts = (F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(float(r.confidence)).alias("confidence"), F.lit(i).alias("ordinal"))
-        starts = match_starts(content, r.start + r.pattern)
+        starts = match_starts(content, r.in_files)
         if guarded and r.name in guarded:
             starts = _bind(starts, lambda ms: F.when(F.size(ms) > 0, _bind(guarded[r.name], lambda g: F.filter(ms, lambda m: ~F.array_contains(g, m["line"])))).otherwise(ms))
         found = F.transform(starts, lambda m: F.struct(*facts, m["line"].alias("line"), m["detail"].alias("detail")))
-        tests = [tx.has(content, *r.needles)] if r.needles else []
-        tests += [tx.has(F.lower(content), *r.folded)] if r.folded else []
-        tests += [tx.rx(content, p) for p in r.also]
+        tests = _tests(r, content)
         return F.when(reduce(Column.__and__, tests), found).otherwise(none) if tests else found
 
     pre = _needle_filter(rules, content)
@@ -186,14 +241,22 @@ def in_try_block(files: DataFrame) -> DataFrame:
 
 # --- review scan ---------------------------------------------------------------------------
 
+def _review_guard() -> dict[str, Column]:
+    c = F.col("content")
+    return {"no-error-handling": F.when(c.contains("try") & c.contains("await"), try_lines(c)).otherwise(F.array().cast("array<int>"))}
+
+
 def review_scan(files: DataFrame) -> DataFrame:
     """Review rules over whole files; per (path, rule, line) the most confident finding stays.
 
     ``no-error-handling`` findings inside an open try block are dropped, in the row of the file.
     """
-    c = F.col("content")
-    guard = F.when(c.contains("try") & c.contains("await"), try_lines(c)).otherwise(F.array().cast("array<int>"))
-    return best_per_line(match_files(files, rt.REVIEW_RULES, guarded={"no-error-handling": guard}))
+    return best_per_line(match_files(files, rt.REVIEW_RULES, guarded=_review_guard()))
+
+
+def review_lines(files: DataFrame) -> DataFrame:
+    """``review_scan`` without the texts of the matches and the rules' numbers."""
+    return best_rule_per_line(match_places(files, rt.REVIEW_RULES, guarded=_review_guard()), rt.REVIEW_RULES)
 
 
 def best_per_line(findings: DataFrame) -> DataFrame:
@@ -205,6 +268,38 @@ def best_per_line(findings: DataFrame) -> DataFrame:
     )
 
 
+def _named(places: DataFrame, keys: list[tuple], name: str) -> DataFrame:
+    """Places with their rule's number in the distinct ``keys`` (one key a rule) as ``name``."""
+    of = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    return places.withColumn(name, F.element_at(F.lit([of[k] for k in keys]), F.col("ordinal") + 1))
+
+
+def _looked_up(values: Sequence, at: str) -> Column:
+    return F.element_at(F.lit(list(values)), F.col(at) + 1)
+
+
+def best_rule_per_line(places: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``best_per_line`` of places: (repo_id, path, line, rule, category, severity, confidence).
+
+    Which of two rules is better is known before, so numbers alone are shuffled and the greatest stays.
+    """
+    order = sorted(range(len(rules)), key=lambda i: (rules[i].confidence, -i))
+    rank = {i: n for n, i in enumerate(order)}
+    names = list(dict.fromkeys(r.name for r in rules))
+    numbered = _named(places, [r.name for r in rules], "_name").withColumn("_rank", F.element_at(F.lit([rank[i] for i in range(len(rules))]), F.col("ordinal") + 1))
+    best = numbered.groupBy("repo_id", "path", "_name", "line").agg(F.max("_rank").alias("_rank"))
+    facts = [_looked_up([f(rules[i]) for i in order], "_rank").alias(c) for c, f in (("category", lambda r: r.category), ("severity", lambda r: r.severity), ("confidence", lambda r: float(r.confidence)))]
+    return best.select("repo_id", "path", "line", _looked_up(names, "_name").alias("rule"), *facts)
+
+
+def matches_per_line(places: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """How often each rule and severity matches on a line: (repo_id, path, rule, severity, line, n)."""
+    keys = [(r.name, r.severity) for r in rules]
+    distinct = list(dict.fromkeys(keys))
+    n = _named(places, keys, "_rule").groupBy("repo_id", "path", "_rule", "line").agg(F.count("*").alias("n"))
+    return n.select("repo_id", "path", _looked_up([a for a, _ in distinct], "_rule").alias("rule"), _looked_up([b for _, b in distinct], "_rule").alias("severity"), "line", "n")
+
+
 def min_confidence(findings: DataFrame, threshold: float) -> DataFrame:
     return findings.filter(F.coalesce(F.col("confidence"), F.lit(0.0)) >= threshold)
 

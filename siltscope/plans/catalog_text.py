@@ -62,7 +62,7 @@ f AS (SELECT * FROM hits WHERE rule <> 'no-error-handling' OR NOT EXISTS (SELECT
 {_BEST} FROM f GROUP BY repo_id, path, line, rule""")
 def p2(spark, sf):
     """All review rules over all derived files, whole files at a time, with try suppression."""
-    return matching.review_scan(dt.code_files(spark, sf)).drop("ordinal", "detail")
+    return matching.review_lines(dt.code_files(spark, sf))
 
 
 @query("p3_review_scan_lines", f"WITH {dt.CODE_FILES}, hits AS ({_HITS}) {_BEST} FROM hits WHERE rule <> 'no-error-handling' GROUP BY repo_id, path, line, rule")

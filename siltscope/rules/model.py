@@ -25,7 +25,9 @@ class Rule:
     ``last_tail``     what follows the last occurrence of ``pattern`` must not match this
     ``needles``       literals of which one must occur (cheap pre-test before any regex)
     ``folded``        lower-case literals of which one must occur in the lower-cased text (the same for patterns without case)
+    ``at_least``      bytes that every text with a match has
     ``start``         Java pattern of the places where a match can start, to be put before ``pattern``; leaves out none
+    ``search``        Java pattern that finds the same matches faster than ``start`` and ``pattern``
     ``path_unless``   literals in the path that exempt the file
     """
 
@@ -40,12 +42,19 @@ class Rule:
     last_tail: str | None = None
     needles: tuple[str, ...] = ()
     folded: tuple[str, ...] = ()
+    at_least: int = 0
     start: str = ""
+    search: str = ""
     path_unless: tuple[str, ...] = ()
     trimmed: bool = False
     message: str = ""
     params: dict = field(default_factory=dict, compare=False, hash=False)
 
+    @property
+    def in_files(self) -> str:
+        """The pattern by which whole files are searched."""
+        return self.search or self.start + self.pattern
+
     def condition(self, text: Column, path: Column | None = None) -> Column:
         t = tx.strip(text) if self.trimmed else text
         cond = None

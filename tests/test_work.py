@@ -1,5 +1,8 @@
 """Work is spread over tasks, and no text is broadcast or read over and over."""
 
+import dataclasses
+import random
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -8,9 +11,12 @@ from siltscope.operators import commits as cm
 from siltscope.operators import graph as gr
 from siltscope.operators import matching, vibe
 from siltscope.plans import driver_tables as dt
+from siltscope.rules import tables as rt
 from siltscope.rules.model import Rule
 from siltscope.sources import sinks
 
+from .conftest import SF
+
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -129,3 +135,25 @@ def test_only_texts_that_can_hold_a_long_function_are_walked(spark):
     plan = _plan(found.filter("rule = 'large-function'"))
     assert "replace(content" in plan.split("Generate explode(regexp_extract_all")[1]
     assert "CASE WHEN" in _plan(df.select(sessions.long_functions(F.col("content"))))
+
+
+def test_review_rules_are_searched_once_and_group_numbers(spark, monkeypatch):
+    """The registered review queries neither extract the texts of matches nor sort findings for the best of a line; places are the same either way."""
+    import __spark_entry__ as entry
+
+    for name in ("p2_review_scan",):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all(content" not in plan and "max_by" not in plan
+
+
+def test_searched_patterns_find_the_same_places(spark):
+    rng = random.Random(5)
+    words = ["sk-" + "a1" * 10, "sk_live_" + "Z" * 24, "AIza" + "-" * 35, "AKIA" + "X" * 16, "sk-short", "readFile(", "createReadStream (path.join(", "req.", "+", " ", "x", "\n", "\r", "\r\n", "\x01", "é", "token", "Math.random()", "RANDOM.random( )",
+             "export function f", "export async function g", "\n}", "{", "y" * 1490, "\n" * 40]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["+req." * 60 + "\n+req.", "\nAKIA" + "X" * 16 + "\n" + ("AKIA" + "X" * 16 + "\n") * 50, "export function f" + "y" * 1499 + "\n}", "\nexport function f" + "y" * 1500 + "\n}"]
+    f = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo_id string, path string, content string").repartition(4)
+    rules = [r for r in rt.REVIEW_RULES if r.search or r.start or r.at_least]
+    plain = [dataclasses.replace(r, search="", start="", at_least=0, needles=(), folded=(), also=()) for r in rules]
+    got = sorted(map(tuple, matching.match_places(f, rules).select("path", "ordinal", "line").collect()))
+    want = sorted(map(tuple, matching.match_files(f, plain).select("path", "ordinal", "line").collect()))
+    assert got == want and {o for _, o, _ in got} == set(range(len(rules)))
