@@ -75,8 +75,7 @@ def p3(spark, sf):
 @query("p2_block_rule_matches", f"WITH {dt.CODE_FILES}, hits AS ({_HITS}) SELECT repo_id, path, rule, severity, line, count(*) AS n FROM hits GROUP BY ALL")
 def p2_blocks(spark, sf):
     """Every match of every review rule, by the line that it starts on."""
-    hits = matching.match_files(dt.code_files(spark, sf), rt.REVIEW_RULES)
-    return hits.groupBy("repo_id", "path", "rule", "severity", "line").agg(F.count("*").alias("n"))
+    return matching.matches_per_line(matching.match_places(dt.code_files(spark, sf), rt.REVIEW_RULES), rt.REVIEW_RULES)
 
 
 @query("p4_in_try_block", f"WITH {dt.CODE_FILES}, {_TRY} SELECT repo_id, count(*) AS guarded_lines, count(DISTINCT path) AS files FROM g GROUP BY 1")
