@@ -69,7 +69,7 @@ def p2(spark, sf):
 def p3(spark, sf):
     """The rule table on all files, without the rule that needs block state."""
     rules = [r for r in rt.REVIEW_RULES if r.name != "no-error-handling"]
-    return matching.best_per_line(matching.match_files(dt.code_files(spark, sf), rules)).drop("ordinal", "detail")
+    return matching.best_rule_per_line(matching.match_places(dt.code_files(spark, sf), rules), rules)
 
 
 @query("p2_block_rule_matches", f"WITH {dt.CODE_FILES}, hits AS ({_HITS}) SELECT repo_id, path, rule, severity, line, count(*) AS n FROM hits GROUP BY ALL")

@@ -141,7 +141,7 @@ def test_review_rules_are_searched_once_and_group_numbers(spark, monkeypatch):
     """The registered review queries neither extract the texts of matches nor sort findings for the best of a line; places are the same either way."""
     import __spark_entry__ as entry
 
-    for name in ("p2_review_scan", "p2_block_rule_matches"):
+    for name in ("p2_review_scan", "p3_review_scan_lines", "p2_block_rule_matches"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract_all(content" not in plan and "max_by" not in plan
 
